@@ -38,6 +38,12 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.jaccard import jaccard_components
+
+    return jaccard_components(_documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.packing import pack
 
@@ -50,7 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_toxicity, op6_bpe_round_trip, op8_best_fit_packing, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_toxicity, op6_bpe_round_trip, op7_ngram_jaccard, op8_best_fit_packing, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": r"""
