@@ -13,6 +13,7 @@ has lost is only encoded again.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -22,35 +23,69 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-from tallyloom.llm.textcols import Texts, byte_windows, chunks
+from tallyloom.llm.textcols import Texts, chunks, rolling_hashes
 
 #: How the vocabulary's pre-tokenizer cuts normalised text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Characters beyond these may be normalised in ways that the library alone knows.
+#: Words with other characters may be normalised in ways that the library alone knows.
 UNVETTED = regex.compile("[^\t\n\r -~¡-ÿ]|<\\|")
 #: The rolling hash sees so many bytes and cuts at one place in CHUNK on average.
-ROLL, CHUNK = 24, 1024
+ROLL, CHUNK = 24, 2048
 #: Bounds of a process's caches, in entries.
-KEPT_CHUNKS, KEPT_PIECES = 40_000, 400_000
+KEPT_CHUNKS, KEPT_WORDS = 20_000, 1_500_000
 _WHITE = b" \t\n\r"
+#: Marks that often end a word.
+_ENDINGS = b",.;:!?)|"
+#: Starts the special tokens' strings, which stand for themselves before a text is normalised.
+_SPECIAL = b"<|"
 
 
-class Pieces(dict):
-    """Ids of a pre-token as little-endian unsigned 32-bit numbers, encoded at first use."""
+def _visible_bytes() -> dict[int, str]:
+    """The vocabulary's characters for bytes: printable ones of Latin-1 for themselves, the others from 256 on in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+class WordIds(dict):
+    """Ids of what stands between white space, as little-endian unsigned 32-bit numbers, encoded at first use.
+
+    In two generations of half the bound: when the younger one is full, it becomes the
+    older one, whose words come back when they are used again.
+    """
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece)
-        if len(self) >= KEPT_PIECES:
+        self.tokenizer, self.tokens_of = tokenizer, tokenizer.model.tokenize
+        self.old: dict[bytes, bytes] = {}
+        self.table = _visible_bytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.of(word)
+        if len(self) >= KEPT_WORDS // 2:
+            self.old = dict(self)
             self.clear()
-        self[piece] = ids
+        self[word] = ids
         return ids
 
+    def of(self, word: bytes) -> bytes:
+        stem = word.rstrip(_ENDINGS)
+        text = stem.decode("utf-8", "replace")
+        if text.isalpha() and (stem.isalpha() or not UNVETTED.search(text)):  # one piece of letters; marks behind it are one more
+            if len(stem) < len(word):
+                return self[stem] + self[word[len(stem) :]]
+            pieces = [text.lower()]
+        else:
+            text = word.decode("utf-8", "replace")
+            if UNVETTED.search(text):
+                return self.whole(text)
+            pieces = PIECES.findall(text.lower())
+        ids = [t.id for piece in pieces for t in self.tokens_of(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table))]
+        return array("I", ids).tobytes()
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 class Encoder:
@@ -60,7 +95,7 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        self.pieces = Pieces(tokenizer)
+        self.words = WordIds(tokenizer)
         size = max(tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
         self.tokens = [(tokenizer.id_to_token(i) or "").encode() for i in range(size)]
         self.decimals = [b"%d" % i for i in range(size)]
@@ -69,10 +104,9 @@ class Encoder:
 
     def encode_plain(self, raw: bytes) -> bytes:
         """Ids of a text without chunks."""
-        text = raw.decode("utf-8", "replace")
-        if UNVETTED.search(text):
-            return self.pieces.whole(text)
-        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
+        if _SPECIAL in raw:
+            return self.words.whole(raw.decode("utf-8", "replace"))
+        return b"".join(map(self.words.__getitem__, raw.lower().split()))
 
     def _chunk(self, raw: bytes) -> tuple[bytes, bytes, bytes] | None:
         """What precedes the first white space, the ids up to the last one, what follows it; None without white space."""
@@ -95,8 +129,8 @@ class Encoder:
 
     def encode_all(self, texts: Texts) -> Iterator[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        at, hashes = byte_windows(texts, ROLL)
-        cuts = at[(hashes >> np.uint64(32)) % np.uint64(CHUNK) == 0] + ROLL
+        at, hashes = rolling_hashes(texts, ROLL)
+        cuts = at[hashes % np.uint32(CHUNK) == 0] + ROLL
         if len(cuts):
             for _ in range(3):  # not inside a character
                 inside = np.append(texts.data, 0)[cuts] >> 6 == 2

@@ -142,6 +142,21 @@ def byte_windows(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, span_hashes(_BYTE_VALUES[texts.data], at, at + k, _BYTE_BASE)
 
 
+def rolling_hashes(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all k-byte strings of the chunk's bytes but those across rows, with 32-bit hashes: cheap, for places to cut at."""
+    n = len(texts.data)
+    if n < k:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    power, inverse = (x.astype(np.uint32) for x in _powers(_BYTE_BASE, _rounded(n + 1)))
+    total = np.zeros(n + 1, np.uint32)
+    np.cumsum((_BYTE_VALUES >> U64(24)).astype(np.uint32)[texts.data] * power[:n], out=total[1:])
+    mixed = (total[k:] - total[:-k]) * inverse[: n - k + 1]
+    inside = np.ones(n - k + 1, bool)
+    edges = texts.offsets[(texts.offsets > 0) & (texts.offsets < n)]
+    inside[np.maximum(edges[:, None] - np.arange(1, k), 0).ravel().clip(0, n - k)] = False
+    return np.flatnonzero(inside), ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(8))[inside]
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of arange(start, start + length)."""
     lengths = np.asarray(lengths, np.int64)
