@@ -4,13 +4,14 @@ Two sets with a Jaccard similarity of t share one of the first n - ceil(t n) + 1
 shingles of either, whatever order of all shingles is used; here the rare ones come
 first, so a list of documents that share such a shingle is short.
 
-1. How many documents hold a shingle is counted for half of all shingles, chosen by
-   hash; the other half comes behind in the order.  Counts travel as compressed
-   sorted hashes by bucket of documents, and only those above one travel back.
+1. How many documents hold a shingle is counted.  Counts travel as compressed sorted
+   hashes by bucket of documents, and only those above one travel back.  So a document
+   also knows how many of its shingles others have, which bounds any overlap.
 2. Documents with equal sets are one node.  Nodes with equal prefixes and sizes are
    one group, and only groups meet in the lists of prefix shingles.
-3. Each list compares its groups with its first one of like size; the groups' members
-   are expanded and verified, and links make components.  What is left are pairs in
+3. Each list compares its groups with its first one of like size, and sets with equal
+   cores (the shingles that others have) are compared with the smallest of them; the
+   groups' members are expanded and verified, and links make components.  What is left are pairs in
    one list but different components: each such pair is verified as well, all of
    them, so no link between components is lost.  A list of thousands of near copies
    is thereby linear, not quadratic.
@@ -32,8 +33,10 @@ from tallyloom.llm.textcols import _WORD_BASE, Texts, Words, mix64, span_hashes,
 SHINGLE, SIMILARITY = 5, 80
 #: Bits of a shingle's hash that its count goes by.
 COUNT_BITS = 40
+#: Pairs verified at once, on average at most.
+GROUP_PAIRS = 2000
 ASKED = ("<u8", "<u4")  # steps between sorted hashes, counts
-SETS = "_doc long, _sub int, n int, d1 long, d2 long, p1 long, p2 long, tokens array<long>"
+SETS = "_doc long, _sub int, n int, common int, d1 long, d2 long, p1 long, p2 long, core long, tokens array<long>"
 
 
 def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -56,21 +59,16 @@ def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return found, np.searchsorted(row, np.arange(len(texts) + 1))
 
 
-def _counted(hashes: np.ndarray) -> np.ndarray:
-    """Which shingles are in the half that is counted."""
-    return hashes & np.uint64(1) == 0
-
-
 def _short(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(64 - COUNT_BITS)
 
 
 def _ask(n_groups: int):
-    """Distinct counted shingles of a bucket and in how many of its documents they are, by range of hashes."""
+    """Distinct shingles of a bucket and in how many of its documents they are, by range of hashes."""
 
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         found, _ = shingle_sets(texts_of(docs["text"]))
-        short, counts = np.unique(_short(found[_counted(found)]), return_counts=True)
+        short, counts = np.unique(_short(found), return_counts=True)
         part = (short * np.uint64(n_groups) >> np.uint64(COUNT_BITS)).astype(np.int64)
         return batch(_stepped(part, short, counts, key[0].as_py()))
 
@@ -112,10 +110,9 @@ def _prefixes(docs: pa.Table, answers: pa.Table) -> pa.Table:
     total = np.concatenate([np.zeros(0, np.int64), *(x[1].astype(np.int64) for x in known)])
     order = np.argsort(short)
     short, total = np.append(short[order], np.uint64(1 << 63)), np.append(total[order], 0)
-    rank = np.full(len(found), np.iinfo(np.int64).max)  # behind all that are counted
-    own = np.flatnonzero(_counted(found))
-    at = np.searchsorted(short, _short(found[own]))
-    rank[own] = np.where(short[at] == _short(found[own]), total[at], 1)
+    at = np.searchsorted(short, _short(found))
+    rank = np.where(short[at] == _short(found), total[at], 1)
+    common = np.bincount(row, rank > 1, minlength=len(texts))
     order = np.lexsort((found, rank, row))
     place = np.arange(len(order)) - first[row]
     length = sizes - (sizes * SIMILARITY + 99) // 100 + 1
@@ -124,11 +121,12 @@ def _prefixes(docs: pa.Table, answers: pa.Table) -> pa.Table:
     d1, d2 = sums(mix64(found), row), sums(mix64(found ^ np.uint64(0x5851F42D4C957F2D)), row)
     token, of = found[prefix], row[prefix]
     p1, p2 = sums(mix64(token), of), sums(mix64(token ^ np.uint64(0x5851F42D4C957F2D)), of)
+    core = mix64(sums(mix64(found[rank > 1]), row[rank > 1]) + mix64(common.astype(np.uint64)))
     shared = rank[prefix] > 1
     token, of = token[shared], of[shared]
     offsets = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
     tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(token.view(np.int64)))
-    return pa.table([docs["_doc"], docs["_sub"], pa.array(sizes.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (d1, d2, p1, p2)), tokens], ["_doc", "_sub", "n", "d1", "d2", "p1", "p2", "tokens"])
+    return pa.table([docs["_doc"], docs["_sub"], pa.array(sizes.astype(np.int32)), pa.array(common.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (d1, d2, p1, p2, core)), tokens], ["_doc", "_sub", "n", "common", "d1", "d2", "p1", "p2", "core", "tokens"])
 
 
 def _sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -161,16 +159,27 @@ def _ids(prefix: str) -> list:
 
 
 def verified(rows: DataFrame, pairs: DataFrame, n_buckets: int) -> DataFrame:
-    """Those pairs (a, b) of rows whose sets are similar.  A text goes once to each bucket that it is compared in."""
-    flat = pairs.select(*_ids("a"), *_ids("b"), "b.*").withColumn("bucket", bucket_column(n_buckets)).drop("_doc", "_sub")
-    flat = checkpointed(flat)
-    needs = flat.select("bucket", F.col("a_doc").alias("_doc"), F.col("a_sub").alias("_sub")).unionByName(flat.select("bucket", F.col("b_doc").alias("_doc"), F.col("b_sub").alias("_sub"))).distinct()
-    texts = needs.join(rows, ["_doc", "_sub"]).select(F.col("bucket").alias("home"), "_doc", "_sub", "text")
-    good = texts.groupBy("home").cogroup(flat.groupBy("bucket")).applyInArrow(_verify, "a_doc long, a_sub int, b_doc long, b_sub int")
+    """Those pairs (a, b) of rows whose sets are similar.
+
+    They are verified by bucket of b; where there are many, by block of a as well, so
+    a group has some thousand texts.  A text goes once to each group that needs it.
+    """
+    flat = checkpointed(pairs.select(*_ids("a"), *_ids("b"), "b.*").withColumn("bucket", bucket_column(n_buckets)).drop("_doc", "_sub"))
+    blocks = buckets(flat.count(), n_buckets * GROUP_PAIRS)
+    flat = flat.withColumn("block", F.pmod(F.xxhash64("a_doc", "a_sub"), F.lit(blocks)))
+    needs = flat.select("bucket", "block", F.col("a_doc").alias("_doc"), F.col("a_sub").alias("_sub")).unionByName(flat.select("bucket", "block", F.col("b_doc").alias("_doc"), F.col("b_sub").alias("_sub"))).distinct()
+    texts = needs.join(rows, ["_doc", "_sub"]).select(F.col("bucket").alias("home"), F.col("block").alias("part"), "_doc", "_sub", "text")
+    good = texts.groupBy("home", "part").cogroup(flat.groupBy("bucket", "block")).applyInArrow(_verify, "a_doc long, a_sub int, b_doc long, b_sub int")
     node = lambda x: F.struct(F.col(f"{x}_doc").alias("_doc"), F.col(f"{x}_sub").alias("_sub")).alias(x)
     return checkpointed(good.select(node("a"), node("b")))
 
 
+def _can_link(a: str, b: str):
+    """Whether sets of these sizes can overlap enough, as only shingles that others have can be shared."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * SIMILARITY) & (F.least(f"{a}common", f"{b}common") * (100 + SIMILARITY) >= (n + m) * SIMILARITY)
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """_doc, _sub, n_shingles and label (_doc and _sub of the first row of its component) of every row of docs.
 
@@ -189,19 +198,23 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sets = checkpointed(by_bucket.groupBy("bucket").cogroup(answers.groupBy("part")).applyInArrow(_prefixes, SETS))
 
     some = sets.filter("n > 0").withColumn("id", F.struct("_doc", "_sub"))
-    nodes = some.groupBy("n", "d1", "d2", "p1", "p2").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
-    nodes = checkpointed(nodes)
+    nodes = checkpointed(some.groupBy("n", "d1", "d2", "p1", "p2").agg(F.min("id").alias("id"), F.max("common").alias("common"), F.max("core").alias("core"), F.first("tokens").alias("tokens")))
     groups = nodes.groupBy("n", "p1", "p2").agg(F.min("id").alias("grp"))
-    member = checkpointed(nodes.join(groups, ["n", "p1", "p2"]).select("id", "grp", "n", "tokens"))
+    member = checkpointed(nodes.join(groups, ["n", "p1", "p2"]).select("id", "grp", "n", "common", "core", "tokens"))
     # a list: the groups of like size that share a shingle of their prefixes
     like = F.floor(F.log("n") / F.log(F.lit(100 / SIMILARITY))).cast("int").alias("like")
-    posted = member.filter(F.col("id") == F.col("grp")).select("grp", "n", like, F.explode("tokens").alias("token"))
+    posted = member.filter(F.col("id") == F.col("grp")).select("grp", "n", like, F.posexplode("tokens").alias("place", "token"))
     posted = checkpointed(posted)
     heads = posted.groupBy("token", "like").agg(F.min("grp").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     to_head = posted.join(heads, ["token", "like"]).filter(F.col("grp") != F.col("head")).select("grp", "head").distinct()
-    stars = member.select("id", "grp").join(to_head, "grp").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    heads_own = member.select(F.col("id").alias("head"), F.col("n").alias("an"), F.col("common").alias("acommon"))
+    stars = member.select("grp", "id", F.col("n").alias("bn"), F.col("common").alias("bcommon")).join(to_head, "grp").join(heads_own, "head")
+    stars = stars.filter(_can_link("a", "b")).select(F.col("head").alias("a"), F.col("id").alias("b"))
     inside = member.filter(F.col("id") != F.col("grp")).select(F.col("grp").alias("a"), F.col("id").alias("b"))
-    links = verified(rows, stars.unionByName(inside), n_buckets)
+    # sets with equal cores overlap in them alone; if two are linked, both are with the smallest
+    least = member.filter("common > 0").groupBy("core").agg(F.min(F.struct("n", "id")).alias("least"))
+    cored = member.join(least, "core").filter((F.col("common") * (100 + SIMILARITY) >= (F.col("n") + F.col("least.n")) * SIMILARITY) & (F.col("id") != F.col("least.id"))).select(F.col("least.id").alias("a"), F.col("id").alias("b"))
+    links = verified(rows, stars.unionByName(inside).unionByName(cored).distinct(), n_buckets)
 
     known = components(member.select("id"), links)
     rest = _between(member, posted, known)
@@ -215,17 +228,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def _between(member: DataFrame, posted: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of nodes in one list, of sizes that can match, but in different components.
 
-    In a list, the component with the most nodes isn't compared with itself, and the
+    A pair that can link does so at the first token that its sets share, where what is
+    left of either must be overlap enough; so later tokens, the frequent ones, seldom
+    make pairs.  In a list, nodes with too many shingles of their own are left out, the component with the most nodes isn't compared with itself, and the
     others are compared with all: so the rows made follow the pairs that are left.
     """
-    whole = member.join(known, "id").select("id", "grp", "n", "label")
-    listed = posted.select("token", "grp").join(whole, "grp")
+    whole = member.join(known, "id").select("id", "grp", "n", "common", "core", "label")
+    # behind a token at `place` of the shared ones, common - place - 1 are left; even the smallest partner needs an overlap of 80 hundredths of the size
+    listed = posted.select("token", "grp", "place").join(whole, "grp").withColumn("common", F.col("common") - F.col("place")).filter(F.col("common") * 100 >= F.col("n") * SIMILARITY)
     by_label = listed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"))
     major = by_label.groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("token", F.col("top.label").alias("major"))
-    mixed = checkpointed(listed.join(major, "token").select("token", "id", "n", "label", (F.col("label") == F.col("major")).alias("is_major")))
-    minor = mixed.filter(~F.col("is_major")).select("token", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("b_label"))
-    every = mixed.select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("label").alias("a_label"), "is_major")
-    fits = (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * SIMILARITY) & (F.col("a_label") != F.col("b_label")) & (F.col("is_major") | (F.col("a") < F.col("b")))
+    mixed = checkpointed(listed.join(major, "token").select("token", "id", "n", "common", "core", "label", (F.col("label") == F.col("major")).alias("is_major")))
+    minor = mixed.filter(~F.col("is_major")).select("token", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("common").alias("bcommon"), F.col("core").alias("bcore"), F.col("label").alias("b_label"))
+    every = mixed.select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("common").alias("acommon"), F.col("core").alias("acore"), F.col("label").alias("a_label"), "is_major")
+    fits = _can_link("a", "b") & (F.col("acore") != F.col("bcore")) & (F.col("a_label") != F.col("b_label")) & (F.col("is_major") | (F.col("a") < F.col("b")))
     return checkpointed(minor.join(every, "token").filter(fits).select("a", "b").distinct())
 
 
