@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.rows import buckets, checkpointed
+from tallyloom.llm.rows import NO_ID, buckets, checkpointed, doc_id, identified
 
 #: Distinct digests in a shard: some megabytes of slots.
 SHARD_KEYS = 32_768
 #: Keys in a bucket of the hash, on average.
 BUCKET_KEYS = 4
-GROUPS = "digest binary, keep_id long, keep_row long, group_size long"
+GROUPS = "digest binary, keep_id long, keep_sub long, group_size long"
 
 
 def _words(digests: list[bytes]) -> np.ndarray:
@@ -98,16 +98,16 @@ def _build_shard(table: pa.Table) -> pa.Table:
     column = lambda name: table[name].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)[at].tobytes()
     return pa.table({
         "shard": table["shard"].slice(0, 1), "displacements": [perfect.displacements.tobytes()], "slots": [b"".join(digests[i] for i in at)],
-        "ids": [column("keep_id")], "rows": [column("keep_row")], "sizes": [column("group_size")],
+        "ids": [column("keep_id")], "rows": [column("keep_sub")], "sizes": [column("group_size")],
     })
 
 
 def _probe_shard(new: pa.Table, index: pa.Table) -> pa.Table:
     """All groups of a shard: history's with the copies that came since, then those of new digests alone."""
     digests = new["digest"].to_pylist()
-    ids, rows, sizes = (new[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("keep_id", "keep_row", "group_size"))
+    ids, rows, sizes = (new[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("keep_id", "keep_sub", "group_size"))
     if not index.num_rows:
-        return pa.table({"digest": pa.array(digests, pa.binary()), "keep_id": ids, "keep_row": rows, "group_size": sizes})
+        return pa.table({"digest": pa.array(digests, pa.binary()), "keep_id": ids, "keep_sub": rows, "group_size": sizes})
     held = index["slots"][0].as_py()
     old_ids, old_rows, old_sizes = (np.frombuffer(index[c][0].as_py(), np.int64).copy() for c in ("ids", "rows", "sizes"))
     perfect = PerfectHash(np.frombuffer(index["displacements"][0].as_py(), np.uint32), len(old_ids))
@@ -117,24 +117,23 @@ def _probe_shard(new: pa.Table, index: pa.Table) -> pa.Table:
     fresh = [d for d, h in zip(digests, hit, strict=True) if not h]
     return pa.table({
         "digest": pa.array([held[i : i + 32] for i in range(0, len(held), 32)] + fresh, pa.binary()),
-        "keep_id": np.concatenate([old_ids, ids[~hit]]), "keep_row": np.concatenate([old_rows, rows[~hit]]), "group_size": np.concatenate([old_sizes, sizes[~hit]]),
+        "keep_id": np.concatenate([old_ids, ids[~hit]]), "keep_sub": np.concatenate([old_rows, rows[~hit]]), "group_size": np.concatenate([old_sizes, sizes[~hit]]),
     })
 
 
 def digested(docs: DataFrame) -> DataFrame:
-    """doc_id, _row (a number of its own for each row) and the SHA-256 digest of the normalised text."""
+    """_doc, _sub and the SHA-256 digest of the normalised text of each row."""
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-    return checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")).withColumn("_row", F.monotonically_increasing_id()))
+    return checkpointed(identified(docs, "text").select("_doc", F.col("_sub").cast("long").alias("_sub"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")))
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
-    return rows.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")).select(
-        "digest", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("keep_id"), F.col("first._row").alias("keep_row"), "group_size")
+    first = F.min(F.struct((F.col("_doc") == NO_ID).alias("no_id"), "_doc", "_sub"))
+    return rows.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")).select("digest", F.col("first._doc").alias("keep_id"), F.col("first._sub").alias("keep_sub"), "group_size")
 
 
 def index_history(history: DataFrame, n_shards: int) -> DataFrame:
-    """A row for each shard of the historical digests (digest, keep_id, keep_row, group_size), all distinct."""
+    """A row for each shard of the historical digests (digest, keep_id, keep_sub, group_size), all distinct."""
     return _sharded(history, n_shards).groupBy("shard").applyInArrow(_build_shard, "shard long, displacements binary, slots binary, ids binary, rows binary, sizes binary")
 
 
@@ -143,24 +142,38 @@ def _sharded(distinct: DataFrame, n_shards: int) -> DataFrame:
 
 
 def look_up(new: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
-    """Groups of history and of the new distinct digests together: digest, keep_id, keep_row, group_size."""
+    """Groups of history and of the new distinct digests together: digest, keep_id, keep_sub, group_size."""
     return _sharded(new, n_shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe_shard, GROUPS)
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """Every row of docs with the group of its text: doc_id, keep_id, group_size, kept, text_sha256.
+def grouped(docs: DataFrame) -> DataFrame:
+    """Every row of docs with the group of its text: _doc, _sub, digest, keep_id, keep_sub, group_size.
 
     Documents in the lower half of the range of doc_id are the history, the others
-    are checked against it.  Texts are equal when they are identical after replacing
-    each run of ASCII white space by one space; a null text is empty.  The row with
-    the smallest doc_id stays, any one of equal ids, a null id only where there is
-    no other.  No rows give no rows; columns but doc_id and text are ignored.
+    are checked against it.
     """
     rows = digested(docs)
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    old = F.coalesce(F.col("doc_id") <= ((low or 0) + (high or 0)) // 2, F.lit(False))
+    low, high, n = rows.filter(F.col("_doc") != NO_ID).agg(F.min("_doc"), F.max("_doc"), F.count(F.lit(1))).first()
+    old = (F.col("_doc") != NO_ID) & (F.col("_doc") <= ((low or 0) + (high or 0)) // 2)
     n_shards = buckets(n, SHARD_KEYS)
     index = checkpointed(index_history(_distinct(rows.filter(old)), n_shards))
-    groups = look_up(_distinct(rows.filter(~old)), index, n_shards)
-    return rows.join(groups, "digest").select(
-        "doc_id", F.when(F.col("keep_id") != -(1 << 63), F.col("keep_id")).alias("keep_id"), "group_size", (F.col("_row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.join(look_up(_distinct(rows.filter(~old)), index, n_shards), "digest")
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """Every row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when they are identical after replacing each run of ASCII white
+    space by one space; a null text is empty.  The row with the smallest doc_id stays,
+    one of those that share it, a null id only where there is no other.  No rows give
+    no rows; columns but doc_id and text are ignored.
+    """
+    kept = (F.col("_doc") == F.col("keep_id")) & (F.col("_sub") == F.col("keep_sub"))
+    return grouped(docs).select(doc_id(), F.when(F.col("keep_id") != NO_ID, F.col("keep_id")).alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stay."""
+    whole = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    stay = grouped(docs).filter((F.col("_doc") == F.col("keep_id")) & (F.col("_sub") == F.col("keep_sub"))).select("_doc", F.col("_sub").cast("int").alias("_sub"))
+    return identified(whole, "text", "_row").join(stay, ["_doc", "_sub"]).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

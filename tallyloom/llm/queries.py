@@ -32,6 +32,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.licenses import scan_licenses
+
+    return scan_licenses(_documents(spark, sf_dir)).drop("spans")
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.topk import query_topk
+
+    return query_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.bpe import bpe_digests
 
@@ -56,9 +68,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_toxicity, op6_bpe_round_trip, op7_ngram_jaccard, op8_best_fit_packing, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_toxicity, op4_license_scan, op5_exact_topk, op6_bpe_round_trip, op7_ngram_jaccard, op8_best_fit_packing, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
