@@ -62,13 +62,20 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.lm import lm_scores
+
+    scores = lm_scores(_documents(spark, sf_dir))
+    return scores.select("doc_id", "n_words", "n_backoff", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.exact_dedup import exact_dedup
 
     return exact_dedup(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_toxicity, op4_license_scan, op5_exact_topk, op6_bpe_round_trip, op7_ngram_jaccard, op8_best_fit_packing, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_toxicity, op4_license_scan, op5_exact_topk, op6_bpe_round_trip, op7_ngram_jaccard, op8_best_fit_packing, op9_lm_scores, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_topk": """
@@ -80,6 +87,27 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op9_lm_scores": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+            FROM documents),
+        p AS (SELECT doc_id, len(ws) AS n_words, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, ws FROM d),
+        g AS (SELECT doc_id, n_words, i, w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM p),
+        u AS (SELECT w, count(*) AS n FROM g GROUP BY w),
+        ud AS (SELECT doc_id, w, count(*) AS n FROM g GROUP BY doc_id, w),
+        b AS (SELECT v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY v, w),
+        bd AS (SELECT doc_id, v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY doc_id, v, w),
+        t AS (SELECT sum(n) AS n FROM u),
+        s AS (
+            SELECT g.doc_id, g.v IS NOT NULL AND b.n = bd.n AS backed,
+                   CASE WHEN g.v IS NOT NULL AND b.n > bd.n THEN ln((b.n - bd.n) / (uv.n - udv.n))
+                        ELSE ln(greatest(u.n - ud.n, 0.5) / greatest(t.n - g.n_words, 1)) + CASE WHEN g.v IS NULL THEN 0 ELSE ln(0.4) END END AS score
+            FROM g JOIN u USING (w) JOIN ud USING (doc_id, w) CROSS JOIN t
+            LEFT JOIN u uv ON uv.w = g.v LEFT JOIN ud udv ON udv.doc_id = g.doc_id AND udv.w = g.v
+            LEFT JOIN b ON b.v = g.v AND b.w = g.w LEFT JOIN bd ON bd.doc_id = g.doc_id AND bd.v = g.v AND bd.w = g.w)
+        SELECT d.doc_id, len(ws) AS n_words, count(*) FILTER (backed) AS n_backoff,
+               round(coalesce(sum(score), 0.0), 4) AS log_score, round(sum(score) / nullif(len(ws), 0), 6) AS mean_log_score
+        FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, len(ws)""",
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
