@@ -2,9 +2,9 @@
 
 The documents' n-grams, exploded and counted in each bucket of documents, go by hash to
 the partitions of one count table; there all buckets' counts of an n-gram are summed.
-Counts above one are joined back to the buckets, where each document's n-grams look
-them up and their logarithms are summed.  An n-gram that isn't answered stands once in
-the corpus.  Rows between the steps are compressed runs of sorted hashes, so a shuffled
+Counts above a bucket's own are joined back to it, where each document's n-grams look
+them up and their logarithms are summed.  An n-gram that isn't answered stands in no
+other bucket.  Rows between the steps are compressed runs of sorted hashes, so a shuffled
 n-gram takes some six bytes, and a frequent one is a single entry for each bucket.
 
 A document doesn't vouch for itself: its own occurrences are taken off all counts.
@@ -19,13 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.jaccard import ASKED, _answer, _stepped
-from tallyloom.llm.repeats import BUCKET_DOCS, DEALT, GROUP_DOCS, batch, bucket_column, unpacked
+from tallyloom.llm.jaccard import ASKED, _stepped
+from tallyloom.llm.repeats import DEALT, GROUP_DOCS, batch, bucket_column, packed, unpacked
 from tallyloom.llm.rows import buckets, doc_id, identified, parts
 from tallyloom.llm.textcols import Texts, Words, chunks, texts_of
 
 #: Words of the longest n-gram; the factor of each step to a shorter one; the count of a word that no other document has.
 ORDER, BACKOFF, UNSEEN = 2, 0.4, 0.5
+#: Documents whose n-grams are counted together before they travel: the more, the fewer entries.
+BUCKET_DOCS = 1000
+#: Steps between places, counts.
+PLACED = ("<u4", "<u4")
 RESULT = "_doc long, _sub int, n_words long, n_backoff long, log_score double"
 
 
@@ -57,30 +61,49 @@ def _ask(order: int, n_groups: int):
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         found = np.concatenate([h for _, h in grams(texts_of(docs["text"]), order)[1]])
         known, counts = np.unique(found, return_counts=True)
-        part = ((known >> np.uint64(32)) * np.uint64(n_groups) >> np.uint64(32)).astype(np.int64)
-        return batch(_stepped(part, known, counts, key[0].as_py()))
+        return batch(_stepped(_part(known, n_groups), known, counts, key[0].as_py()))
 
     return run
 
 
-def _score(order: int, total: int):
+def _part(hashes: np.ndarray, n_groups: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(n_groups) >> np.uint64(32)).astype(np.int64)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """To each bucket, the whole counts of its n-grams that others have too, by their places in what it asked."""
+    part, buckets_asking = table["part"][0].as_py(), table["kind"].to_pylist()
+    asked = [unpacked([x], ASKED)[0] for x in table["data"].to_pylist()]
+    _, of = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked]), return_inverse=True)
+    own = np.concatenate([x[1] for x in asked]).astype(np.int64)
+    total = np.bincount(of, own).astype(np.int64)[of]
+    out, at = [], 0
+    for bucket, (steps, _) in zip(buckets_asking, asked, strict=True):
+        mine = slice(at, at + len(steps))
+        places = np.flatnonzero(total[mine] > own[mine])
+        out.append((bucket, part, packed([np.diff(places, prepend=0), np.minimum(total[mine][places], (1 << 32) - 1)], PLACED)))
+        at += len(steps)
+    return batch(out)
+
+
+def _score(order: int, n_groups: int, n_corpus: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = texts_of(docs["text"])
         words, found = grams(texts, order)
-        asked = [unpacked([x], ASKED)[0] for x in answers["data"].to_pylist()]
-        known = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(x[0], dtype=np.uint64) for x in asked)])
-        counts = np.concatenate([np.zeros(0, np.int64), *(x[1].astype(np.int64) for x in asked)])
-        by = np.argsort(known)
-        known, counts = np.append(known[by], np.uint64(np.iinfo(np.uint64).max)), np.append(counts[by], 1)
-        others = []  # for each length, what other documents have of the n-gram that ends at a word
+        known, of, total = np.unique(np.concatenate([h for _, h in found]), return_inverse=True, return_counts=True)
+        firsts = np.searchsorted(_part(known, n_groups), np.arange(n_groups))
+        for part, blob in zip(answers["kind"].to_pylist(), answers["data"].to_pylist(), strict=True):
+            steps, counts = unpacked([blob], PLACED)[0]
+            total[firsts[part] + np.cumsum(steps, dtype=np.int64)] = counts
+        total, others, at = total[of], [], 0  # others: for each length, what other documents have of the n-gram that ends at a word
+        del known, of
         for end, hashes in found:
-            at = np.searchsorted(known, hashes)
-            seen = np.where(known[at] == hashes, counts[at], 1) - _own_counts(words.row[end], hashes)
             whole = np.zeros(len(words), np.int64)
-            whole[end] = seen
+            whole[end] = total[at : at + len(end)] - _own_counts(words.row[end], hashes)
             others.append(whole)
+            at += len(end)
         n_words = words.counts()
-        size = np.maximum(total - n_words, 1)[words.row].astype(float)
+        size = np.maximum(n_corpus - n_words, 1)[words.row].astype(float)
         place = np.arange(len(words)) - words.first[words.row]
         score = np.log(np.maximum(others[0], UNSEEN) / size)
         backed = np.zeros(len(words), bool)
@@ -118,7 +141,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     total = docs.select("text").mapInArrow(_count_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     by_bucket = identified(docs, "text").withColumn("bucket", bucket_column(n_buckets))
     asked = by_bucket.groupBy("bucket").applyInArrow(_ask(order, n_groups), DEALT)
-    answers = asked.groupBy("part").applyInArrow(_answer(), DEALT)
-    scored = by_bucket.groupBy("bucket").cogroup(answers.groupBy("part")).applyInArrow(_score(order, total), RESULT)
+    answers = asked.groupBy("part").applyInArrow(_answer, DEALT)
+    scored = by_bucket.groupBy("bucket").cogroup(answers.groupBy("part")).applyInArrow(_score(order, n_groups, total), RESULT)
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return scored.select(doc_id(), "n_words", "n_backoff", "log_score", mean.alias("mean_log_score"))
