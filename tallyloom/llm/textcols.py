@@ -94,6 +94,16 @@ class Texts:
     def byte_lengths(self) -> np.ndarray:
         return np.diff(self.offsets)
 
+    def pieces(self, most: int = CHUNK_BYTES) -> Iterator[tuple[int, Texts]]:
+        """The first row and the texts of slices of about `most` bytes; no text is cut."""
+        begin = 0
+        while begin < len(self):
+            end = int(np.searchsorted(self.offsets, self.offsets[begin] + most, "right")) - 1
+            end = min(max(end, begin + 1), len(self))
+            lo, hi = self.offsets[begin], self.offsets[end]
+            yield begin, Texts(self.data[lo:hi], self.offsets[begin : end + 1] - lo)
+            begin = end
+
     def lowered(self) -> Texts:
         return Texts(LOWER[self.data], self.offsets)
 
@@ -203,10 +213,5 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         if not batch.num_rows:
             continue
         whole = texts_of(batch.column(batch.schema.get_field_index(column)))
-        begin = 0
-        while begin < batch.num_rows:
-            end = int(np.searchsorted(whole.offsets, whole.offsets[begin] + most, "right")) - 1
-            end = min(max(end, begin + 1), batch.num_rows)
-            lo, hi = whole.offsets[begin], whole.offsets[end]
-            yield batch.slice(begin, end - begin), Texts(whole.data[lo:hi], whole.offsets[begin : end + 1] - lo)
-            begin = end
+        for begin, own in whole.pieces(most):
+            yield batch.slice(begin, len(own)), own

@@ -33,7 +33,7 @@ SAMPLE_DOCS = 1500
 VOCABULARY, CHARACTERS = 16_384, 8_192
 #: Slots of the tables that find them.
 SLOTS = 1 << 19
-EPOCHS, BATCH, RATE = 6, 256, 0.01
+EPOCHS, BATCH, RATE = 8, 256, 0.01
 #: Windows scored at once.
 BLOCK = 1024
 
@@ -87,9 +87,8 @@ def windows_of(texts: Texts, lookups: list[Lookup]) -> tuple[np.ndarray, np.ndar
     row = np.repeat(np.arange(len(texts)), per)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
     start = np.minimum(nth * STRIDE, np.maximum(n - WINDOW, 0)[row])
-    place = start[:, None] + np.arange(WINDOW)
-    real = place < n[row][:, None]
-    at = np.where(real, words.first[row][:, None] + place, 0)
+    real = start[:, None] + np.arange(WINDOW) < n[row][:, None]
+    at = np.where(real, (words.first[row] + start)[:, None].astype(np.int32) + np.arange(WINDOW, dtype=np.int32), 0)
     numbers = np.zeros((3, *at.shape), np.int32)
     for out, key, find in zip(numbers, keys, lookups, strict=True):
         found = find(key)
@@ -246,9 +245,10 @@ class Model:
 
 def _log_odds(keys: np.ndarray, row: np.ndarray, toxic: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys that tell most about the label, the best first, and their log-odds."""
-    pairs = np.unique(np.rec.fromarrays([keys, row], names="k,r"))
-    known, of = np.unique(pairs["k"], return_inverse=True)
-    yes = np.bincount(of, toxic[pairs["r"]], minlength=len(known))
+    known, of = np.unique(keys, return_inverse=True)
+    pairs = np.unique(of * len(toxic) + row)  # a word counts once for each text
+    of = pairs // len(toxic)
+    yes = np.bincount(of, toxic[pairs % len(toxic)], minlength=len(known))
     no = np.bincount(of, minlength=len(known)) - yes
     a, b = toxic.sum(), (1 - toxic).sum()
     odds = np.log((yes + 0.5) / (a + 1)) - np.log((no + 0.5) / (b + 1))
@@ -264,9 +264,15 @@ def fit(texts: Texts, toxic: np.ndarray, seed: int = 7) -> Model | None:
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     rng = np.random.default_rng(seed)
-    low = texts.lowered()
-    words = Words(low, ALNUM)
-    found = [_log_odds(keys, words.row, toxic, most) for keys, most in zip([words.hashes(), *_edges(low, words)], (VOCABULARY, CHARACTERS, CHARACTERS), strict=True)]
+    pieces = list(texts.pieces())
+    features = []  # a chunk at a time, as the driver's memory is small
+    for begin, own in pieces:
+        low = own.lowered()
+        words = Words(low, ALNUM)
+        features.append((words.row + begin, words.hashes(), *_edges(low, words)))
+    rows, *keys = (np.concatenate(x) for x in zip(*features, strict=True))
+    found = [_log_odds(k, rows, toxic, most) for k, most in zip(keys, (VOCABULARY, CHARACTERS, CHARACTERS), strict=True)]
+    del features, rows, keys
     lookups = [Lookup(keys) for keys, _ in found]
     network = Network.fresh([len(keys) + 2 for keys, _ in found], rng)
     hints = []
@@ -275,10 +281,14 @@ def fit(texts: Texts, toxic: np.ndarray, seed: int = 7) -> Model | None:
         network.p[f"table{i}"][:, 0] += hint
         hints.append(hint)
     model = Model(lookups, network)
-    row, numbers, real = windows_of(texts, lookups)
+    parts = [(begin, windows_of(own, lookups)) for begin, own in pieces]
+    row = np.concatenate([r + begin for begin, (r, _, _) in parts])
+    numbers, real = np.concatenate([n for _, (_, n, _) in parts], axis=1), np.concatenate([x for _, (_, _, x) in parts])
+    del parts
     first, second = ({k: np.zeros_like(v) for k, v in network.p.items()} for _ in range(2))
     step, score = 0, sum(h[n] for h, n in zip(hints, numbers, strict=True)).max(axis=1)
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS):
+        rate = RATE * (1 - epoch / EPOCHS)
         order = np.lexsort((-score, row))
         place = np.arange(len(order)) - np.searchsorted(row[order], row[order], "left")
         label = toxic[row[order]]
@@ -293,7 +303,7 @@ def fit(texts: Texts, toxic: np.ndarray, seed: int = 7) -> Model | None:
             for k, v in g.items():
                 first[k] += 0.1 * (v - first[k])
                 second[k] += 0.001 * (v * v - second[k])
-                change = RATE * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                change = rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
                 network.p[k] -= change.astype(np.float32)
         score = model.window_scores(numbers, real)
     return model
