@@ -32,7 +32,7 @@ UNVETTED = regex.compile("[^\t\n\r -~¡-ÿ]|<\\|")
 #: The rolling hash sees so many bytes and cuts at one place in CHUNK on average.
 ROLL, CHUNK = 24, 2048
 #: Bounds of a process's caches, in entries.
-KEPT_CHUNKS, KEPT_WORDS = 20_000, 1_500_000
+KEPT_CHUNKS, KEPT_WORDS = 20_000, 600_000
 _WHITE = b" \t\n\r"
 #: Marks that often end a word.
 _ENDINGS = b",.;:!?)|"
