@@ -8,8 +8,8 @@ half, every word of a text lies in one, and a text is as toxic as its worst wind
 
 Labels are of texts, not of windows.  Training takes the windows that score highest
 in toxic texts as positive, the highest and some random ones of clean texts as
-negative, and chooses anew in each epoch; the first choice is by the log-odds of
-words, which also start the embeddings.
+negative, and chooses anew in each epoch; the first choice is by what single
+words tell, which also starts the embeddings and selects the vocabulary.
 """
 
 from __future__ import annotations
@@ -34,6 +34,12 @@ VOCABULARY, CHARACTERS = 16_384, 8_192
 #: Slots of the tables that find them.
 SLOTS = 1 << 19
 EPOCHS, BATCH, RATE = 8, 256, 0.01
+#: Words that tell less aren't in the vocabulary; those that tell so much start with a full hint.
+LEAST_ROOT, FULL_ROOT = 3.5, 10.0
+#: Share of a batch's inputs shown as unknown, and the tables' share of the rate: both keep words from being learnt by heart.
+HIDDEN, SLOWER = 0.1, 0.1
+#: Steps of training at least: a small sample is gone through more often, in smaller batches.
+STEPS = 300
 #: Windows scored at once.
 BLOCK = 1024
 
@@ -120,7 +126,7 @@ class Network:
     @classmethod
     def fresh(cls, sizes: list[int], rng: np.random.Generator) -> Network:
         f = lambda *shape, scale=0.3: rng.normal(0, scale, shape).astype(np.float32)
-        p = {f"table{i}": f(n, WIDTH, scale=0.05) for i, n in enumerate(sizes)}
+        p = {f"table{i}": f(n, WIDTH, scale=0.02) for i, n in enumerate(sizes)}
         p |= {"input": f(3 * WIDTH, 3 * _BOTH), "bias": np.zeros(3 * _BOTH, np.float32), "recurrent": f(_BOTH, 3 * _BOTH) * _block_mask()}
         p |= {"attend": f(_BOTH, STATE), "attend_bias": np.zeros(STATE, np.float32), "query": f(STATE), "out": f(_BOTH), "out_bias": np.zeros(1, np.float32)}
         return cls(p)
@@ -243,19 +249,21 @@ class Model:
         return 1 / (1 + np.exp(-logit))
 
 
-def _log_odds(keys: np.ndarray, row: np.ndarray, toxic: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys that tell most about the label, the best first, and their log-odds."""
+def _telling(keys: np.ndarray, row: np.ndarray, toxic: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that tell most about the label, the best first, and how much: signed roots of likelihood ratios."""
     known, of = np.unique(keys, return_inverse=True)
     pairs = np.unique(of * len(toxic) + row)  # a word counts once for each text
     of = pairs // len(toxic)
     yes = np.bincount(of, toxic[pairs % len(toxic)], minlength=len(known))
     no = np.bincount(of, minlength=len(known)) - yes
     a, b = toxic.sum(), (1 - toxic).sum()
-    odds = np.log((yes + 0.5) / (a + 1)) - np.log((no + 0.5) / (b + 1))
-    weight = np.abs(odds) * (yes + no) / (yes + no + 5) * (yes + no > 1)
-    best = np.argsort(-weight, kind="stable")[:most]
-    best = best[weight[best] > 0]
-    return known[best], odds[best]
+    share = a / (a + b)  # of toxic texts; the root of the likelihood ratio against it tells chance from signal
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(yes > 0, yes * np.log(yes / ((yes + no) * share)), 0) + np.where(no > 0, no * np.log(no / ((yes + no) * (1 - share))), 0)
+    root = np.sqrt(np.maximum(2 * ratio, 0)) * np.sign(yes - (yes + no) * share)
+    best = np.argsort(-np.abs(root), kind="stable")[:most]
+    best = best[np.abs(root[best]) >= LEAST_ROOT]
+    return known[best], root[best]
 
 
 def fit(texts: Texts, toxic: np.ndarray, seed: int = 7) -> Model | None:
@@ -271,13 +279,13 @@ def fit(texts: Texts, toxic: np.ndarray, seed: int = 7) -> Model | None:
         words = Words(low, ALNUM)
         features.append((words.row + begin, words.hashes(), *_edges(low, words)))
     rows, *keys = (np.concatenate(x) for x in zip(*features, strict=True))
-    found = [_log_odds(k, rows, toxic, most) for k, most in zip(keys, (VOCABULARY, CHARACTERS, CHARACTERS), strict=True)]
+    found = [_telling(k, rows, toxic, most) for k, most in zip(keys, (VOCABULARY, CHARACTERS, CHARACTERS), strict=True)]
     del features, rows, keys
     lookups = [Lookup(keys) for keys, _ in found]
     network = Network.fresh([len(keys) + 2 for keys, _ in found], rng)
     hints = []
-    for i, (_, odds) in enumerate(found):
-        hint = np.concatenate([[0, 0], np.clip(odds, -4, 4) / 4]).astype(np.float32)
+    for i, (_, root) in enumerate(found):
+        hint = np.concatenate([[0, 0], np.clip(root / FULL_ROOT, -1, 1)]).astype(np.float32)
         network.p[f"table{i}"][:, 0] += hint
         hints.append(hint)
     model = Model(lookups, network)
@@ -287,8 +295,9 @@ def fit(texts: Texts, toxic: np.ndarray, seed: int = 7) -> Model | None:
     del parts
     first, second = ({k: np.zeros_like(v) for k, v in network.p.items()} for _ in range(2))
     step, score = 0, sum(h[n] for h, n in zip(hints, numbers, strict=True)).max(axis=1)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epoch, epochs = 0, EPOCHS
+    while epoch < epochs:
+        rate = RATE * (1 - epoch / epochs)
         order = np.lexsort((-score, row))
         place = np.arange(len(order)) - np.searchsorted(row[order], row[order], "left")
         label = toxic[row[order]]
@@ -296,15 +305,18 @@ def fit(texts: Texts, toxic: np.ndarray, seed: int = 7) -> Model | None:
         yes = chosen[toxic[row[chosen]] == 1]
         no = chosen[toxic[row[chosen]] == 0]
         chosen = rng.permutation(np.concatenate([np.repeat(yes, max(1, min(8, len(no) // max(1, 2 * len(yes))))), no]))
-        for lo in range(0, len(chosen), BATCH):
-            own = chosen[lo : lo + BATCH]
-            _, g = network.gradients(numbers[:, own], real[own], toxic[row[own]].astype(np.float32))
+        each = min(BATCH, max(16, len(chosen) // 8))
+        epoch, epochs = epoch + 1, max(epochs, -(-STEPS * each // len(chosen)))
+        for lo in range(0, len(chosen), each):
+            own = chosen[lo : lo + each]
+            shown = np.where(rng.random(numbers[:, own].shape) < HIDDEN, np.minimum(numbers[:, own], 1), numbers[:, own])
+            _, g = network.gradients(shown, real[own], toxic[row[own]].astype(np.float32))
             step += 1
             for k, v in g.items():
                 first[k] += 0.1 * (v - first[k])
                 second[k] += 0.001 * (v * v - second[k])
                 change = rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-                network.p[k] -= change.astype(np.float32)
+                network.p[k] -= (change * (SLOWER if k.startswith("table") else 1)).astype(np.float32)
         score = model.window_scores(numbers, real)
     return model
 
