@@ -114,7 +114,7 @@ def _score(order: int, n_groups: int, n_corpus: int):
             with np.errstate(divide="ignore", invalid="ignore"):
                 score = np.where(use, np.log(others[n - 1] / before), np.where(there, score + np.log(BACKOFF), score))
             backed = np.where(there, ~use, backed)
-        sums = np.bincount(words.row, score, minlength=len(texts))
+        sums = np.bincount(words.row, score, minlength=len(texts)).astype(float)  # whole numbers if there are no words
         back = np.bincount(words.row, backed, minlength=len(texts)).astype(np.int64)
         return pa.table([docs["_doc"], docs["_sub"], pa.array(n_words.astype(np.int64)), pa.array(back), pa.array(sums)], [x.split()[0] for x in RESULT.split(", ")])
 
