@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 from tallyloom.functions import keys
 from tallyloom.operators import breakdown, fusion, growth, periods
-from tallyloom.plans import queries as plans
+from tallyloom.plans import catalog as plans
 
 SF = "/root/testdata/sf0.001"
 
