@@ -1,4 +1,4 @@
-"""Parts and their totals: fitting, top-k with the rest, stacking, alignment, checks."""
+"""Parts and their totals: fitting, top-k with the rest, stacking, alignment, checks."""
 
 from __future__ import annotations
 
@@ -36,23 +36,27 @@ def alignment(df: DataFrame, least: float = 0.58) -> DataFrame:
     return sets.join(anchor, "company").select("company", "q_ord", F.size("own").cast("long").alias("n_members"), F.round(score, 6).alias("jaccard"), (score >= least).alias("comparable"))
 
 
-def suspicious(df: DataFrame) -> DataFrame:
-    """Whether a quarter's breakdown of four members or more is near zero throughout or repeats one value four times."""
-    counts = df.groupBy("company", "q_ord", "value").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counts.groupBy("company", "q_ord").agg(F.sum("_n").alias("n_members"), F.max(F.abs("value")).alias("_most"), F.max(F.when(F.col("value") > 0.02, F.col("_n"))).alias("_modal"))
-    odd = (F.col("n_members") >= 4) & ((F.col("_most") <= 0.02) | (F.coalesce("_modal", F.lit(0)) >= 4))
-    return sizes.select("company", "q_ord", "n_members", odd.alias("suspicious"))
+#: Member keys that stand for a category rather than a disclosure.
+PLACEHOLDERS = ("finance_expense", "financeexpense", "fulfillment", "ga", "general_administrative", "generaladministrative", "rd", "rnd", "sales_marketing", "salesmarketing", "taxes_surcharges", "taxessurcharges")
 
 
-def validation(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Completeness of the fields, consistency of the identities that can be checked (0.5 if none), and a grade."""
-    known = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
-    checks = [F.abs(F.col("revenue") - F.col("cost") - F.col("gross")) <= 0.01, F.abs(F.col("gross") - F.col("opex") - F.col("op_income")) <= 0.01]
-    run = sum((c.isNotNull().cast("int") for c in checks), F.lit(0))
-    passed = sum((F.coalesce(c, F.lit(False)).cast("int") for c in checks), F.lit(0))
-    scored = df.withColumn("completeness", F.round(known / len(fields), 4)).withColumn("consistency", F.when(run > 0, passed / run).otherwise(0.5))
-    confidence = F.round(0.55 * F.col("completeness") + 0.45 * F.col("consistency"), 4)
-    return scored.withColumn("confidence", confidence).withColumn("grade", F.when(F.col("confidence") >= 0.85, "high").when(F.col("confidence") >= 0.65, "medium").otherwise("low"))
+def suspicious(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether a breakdown (member, value, total) of four members or more is no real one.
+
+    It is if all are near zero; or if one value above 0.02 repeats four times and at least four different placeholder members
+    hold it, or it or the sum is far above the total (without a total: if there is no other value). Values compare by
+    magnitude, to 3 digits; of values that repeat equally often the largest counts.
+    """
+    size = F.round(F.abs("value"), 3)
+    holder = F.when(F.col("member").isin(*PLACEHOLDERS), F.regexp_replace("member", "_", ""))
+    by_value = df.groupBy(*keys, size.alias("_v")).agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("value") > 0.02).alias("_n"), F.countDistinct(holder).alias("_holders"), F.max("total").alias("_total"))
+    above = F.col("_n") > 0
+    groups = by_value.groupBy(*keys).agg(F.sum("_all").alias("n_members"), F.max("_v").alias("_most"), F.sum("_n").alias("_above"), F.max(F.when(above, F.struct("_n", "_v", "_holders"))).alias("_modal"), F.count_if(above).alias("_different"), F.sum(F.col("_v") * F.col("_n")).alias("_sum"), F.max("_total").alias("_total"))
+    total = F.coalesce("_total", F.lit(0.0))
+    far = (F.col("_modal._v") > total * 1.08 + F.greatest(total * 0.01, F.lit(0.12))) | (F.col("_sum") > total * 1.35 + F.greatest(total * 0.03, F.lit(0.35)))
+    echoes = (F.col("_above") >= 4) & (F.col("_modal._n") >= 4) & ((F.col("_modal._holders") >= 4) | F.when(total <= 0, F.col("_different") <= 1).otherwise(far))
+    odd = (F.col("n_members") >= 4) & ((F.col("_most") <= 0.02) | F.coalesce(echoes, F.lit(False)))
+    return groups.select(*keys, "n_members", odd.alias("suspicious"))
 
 
 def coverage(df: DataFrame) -> DataFrame:

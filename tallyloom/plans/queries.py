@@ -54,11 +54,6 @@ def derive_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.identities(_holes(statements(spark, sf_dir)))
 
 
-def statement_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = ["revenue", "cost", "gross", "opex", "op_income", "pretax", "tax", "net"]
-    return breakdown.validation(_holes(statements(spark, sf_dir)), fields).select("company", "q_ord", "completeness", "consistency", "confidence", "grade")
-
-
 def growth_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return growth.positional(sparse_statements(spark, sf_dir))
 
@@ -134,11 +129,6 @@ def jaccard_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return breakdown.alignment(segments(spark, sf_dir))
 
 
-def suspicious_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("company"), F.col("l_linenumber").cast("long").alias("q_ord"), F.col("l_tax").alias("value"))
-    return breakdown.suspicious(members)
-
-
 def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return breakdown.coverage(sparse_statements(spark, sf_dir))
 
@@ -150,7 +140,7 @@ def key_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (derive_identities, statement_validation, growth_positional, growth_calendar_fill, growth_calendar_overwrite, growth_gap_audit, segment_growth_mix, ytd_to_quarter, contiguous_tail, fuse_field_argmax, dedupe_latest_filing, fx_asof_7d, fx_median_fallback, fit_to_total_remainder, topk_other, stack_prefix_sum, jaccard_alignment, suspicious_breakdown, coverage_audit, key_normalise)
+    for f in (derive_identities, growth_positional, growth_calendar_fill, growth_calendar_overwrite, growth_gap_audit, segment_growth_mix, ytd_to_quarter, contiguous_tail, fuse_field_argmax, dedupe_latest_filing, fx_asof_7d, fx_median_fallback, fit_to_total_remainder, topk_other, stack_prefix_sum, jaccard_alignment, coverage_audit, key_normalise)
 }
 
 _FACTS = """e AS (SELECT event_id, event_type AS currency, CAST(ts AS DATE) AS day, value FROM events),
@@ -165,12 +155,6 @@ ORACLE_SQL: dict[str, str] = {
         x AS (SELECT * REPLACE (coalesce(opex, round(gross - op_income, 3)) AS opex) FROM o),
         n AS (SELECT * REPLACE (coalesce(net, round(pretax - tax, 3)) AS net) FROM x)
         SELECT * REPLACE (coalesce(pretax, round(net + tax, 3)) AS pretax), CASE WHEN revenue <> 0 THEN round(100 * gross / revenue, 3) END AS gross_margin FROM n""",
-    "statement_validation": f"""WITH {_HOLES},
-        v AS (SELECT company, q_ord, round((2 + (cost IS NOT NULL)::INT + (gross IS NOT NULL)::INT + (opex IS NOT NULL)::INT + (op_income IS NOT NULL)::INT + (pretax IS NOT NULL)::INT + (net IS NOT NULL)::INT) / 8, 4) AS completeness,
-              abs(revenue - cost - gross) <= 0.01 AS a, abs(gross - opex - op_income) <= 0.01 AS b FROM h),
-        w AS (SELECT company, q_ord, completeness, CASE WHEN a IS NULL AND b IS NULL THEN 0.5::DOUBLE ELSE (coalesce(a, false)::INT + coalesce(b, false)::INT) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT) END AS consistency FROM v),
-        z AS (SELECT *, round(0.55::DOUBLE * completeness + 0.45::DOUBLE * consistency, 4) AS confidence FROM w)
-        SELECT *, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS grade FROM z""",
     "growth_positional": _POSITIONAL,
     "growth_calendar_fill": _CALENDAR,
     "growth_calendar_overwrite": _growth_sql("{0}.revenue > 0 AND s.revenue > 0"),
@@ -204,8 +188,6 @@ ORACLE_SQL: dict[str, str] = {
     "jaccard_alignment": f"""WITH {_SEG}, s AS (SELECT company, q_ord, list(DISTINCT member) AS own FROM seg GROUP BY 1, 2), a AS (SELECT company, arg_max(own, q_ord) AS anchor FROM s GROUP BY 1),
         j AS (SELECT company, q_ord, len(own) AS n_members, len(list_intersect(own, anchor)) / len(list_distinct(list_concat(own, anchor))) AS x FROM s JOIN a USING (company))
         SELECT company, q_ord, n_members, round(x, 6) AS jaccard, x >= 0.58 AS comparable FROM j""",
-    "suspicious_breakdown": """WITH c AS (SELECT l_suppkey AS company, CAST(l_linenumber AS BIGINT) AS q_ord, l_tax AS value, count(*) AS n FROM lineitem GROUP BY 1, 2, 3)
-        SELECT company, q_ord, CAST(sum(n) AS BIGINT) AS n_members, sum(n) >= 4 AND (max(abs(value)) <= 0.02 OR coalesce(max(n) FILTER (value > 0.02), 0) >= 4) AS suspicious FROM c GROUP BY 1, 2""",
     "coverage_audit": f"""WITH {_SP} SELECT company, count(*) AS n_quarters, min(q_ord) AS first_q, max(q_ord) AS last_q, max(q_ord) - min(q_ord) + 1 - count(*) AS n_missing, (SELECT max(q_ord) FROM sp) - max(q_ord) AS lag FROM sp GROUP BY 1""",
     "key_normalise": f"""SELECT p_partkey, regexp_replace(lower({_NAME}), '[^a-z0-9一-鿿]', '', 'g') AS taxonomy,
         regexp_replace(regexp_replace(lower({_NAME}), '[^a-z0-9一-鿿]', '', 'g'), '(member|segment)$', '') AS member,

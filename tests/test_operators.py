@@ -58,8 +58,11 @@ def test_fit_sums_to_total(spark):
 
 
 def test_suspicious(spark):
-    df = spark.createDataFrame([("a", 1, 0.0)] * 6 + [("b", 1, float(i)) for i in range(6)], "company string, q_ord long, value double")
-    assert rows(breakdown.suspicious(df).select("company", "suspicious"), "company") == [("a", True), ("b", False)]
+    schema = "company string, q_ord long, member string, value double, total double"
+    names = ("rnd", "sales_marketing", "general_administrative", "fulfillment", "finance_expense", "taxes_surcharges")
+    echo = [("c", 1, n, 2.024, 78.579) for n in names] + [("c", 1, "x", 26.295, 78.579), ("c", 1, "y", 40.14, 78.579)]
+    df = spark.createDataFrame([("a", 1, n, 0.0, 35.149) for n in names] + [("b", 1, n, float(i), 100.0) for i, n in enumerate(names)] + echo, schema)
+    assert rows(breakdown.suspicious(df, ["company", "q_ord"]).select("company", "suspicious"), "company") == [("a", True), ("b", False), ("c", True)]
 
 
 def test_keys(spark):
