@@ -1,4 +1,4 @@
-"""Growth and mix: positional and calendar lags."""
+"""Growth and mix: positional and calendar lags."""
 
 from __future__ import annotations
 
@@ -50,3 +50,23 @@ def mix(df: DataFrame) -> DataFrame:
 def gap_audit(df: DataFrame) -> DataFrame:
     """Rows and missing growth figures of each company."""
     return df.groupBy("company").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("qoq").isNull()).alias("no_qoq"), F.count_if(F.col("yoy").isNull()).alias("no_yoy"))
+
+
+def margin_deltas(df: DataFrame) -> DataFrame:
+    """Qoq against the calendar quarter before and the margin's change in a year in points, both to 3 digits."""
+    prior = df.select("company", (F.col("q_ord") + 1).alias("q_ord"), F.col("revenue").alias("_then"))
+    year = df.select("company", (F.col("q_ord") + 4).alias("q_ord"), F.col("margin").alias("_margin"))
+    both = df.join(prior, ["company", "q_ord"], "left").join(year, ["company", "q_ord"], "left")
+    return both.select(*df.columns, F.when(F.col("_then") != 0, _percent(F.col("revenue"), F.col("_then"), 3)).alias("qoq"), F.round(F.col("margin") - F.col("_margin"), 3).alias("margin_delta"))
+
+
+def fx_adjusted(df: DataFrame) -> DataFrame:
+    """Growth in a year (column yoy) in the display currency, by the quarters' scales; as it is where a scale is missing."""
+    year = df.select("company", (F.col("q_ord") + 4).alias("q_ord"), F.col("scale").alias("_scale"))
+    adjusted = F.round(((1 + F.col("yoy") / 100) * F.col("scale") / F.col("_scale") - 1) * 100, 3)
+    return df.join(year, ["company", "q_ord"], "left").withColumn("yoy_adjusted", F.when(F.col("_scale") > 0, F.coalesce(adjusted, F.col("yoy"))).otherwise(F.col("yoy"))).drop("_scale")
+
+
+def weighted_mean(df: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """The metric's mean weighted by value, to 1 digit; rows without it count in the weights all the same."""
+    return df.groupBy(*keys).agg((F.round(F.sum(F.col("value") * F.col(metric)) / F.sum("value"), 1) + F.lit(0.0)).alias(metric))

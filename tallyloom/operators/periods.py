@@ -1,4 +1,4 @@
-"""Period algebra: cumulative to single quarters, contiguous tails, identities."""
+"""Period algebra: cumulative to single quarters, contiguous tails, identities."""
 
 from __future__ import annotations
 
@@ -43,3 +43,61 @@ def identities(df: DataFrame) -> DataFrame:
     for name, value in steps.items():
         df = df.withColumn(name, F.coalesce(F.col(name), F.round(value, 3)))
     return df.withColumn("gross_margin", F.when(F.col("revenue") != 0, F.round(100 * F.col("gross") / F.col("revenue"), 3)))
+
+
+def merge_periods(entries: DataFrame) -> DataFrame:
+    """One value for each (company, q_ord, span): the highest mode's (direct 2, derived 1), then the last filed; nulls only fill."""
+    best = F.max_by("value", F.when(F.col("value").isNotNull(), F.struct("mode", "filed")))
+    return entries.groupBy("company", "q_ord", "span").agg(best.alias("value"))
+
+
+def finalize(entries: DataFrame) -> DataFrame:
+    """single quarters from entries of one to four quarters' span, in order of quarters and spans.
+
+    A span of one stands. A longer one gives its last quarter less the span one shorter that ends a quarter before, where there is
+    one; else less all quarters before it in the span, which must be known. Results below -0.001 are rejected; a quarter that is
+    known stays. A company's entries, at most four a quarter, are folded in one row.
+    """
+    by_company = entries.groupBy("company").agg(F.sort_array(F.collect_list(F.struct("q_ord", "span", "value"))).alias("_all"))
+    state = "map<bigint,struct<value:double,derived:boolean>>"
+    known = F.map_from_entries(F.transform("_all", lambda e: F.struct(e["q_ord"] * 8 + e["span"], e["value"])))
+
+    def step(done, e):
+        q, span = e["q_ord"], e["span"]
+        shorter = F.try_element_at(known, (q - 1) * 8 + span - 1)
+        before = F.transform(F.slice(F.sequence(q - span + 1, q), F.lit(1), (span - 1).cast("int")), lambda p: F.try_element_at(done, p)["value"])
+        total = F.aggregate(before, F.lit(0.0), lambda a, b: a + b)
+        single = F.when(span <= 1, e["value"]).otherwise(F.round(e["value"] - F.coalesce(shorter, total), 3))
+        good = single.isNotNull() & F.try_element_at(done, q).isNull() & ((span <= 1) | (single >= -0.001))
+        return F.when(good, F.map_concat(done, F.create_map(q, F.struct(single.alias("value"), (span > 1).alias("derived"))))).otherwise(done)
+
+    folded = by_company.select("company", F.aggregate("_all", F.map_from_arrays(F.array(), F.array()).cast(state), step).alias("_done"))
+    return folded.select("company", F.explode("_done").alias("q_ord", "_e")).select("company", "q_ord", "_e.value", "_e.derived")
+
+
+def member_quarters(cumulated: DataFrame, direct: DataFrame) -> DataFrame:
+    """members' last quarter of a longer span, less their direct values of the quarters before.
+
+    A record of which any member lacks any such quarter gives nothing; members known directly stay as they are.
+    """
+    record = ["company", "q_ord"]
+    priors = cumulated.filter(F.col("span") > 1).withColumn("_q", F.explode(F.sequence(F.col("q_ord") - F.col("span") + 1, F.col("q_ord") - 1)))
+    known = direct.select("company", F.col("q_ord").alias("_q"), "member", F.col("value").alias("_v"))
+    sums = priors.join(known, ["company", "_q", "member"], "left").groupBy(*record, "span", "member", "value").agg(F.count("_v").alias("_n"), F.sum("_v").alias("_sum"))
+    whole = sums.withColumn("_least", F.min(F.col("_n") - F.col("span")).over(Window.partitionBy(*record))).filter(F.col("_least") == -1)
+    return whole.join(direct.select(*record, "member"), [*record, "member"], "left_anti").select(*record, "member", F.round(F.col("value") - F.col("_sum"), 3).alias("value"))
+
+
+def uncovered(cumulated: DataFrame, facts: DataFrame) -> DataFrame:
+    """The rest of a cumulated fact (company, start, end, value) that facts inside it leave, where these are as many as its days ask.
+
+    Inside means from its start and ending before its end; their number is its days over 91, rounded half to even, less one, and at
+    least one. The rest begins the day after the last of them. Facts meet cumulated ones by the quarter they start in.
+    """
+    quarter = lambda d: (F.year(d) * 4 + F.quarter(d) - 1).cast("long")
+    spread = cumulated.withColumn("_q", F.explode(F.sequence(quarter("start"), quarter("end"))))
+    inside = facts.select("company", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("value").alias("_v"), quarter("start").alias("_q"))
+    both = spread.join(inside, ["company", "_q"]).filter((F.col("_s") >= F.col("start")) & (F.col("_e") < F.col("end")))
+    sums = both.groupBy("company", "start", "end", "value").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_sum"), F.max("_e").alias("_last"))
+    asked = F.greatest(F.bround((F.datediff("end", "start") + 1) / 91) - 1, F.lit(1))
+    return sums.filter(F.col("_n") == asked).select("company", F.date_add("_last", 1).alias("start"), "end", F.round(F.col("value") - F.col("_sum"), 3).alias("value"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import mending, merges, queries, scalars
+from tallyloom.plans import feeds, mending, merges, queries, scalars, series
 
-PARTS = (queries, scalars, merges, mending)
+PARTS = (queries, scalars, merges, mending, series, feeds)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}
