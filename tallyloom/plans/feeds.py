@@ -28,12 +28,12 @@ def company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements as an HTML table of periods, one page a company, and turned round again."""
     cell = lambda c: F.concat(F.lit("<td class='n'>"), c, F.lit("</td>"))
-    rows = statements(spark, sf_dir).select("company", "q_ord", F.concat(F.lit("Q"), (F.col("q_ord") % 4 + 1).cast("string"), F.lit(" "), F.floor(F.col("q_ord") / 4).cast("string")).alias("h"), F.col("revenue").cast("decimal(18,2)").cast("string").alias("r"), F.concat(F.lit("("), F.col("cost").cast("decimal(18,2)").cast("string"), F.lit("</td><td>)")).alias("c"))
+    rows = statements(spark, sf_dir).select("company", "q_ord", F.concat(F.lit("Q"), (F.col("q_ord") % 4 + 1).cast("string"), F.lit(" "), F.floor(F.col("q_ord") / 4).cast("string")).alias("h"), F.col("revenue").cast("decimal(18,3)").cast("string").alias("r"), F.concat(F.lit("("), F.col("cost").cast("decimal(18,3)").cast("string"), F.lit("</td><td>)")).alias("c"))
     by_company = rows.groupBy("company").agg(F.array_sort(F.collect_list(F.struct("q_ord", "h", "r", "c"))).alias("a"))
     line = lambda label, f: F.concat(F.lit(f"<TR><td>{label}</td>"), F.array_join(F.transform("a", lambda x: cell(x[f])), "\n"), F.lit("</TR>"))
     page = F.concat(F.lit("<p>x</p><table><tr><td> </td></tr></table><table border=1>"), line("Fiscal<br/>Quarter", "h"), line("Net&nbsp;sales", "r"), line("Cost &amp; expenses", "c"), F.lit("</table>"))
     cells = filings.html_cells(by_company.select("company", page.alias("html")), "company", "html")
-    wide = filings.wide_table(cells, "company", "Fiscal Quarter", {"revenue": ["Revenue", "Net sales"], "cost": ["Cost & expenses"], "tax": ["Tax"]})
+    wide = filings.wide_table(cells, "company", "Fiscal Quarter", {"revenue": ["Revenue", "Net sales"], "cost": ["Cost & expenses"], "tax": ["Tax"]}, 1.0)
     return wide.select("company", filings.header_quarter(F.col("period"))["q_ord"].alias("q_ord"), "revenue", "cost", "tax")
 
 
@@ -59,8 +59,8 @@ _SPARSE_SQL = """sp AS (SELECT l_partkey AS company, CAST(year(l_shipdate) * 4 +
 
 ORACLE_SQL = {
     "company_facts": f"WITH {_ST} SELECT company, 'Revenues' AS concept, 'USD' AS unit, (q_ord // 4) || 'Q' || (q_ord % 4 + 1) AS quarter, revenue AS value FROM st WHERE q_ord % 4 <> 2",
-    "html_tables": f"WITH {_ST} SELECT company, q_ord, round(CAST(CAST(revenue AS DECIMAL(18, 2)) AS DOUBLE) / 1000, 3) AS revenue, round(-CAST(CAST(cost AS DECIMAL(18, 2)) AS DOUBLE) / 1000, 3) AS cost, NULL::DOUBLE AS tax FROM st",
+    "html_tables": f"WITH {_ST} SELECT company, q_ord, revenue, -cost AS cost, NULL::DOUBLE AS tax FROM st",
     "latest_quarter": f"WITH {_SPARSE_SQL} SELECT * FROM sp QUALIFY q_ord = max(q_ord) OVER (PARTITION BY company)",
-    "anchored_window": f"WITH {_SPARSE_SQL}, a AS (SELECT *, max(q_ord <= 7990) OVER (PARTITION BY company) AS some FROM sp) SELECT company, q_ord, revenue FROM a WHERE q_ord <= 7990 OR NOT some QUALIFY row_number() OVER (PARTITION BY company ORDER BY q_ord DESC) <= 4",
+    "anchored_window": f"WITH {_SPARSE_SQL}, a AS (SELECT *, max(q_ord <= 7990) OVER (PARTITION BY company) AS has FROM sp) SELECT company, q_ord, revenue FROM a WHERE q_ord <= 7990 OR NOT has QUALIFY row_number() OVER (PARTITION BY company ORDER BY q_ord DESC) <= 4",
     "streamed_totals": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE), 3) AS total FROM events GROUP BY 1, 2",
 }

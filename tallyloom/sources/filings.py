@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyloom.functions.scalars import closing_quarter, concept_priority, iso_date, is_money_unit, parse_number, quarter_label
 
@@ -78,7 +79,7 @@ def instance_facts(documents: DataFrame) -> DataFrame:
     return facts.filter(F.col("value").isNotNull() & (F.col("priority") >= 0)).withColumn("member", F.regexp_replace("member", "^.*:", "")).withColumn("axis", F.regexp_replace("axis", "^.*:", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(cells: pd.Series) -> pd.Series:
     return cells.map(html.unescape, na_action="ignore")
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The events as a stream of files."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """The events as a stream of files; times without a zone are taken in the session's, as watermarks need."""
+    pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may name one file; a plain path must be a folder
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def distinct_events(events: DataFrame, late: str = "1 day") -> DataFrame:
