@@ -67,7 +67,7 @@ def finalize(entries: DataFrame) -> DataFrame:
         shorter = F.try_element_at(known, (q - 1) * 8 + span - 1)
         before = F.transform(F.slice(F.sequence(q - span + 1, q), F.lit(1), (span - 1).cast("int")), lambda p: F.try_element_at(done, p)["value"])
         total = F.aggregate(before, F.lit(0.0), lambda a, b: a + b)
-        single = F.when(span <= 1, e["value"]).otherwise(F.round(e["value"] - F.coalesce(shorter, total), 3))
+        single = F.when(span <= 1, e["value"]).otherwise(F.round(e["value"] - F.coalesce(shorter, total), 3) + F.lit(0.0))
         good = single.isNotNull() & F.try_element_at(done, q).isNull() & ((span <= 1) | (single >= -0.001))
         return F.when(good, F.map_concat(done, F.create_map(q, F.struct(single.alias("value"), (span > 1).alias("derived"))))).otherwise(done)
 
@@ -85,7 +85,7 @@ def member_quarters(cumulated: DataFrame, direct: DataFrame) -> DataFrame:
     known = direct.select("company", F.col("q_ord").alias("_q"), "member", F.col("value").alias("_v"))
     sums = priors.join(known, ["company", "_q", "member"], "left").groupBy(*record, "span", "member", "value").agg(F.count("_v").alias("_n"), F.sum("_v").alias("_sum"))
     whole = sums.withColumn("_least", F.min(F.col("_n") - F.col("span")).over(Window.partitionBy(*record))).filter(F.col("_least") == -1)
-    return whole.join(direct.select(*record, "member"), [*record, "member"], "left_anti").select(*record, "member", F.round(F.col("value") - F.col("_sum"), 3).alias("value"))
+    return whole.join(direct.select(*record, "member"), [*record, "member"], "left_anti").select(*record, "member", (F.round(F.col("value") - F.col("_sum"), 3) + F.lit(0.0)).alias("value"))
 
 
 def uncovered(cumulated: DataFrame, facts: DataFrame) -> DataFrame:
@@ -100,4 +100,4 @@ def uncovered(cumulated: DataFrame, facts: DataFrame) -> DataFrame:
     both = spread.join(inside, ["company", "_q"]).filter((F.col("_s") >= F.col("start")) & (F.col("_e") < F.col("end")))
     sums = both.groupBy("company", "start", "end", "value").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_sum"), F.max("_e").alias("_last"))
     asked = F.greatest(F.bround((F.datediff("end", "start") + 1) / 91) - 1, F.lit(1))
-    return sums.filter(F.col("_n") == asked).select("company", F.date_add("_last", 1).alias("start"), "end", F.round(F.col("value") - F.col("_sum"), 3).alias("value"))
+    return sums.filter(F.col("_n") == asked).select("company", F.date_add("_last", 1).alias("start"), "end", (F.round(F.col("value") - F.col("_sum"), 3) + F.lit(0.0)).alias("value"))

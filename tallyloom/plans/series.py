@@ -117,7 +117,7 @@ def _positions() -> str:
     """One step for each place in the year: the quarter itself, or its span less the shorter span or the quarters before."""
     steps = ["f0 AS (SELECT company, q_ord, value, false AS derived FROM e WHERE span = 1)"]
     for p in range(1, 4):
-        steps.append(f"""b{p} AS (SELECT c.company, c.q_ord, round(c.value - coalesce(s.value, p.total), 3) AS value FROM e c LEFT JOIN e s ON s.company = c.company AND s.q_ord = c.q_ord - 1 AND s.span = {p}
+        steps.append(f"""b{p} AS (SELECT c.company, c.q_ord, round(c.value - coalesce(s.value, p.total), 3) + 0.0 AS value FROM e c LEFT JOIN e s ON s.company = c.company AND s.q_ord = c.q_ord - 1 AND s.span = {p}
             LEFT JOIN LATERAL (SELECT CASE WHEN count(*) = {p} THEN sum(f.value) END AS total FROM f{p - 1} f WHERE f.company = c.company AND f.q_ord BETWEEN c.q_ord - {p} AND c.q_ord - 1) p ON true WHERE c.span = {p + 1}),
             f{p} AS (SELECT * FROM f{p - 1} UNION ALL SELECT company, q_ord, value, true FROM b{p} WHERE value >= -0.001 AND (company, q_ord) NOT IN (SELECT company, q_ord FROM f{p - 1}))""")
     return ", ".join(steps)
@@ -133,10 +133,10 @@ ORACLE_SQL = {
         d AS (SELECT * FROM seg WHERE (q_ord % 4 < 3 AND NOT ((company + q_ord) % 6 = 0 AND member = 'RF')) OR member = 'AF'),
         j AS (SELECT c.company, c.y, c.member, c.value, count(d.value) AS n, sum(d.value) AS s FROM c LEFT JOIN d ON d.company = c.company AND d.member = c.member AND d.q_ord // 4 = c.y AND d.q_ord % 4 < 3 GROUP BY 1, 2, 3, 4),
         k AS (SELECT *, min(n) OVER (PARTITION BY company, y) AS least FROM j)
-        SELECT company, y * 4 + 3 AS q_ord, member, round(value - s, 3) AS value FROM k WHERE least = 3 AND (company, y * 4 + 3, member) NOT IN (SELECT company, q_ord, member FROM d)""",
+        SELECT company, y * 4 + 3 AS q_ord, member, round(value - s, 3) + 0.0 AS value FROM k WHERE least = 3 AND (company, y * 4 + 3, member) NOT IN (SELECT company, q_ord, member FROM d)""",
     "covered_range": f"""WITH {_ST}, f AS (SELECT company, CAST(make_date(q_ord // 4, q_ord % 4 * 3 + 1, 1) AS DATE) AS s, last_day(make_date(q_ord // 4, q_ord % 4 * 3 + 3, 1)) AS e, revenue AS v FROM st WHERE (company + q_ord) % 9 <> 0),
         c AS (SELECT company, make_date(q_ord // 4, 1, 1) AS s, make_date(q_ord // 4, 12, 31) AS e, round(sum(revenue), 3) AS v FROM st GROUP BY 1, 2, 3)
-        SELECT c.company, max(f.e) + 1 AS start, c.e AS "end", round(c.v - sum(f.v), 3) AS value FROM c JOIN f ON f.company = c.company AND f.s >= c.s AND f.e < c.e GROUP BY c.company, c.s, c.e, c.v HAVING count(*) = greatest(round_even((c.e - c.s + 1) / 91, 0) - 1, 1)""",
+        SELECT c.company, max(f.e) + 1 AS start, c.e AS "end", round(c.v - sum(f.v), 3) + 0.0 AS value FROM c JOIN f ON f.company = c.company AND f.s >= c.s AND f.e < c.e GROUP BY c.company, c.s, c.e, c.v HAVING count(*) = greatest(round_even((c.e - c.s + 1) / 91, 0) - 1, 1)""",
     "growth_margin_deltas": f"""WITH {_ST}, m AS (SELECT company, q_ord, revenue, round((revenue - cost) / revenue * 100, 3) AS margin FROM st WHERE (company + q_ord) % 5 <> 0)
         SELECT m.company, m.q_ord, m.revenue, m.margin, CASE WHEN p.revenue <> 0 THEN round((m.revenue / p.revenue - 1) * 100, 3) END AS qoq, round(m.margin - y.margin, 3) AS margin_delta FROM m LEFT JOIN m p ON p.company = m.company AND p.q_ord = m.q_ord - 1 LEFT JOIN m y ON y.company = m.company AND y.q_ord = m.q_ord - 4""",
     "fx_adjusted_growth": f"""WITH {_YOY}, s AS (SELECT *, CASE WHEN q_ord % 7 <> 0 THEN 1 + q_ord % 5 / 10 END AS scale FROM g)
