@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,12 @@ def grade(score: Column) -> Column:
     return F.when(score >= 0.85, "high").when(score >= 0.65, "medium").otherwise("low")
 
 
+def _blend(a: Column, b: Column, share: str) -> Column:
+    """share * a + (1 - share) * b of scores of 4 digits, in decimals, so that halves always round up."""
+    d = lambda c: c.cast("decimal(9,4)")
+    return F.round(d(a) * F.lit(Decimal(share)) + d(b) * F.lit(1 - Decimal(share)), 4).cast("double")
+
+
 def validation(df: DataFrame) -> DataFrame:
     """H1: eight checks that apply where all their fields are known, each within 3 % (at least 0.12, rates 0.35).
 
@@ -45,7 +52,7 @@ def validation(df: DataFrame) -> DataFrame:
     issues = F.array_join(F.array(*(F.when(~ok, F.lit(code)) for code, ok in passed.items())), ",")
     scored = df.select("company", "q_ord", F.round(known / len(CORE), 4).alias("completeness"), run.alias("checks_run"), good.alias("checks_passed"), issues.alias("issues"))
     scored = scored.withColumn("consistency", F.when(c("checks_run") > 0, F.round(c("checks_passed") / c("checks_run"), 4)).otherwise(0.5))
-    scored = scored.withColumn("confidence", F.round(F.least(F.lit(1.0), c("completeness") * 0.55 + c("consistency") * 0.45), 4))
+    scored = scored.withColumn("confidence", F.least(F.lit(1.0), _blend(c("completeness"), c("consistency"), "0.55")))
     return scored.withColumn("grade", grade(c("confidence")))
 
 
@@ -83,7 +90,7 @@ def structure(statements: DataFrame, members: DataFrame, details: DataFrame, exp
     rates = [F.when(F.col(f"{n}_checks") > 0, 1 - F.col(f"{n}_mismatches") / F.col(f"{n}_checks")) for n in names]
     n_parts = _total([r.isNotNull().cast("int") for r in rates])
     score = F.when(n_parts > 0, F.round(_total([F.coalesce(r, F.lit(0.0)) for r in rates]) / n_parts, 4)).otherwise(0.75)
-    out = out.withColumn("structural", score).withColumn("overall", F.round(F.col("_financial") * 0.65 + F.col("structural") * 0.35, 4))
+    out = out.withColumn("structural", score).withColumn("overall", _blend(F.col("_financial"), F.col("structural"), "0.65"))
     return out.withColumn("grade", grade(F.col("overall"))).drop("_financial")
 
 

@@ -173,7 +173,7 @@ _VALIDATED = f"""{_STATEMENT}, k AS (SELECT company, q_ord, round(((revenue IS N
         [x for x in [{_CHECKS}] if x IS NOT NULL] AS told FROM stm),
     kk AS (SELECT company, q_ord, completeness, len(told) AS checks_run, len([x for x in told if x = '']) AS checks_passed, array_to_string([x for x in told if x <> ''], ',') AS issues FROM k),
     kc AS (SELECT *, CASE WHEN checks_run > 0 THEN round(checks_passed / checks_run, 4) ELSE 0.5::DOUBLE END AS consistency FROM kk),
-    val AS (SELECT *, round(least(1.0::DOUBLE, completeness * 0.55::DOUBLE + consistency * 0.45::DOUBLE), 4) AS confidence FROM kc)"""
+    val AS (SELECT *, least(1.0::DOUBLE, CAST(round(CAST(completeness AS DECIMAL(9, 4)) * 0.55 + CAST(consistency AS DECIMAL(9, 4)) * 0.45, 4) AS DOUBLE)) AS confidence FROM kc)"""
 _GRADE = "CASE WHEN {0} >= 0.85 THEN 'high' WHEN {0} >= 0.65 THEN 'medium' ELSE 'low' END AS grade"
 _COMPANY = f"""{_VALIDATED}, com AS (SELECT company, count(*) AS n_quarters, CAST(sum(checks_run - checks_passed) AS BIGINT) AS n_issues, count(*) FILTER (checks_run > checks_passed) AS n_mismatch, count(*) FILTER (confidence >= 0.85) AS n_high, round(avg(confidence), 4) AS confidence, max(q_ord) AS latest, arg_max(confidence, q_ord) AS latest_confidence FROM val GROUP BY 1)"""
 _TOL = "greatest(0.12::DOUBLE, abs({0}) * 0.03::DOUBLE)"
@@ -241,7 +241,7 @@ ORACLE_SQL = {
         d AS (SELECT company, count(*) AS c, count(*) FILTER (round(s - opex, 3) > {_TOL.format('opex')}) AS m FROM (SELECT company, q_ord, round(sum(abs(round(value * 0.102::DOUBLE, 3))), 3) AS s FROM seg WHERE company % 2 = 0 GROUP BY 1, 2 HAVING count(*) >= 2) JOIN rv USING (company, q_ord) GROUP BY 1),
         j AS (SELECT com.company, confidence, coalesce(a.c, 0) AS segment_checks, coalesce(a.m, 0) AS segment_mismatches, coalesce(b.c, 0) AS detail_checks, coalesce(b.m, 0) AS detail_mismatches, coalesce(d.c, 0) AS opex_checks, coalesce(d.m, 0) AS opex_mismatches FROM com LEFT JOIN a USING (company) LEFT JOIN b USING (company) LEFT JOIN d USING (company)),
         sc AS (SELECT *, coalesce(round(list_avg([x for x in [CASE WHEN segment_checks > 0 THEN 1 - segment_mismatches / segment_checks END, CASE WHEN detail_checks > 0 THEN 1 - detail_mismatches / detail_checks END, CASE WHEN opex_checks > 0 THEN 1 - opex_mismatches / opex_checks END] if x IS NOT NULL]), 4), 0.75::DOUBLE) AS structural FROM j),
-        z AS (SELECT * EXCLUDE (confidence), round(confidence * 0.65::DOUBLE + structural * 0.35::DOUBLE, 4) AS overall FROM sc) SELECT *, {_GRADE.format('overall')} FROM z""",
+        z AS (SELECT * EXCLUDE (confidence), CAST(round(CAST(confidence AS DECIMAL(9, 4)) * 0.65 + CAST(structural AS DECIMAL(9, 4)) * 0.35, 4) AS DOUBLE) AS overall FROM sc) SELECT *, {_GRADE.format('overall')} FROM z""",
     "quality_score": f"""WITH {_STATEMENT}, {_SEG}, g AS (SELECT company, q_ord, round(sum(value), 3) AS s FROM seg WHERE member <> 'RF' GROUP BY 1, 2),
         c AS (SELECT stm.*, s, (revenue IS NULL)::INT + (op_income IS NULL)::INT + (net IS NULL)::INT AS mis, CASE WHEN revenue > 0 THEN round(least(coalesce(s, 0) / revenue, 1), 4) END AS a, CASE WHEN cost > 0 THEN round(least(round(revenue * 0.3::DOUBLE, 3) / cost, 1), 4) END AS b, CASE WHEN opex > 0 THEN round(least(round(opex * (q_ord % 10 / 10), 3) / opex, 1), 4) END AS d FROM stm LEFT JOIN g USING (company, q_ord))
         SELECT company, q_ord, CAST(greatest(0, least(100, 100 - mis * 14 - coalesce(floor(round(greatest(0.85::DOUBLE - a, 0) * 24, 6)), 0) - coalesce(floor(round(greatest(0.75::DOUBLE - b, 0) * 18, 6)), 0) - coalesce(floor(round(greatest(0.75::DOUBLE - d, 0) * 18, 6)), 0) + least(company % 9, 6))) AS BIGINT) AS score,
