@@ -40,6 +40,15 @@ def covered_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.uncovered(cumulated, facts)
 
 
+def quarterised_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year-to-date facts of the quarters a part has, filed 40 days after their ends; years without their first quarters yield less."""
+    day = lambda q, add: F.make_date(F.floor(q / 4).cast("int"), (q % 4 * 3 + add).cast("int"), F.lit(1))
+    end = F.last_day(day(F.col("q_ord"), 3))
+    ytd = periods.cumulative(sparse_statements(spark, sf_dir))
+    facts = ytd.select("company", day(F.floor(F.col("q_ord") / 4) * 4, 1).alias("start"), end.alias("end"), F.col("ytd").alias("value"), F.lit(1).alias("concept_priority"), F.lit(20).alias("namespace_priority"), F.date_add(end, 40).alias("filed"), F.lit("").alias("accession"))
+    return periods.quarterise(facts, ["company"], first=0)
+
+
 def growth_margin_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     margin = F.round((F.col("revenue") - F.col("cost")) / F.col("revenue") * 100, 3)
     return growth.margin_deltas(statements(spark, sf_dir).select(*QUARTER, "revenue", margin.alias("margin")).filter((F.col("company") + F.col("q_ord")) % 5 != 0))
@@ -109,7 +118,7 @@ def layout_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (finalize_spans, member_quarterize_abort, covered_range, growth_margin_deltas, fx_adjusted_growth, weighted_growth, taxonomy_sum_or_max, combined_labels, generic_members, addable_taxonomy, taxonomy_phases, history_gap_fill, subset_selection, layout_fit_band, layout_boxes)
+    for f in (finalize_spans, member_quarterize_abort, covered_range, quarterised_facts, growth_margin_deltas, fx_adjusted_growth, weighted_growth, taxonomy_sum_or_max, combined_labels, generic_members, addable_taxonomy, taxonomy_phases, history_gap_fill, subset_selection, layout_fit_band, layout_boxes)
 }
 
 
@@ -137,6 +146,9 @@ ORACLE_SQL = {
     "covered_range": f"""WITH {_ST}, f AS (SELECT company, CAST(make_date(q_ord // 4, q_ord % 4 * 3 + 1, 1) AS DATE) AS s, last_day(make_date(q_ord // 4, q_ord % 4 * 3 + 3, 1)) AS e, revenue AS v FROM st WHERE (company + q_ord) % 9 <> 0),
         c AS (SELECT company, make_date(q_ord // 4, 1, 1) AS s, make_date(q_ord // 4, 12, 31) AS e, round(sum(revenue), 3) AS v FROM st GROUP BY 1, 2, 3)
         SELECT c.company, max(f.e) + 1 AS start, c.e AS "end", round(c.v - sum(f.v), 3) + 0.0 AS value FROM c JOIN f ON f.company = c.company AND f.s >= c.s AND f.e < c.e GROUP BY c.company, c.s, c.e, c.v HAVING count(*) = greatest(round_even((c.e - c.s + 1) / 91, 0) - 1, 1)""",
+    "quarterised_facts": f"""WITH {_SP}, y AS (SELECT company, q_ord, round(sum(revenue) OVER w, 3) AS ytd, count(*) OVER w AS n FROM sp WINDOW w AS (PARTITION BY company, q_ord // 4 ORDER BY q_ord)),
+        l AS (SELECT *, lag(ytd) OVER (PARTITION BY company, q_ord // 4 ORDER BY q_ord) AS before FROM y)
+        SELECT company, q_ord, make_date(q_ord // 4, q_ord % 4 * 3 + 1, 1) AS start, last_day(make_date(q_ord // 4, q_ord % 4 * 3 + 3, 1)) AS "end", CASE WHEN q_ord % 4 = 0 THEN ytd ELSE round(ytd - before, 3) + 0.0 END AS value, q_ord % 4 > 0 AS derived FROM l WHERE n = q_ord % 4 + 1""",
     "growth_margin_deltas": f"""WITH {_ST}, m AS (SELECT company, q_ord, revenue, round((revenue - cost) / revenue * 100, 3) AS margin FROM st WHERE (company + q_ord) % 5 <> 0)
         SELECT m.company, m.q_ord, m.revenue, m.margin, CASE WHEN p.revenue <> 0 THEN round((m.revenue / p.revenue - 1) * 100, 3) END AS qoq, round(m.margin - y.margin, 3) AS margin_delta FROM m LEFT JOIN m p ON p.company = m.company AND p.q_ord = m.q_ord - 1 LEFT JOIN m y ON y.company = m.company AND y.q_ord = m.q_ord - 4""",
     "fx_adjusted_growth": f"""WITH {_YOY}, s AS (SELECT *, CASE WHEN q_ord % 7 <> 0 THEN 1 + q_ord % 5 / 10 END AS scale FROM g)

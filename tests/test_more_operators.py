@@ -1,6 +1,7 @@
 """Literal cases of the operators over labels, numbers, filings, histories and streams."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -67,6 +68,79 @@ def test_finalize(spark):
     assert periods.finalize(spark.createDataFrame([(1, 8099, 4, 9.0), (1, 8099, 1, None)], schema)).count() == 0
 
 
+FACTS = "company long, start date, end date, value double, concept_priority int, namespace_priority int, filed date, accession string"
+
+
+def _ymd(text):
+    return datetime.date.fromisoformat(text)
+
+
+def test_quarterise_loops(spark):
+    ytd = [(1, _ymd("2024-01-01"), _ymd(end), v, 50, 20, _ymd(end) + datetime.timedelta(40), "a") for end, v in (("2024-03-31", 10.0), ("2024-06-30", 23.0), ("2024-09-30", 37.0), ("2024-12-31", 55.0))]
+    old = (1, _ymd("2017-10-01"), _ymd("2017-12-31"), 9.0, 50, 20, _ymd("2018-02-01"), "a")
+    got = rows(periods.quarterise(spark.createDataFrame([*ytd, old], FACTS), ["company"]), "q_ord")
+    assert [(r[1], r[2].isoformat(), r[4], r[5]) for r in got] == [(8096, "2024-01-01", 10.0, False), (8097, "2024-04-01", 13.0, True), (8098, "2024-07-01", 14.0, True), (8099, "2024-10-01", 18.0, True)]
+    assert [r[4] for r in rows(periods.quarterise(spark.createDataFrame(ytd[1:], FACTS), ["company"]), "q_ord")] == []
+
+
+def _quarters_by_loop(facts, by_field):
+    """The best facts by quarter in plain Python: loops until nothing changes."""
+    days = lambda f: (f["end"] - f["start"]).days + 1
+
+    def rank(f):
+        gap = (f["filed"] - f["end"]).days
+        timely, near = int(0 <= gap <= 210), -max(gap, 0)
+        return (timely, f["p"], f["ns"], near, f["filed"]) if by_field else (timely, near, f["ns"], f["p"], f["filed"], f["acc"])
+
+    direct, cumulated = {}, {}
+    for f in sorted(facts, key=lambda f: (f["end"], days(f), f["filed"], f["p"])):
+        target = direct if 45 <= days(f) <= 120 else cumulated if 121 <= days(f) <= 390 else None
+        if target is not None and (f["end"] not in target or rank(f) > rank(target[f["end"]])):
+            target[f["end"]] = f
+    known, changed = dict(direct), True
+    while changed:
+        changed = False
+        for f in sorted(cumulated.values(), key=lambda f: f["end"]):
+            inside = [e for e in known.values() if e["start"] >= f["start"] and e["end"] < f["end"]]
+            if f["end"] not in known and len(inside) == max(round(days(f) / 91) - 1, 1):
+                known[f["end"]] = f | {"p": max(f["p"] - 1, 1), "start": max(e["end"] for e in inside) + datetime.timedelta(1), "v": f["v"] - sum(e["v"] for e in inside)}
+                changed = True
+    best = {}
+    for f in known.values():
+        q = f["end"].year * 4 + (f["end"].month - 1) // 3
+        if q >= 8072 and (q not in best or rank(f) > rank(best[q])):
+            best[q] = f
+    return {q: (f["start"], f["end"], round(f["v"], 3)) for q, f in best.items()}
+
+
+def test_quarterise_against_loop(spark):
+    dice, facts = random.Random(5), {}
+    for company in range(60):
+        for n in range(25):
+            start = datetime.date(dice.choice((2017, 2018, 2019)), dice.choice((1, 4, 7, 10)), 1)
+            end = start + datetime.timedelta(dice.choice((30, 80, 90, 91, 119, 120, 180, 181, 272, 273, 364, 365, 389, 390)))
+            filed = end + datetime.timedelta(dice.choice((20, 45, 209, 210, 211, 400)))
+            facts.setdefault(company, []).append({"start": start, "end": end, "v": float(dice.randrange(100)), "p": dice.randrange(1, 4), "ns": dice.choice((18, 20)), "filed": filed, "acc": f"{n:02}"})
+    data = [(c, f["start"], f["end"], f["v"], f["p"], f["ns"], f["filed"], f["acc"]) for c, fs in facts.items() for f in fs]
+    df = spark.createDataFrame(data, FACTS)
+    assert {(r[0], r[1]): tuple(r[2:5]) for r in rows(periods.quarterise(df, ["company"]))} == {(c, q): v for c, fs in facts.items() for q, v in _quarters_by_loop(fs, False).items()}
+    unique = {c: list({(f["end"], f["p"], f["ns"], f["filed"]): f for f in fs}.values()) for c, fs in facts.items()}
+    data = [(c, f["start"], f["end"], f["v"], f["p"], f["ns"], f["filed"], f["acc"]) for c, fs in unique.items() for f in fs]
+    got = {(r[0], r[1]): tuple(r[2:5]) for r in rows(periods.quarterise(spark.createDataFrame(data, FACTS), ["company"], by_field=True))}
+    assert got == {(c, q): v for c, fs in unique.items() for q, v in _quarters_by_loop(fs, True).items()}
+
+
+def test_quarterise_segments(spark):
+    schema = "company long, member string, label string, start date, end date, value double, concept_priority int, form string, filed date"
+    fact = lambda m, label, end, v, form="10-Q": (1, m, label, _ymd("2024-01-01"), _ymd(end), v * 1e9, 100, form, _ymd(end) + datetime.timedelta(40))
+    data = [fact("CloudMember", "Cloud", "2024-03-31", 3.0), fact("CloudMember", "Cloud Segment", "2024-06-30", 7.0), fact("CloudMember", "Cloud", "2024-09-30", 12.0)]
+    data += [fact("DevicesMember", "Devices", "2024-03-31", 2.0), fact("GamesMember", "Games", "2024-03-31", 1.0), fact("XMember", "Games Studio", "2024-03-31", 1.0)]
+    data += [fact("CloudDevicesMember", "Cloud and Devices", "2024-03-31", 5.0), fact("OperatingSegmentsMember", "All", "2024-03-31", 6.0), fact("TotalMember", "Consolidated", "2024-03-31", 6.0), fact("TinyMember", "Tiny", "2024-03-31", 0.001)]
+    data += [fact("CloudMember", "Cloud", "2024-03-31", 9.0, "8-K")]
+    got = rows(periods.quarterise_segments(spark.createDataFrame(data, schema), ["company"]), "q_ord", "member")
+    assert [(r[1], r[2], r[3], r[6]) for r in got] == [(8096, "Cloud", 3.0, False), (8096, "Devices", 2.0, False), (8096, "Games Studio", 1.0, False), (8097, "Cloud", 4.0, True), (8098, "Cloud", 5.0, True)]
+
+
 def test_member_quarters_abort(spark):
     cumulated = spark.createDataFrame([(1, 2, 2, "x", 5.0), (1, 2, 2, "y", 7.0)], "company long, q_ord long, span long, member string, value double")
     direct = spark.createDataFrame([(1, 1, "x", 2.0)], "company long, q_ord long, member string, value double")
