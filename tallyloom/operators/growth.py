@@ -10,41 +10,80 @@ def _percent(now: Column, then: Column, digits: int) -> Column:
     return F.round((now / then - 1) * 100, digits)
 
 
+#: Margins whose changes in a year are taken where a frame has them.
+MARGINS = ("gross_margin", "op_margin", "net_margin")
+
+
+def _given(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("double")
+
+
 def positional(df: DataFrame) -> DataFrame:
-    """qoq and yoy against the rows one and four places before, whatever quarters they are; null where either is null or 0."""
+    """G1: qoq and yoy against the rows one and four places before, whatever quarters they are; not where either is null or 0.
+
+    With a column net also net_yoy, with margins (gross_margin, op_margin, net_margin) their changes in points, all to 2 digits. What is
+    computed takes the place of a given figure; where nothing can be, that stays.
+    """
     order = Window.partitionBy("company").orderBy("q_ord")
     out = df
-    for name, back in (("qoq", 1), ("yoy", 4)):
-        then = F.lag("revenue", back).over(order)
-        out = out.withColumn(name, F.when((then != 0) & (F.col("revenue") != 0), _percent(F.col("revenue"), then, 2)))
+    for name, value, back in (("qoq", "revenue", 1), ("yoy", "revenue", 4), ("net_yoy", "net", 4)):
+        if value in df.columns:
+            then = F.lag(value, back).over(order)
+            out = out.withColumn(name, F.coalesce(F.when((then != 0) & (F.col(value) != 0), _percent(F.col(value), then, 2)), _given(df, name)))
+    for margin in MARGINS:
+        if margin in df.columns:
+            out = out.withColumn(f"{margin}_delta", F.coalesce(F.round(F.col(margin) - F.lag(margin, 4).over(order), 2) + F.lit(0.0), _given(df, f"{margin}_delta")))
     return out
 
 
-def _before(df: DataFrame, keys: list[str], value: str, back: int, name: str) -> DataFrame:
-    then = df.select(*(F.col(k).alias(k) for k in keys), (F.col("q_ord") + back).alias("q_ord"), F.col(value).alias(name))
-    return df.join(then, [*keys, "q_ord"], "left")
-
-
 def calendar(df: DataFrame, overwrite: bool) -> DataFrame:
-    """qoq and yoy against the calendar quarters one and four before.
+    """qoq and yoy against the calendar quarters one and four before, to 3 digits.
 
-    Filling takes any prior but 0; overwriting wants both values above 0.
+    Filling (G2) takes any prior but 0, leaves given figures as they are, and fills net_yoy with a column net and the changes of
+    margins in points with those. Overwriting (G4) wants both revenues above 0, and a given figure goes where one isn't.
     """
+    values = [c for c in ("revenue", "net", *MARGINS) if c in df.columns]
     out = df
-    for name, back in (("qoq", 1), ("yoy", 4)):
-        prior = _before(df, ["company"], "revenue", back, "_then").select("company", "q_ord", "_then")
-        good = (F.col("_then") > 0) & (F.col("revenue") > 0) if overwrite else F.col("_then") != 0
-        out = out.join(prior, ["company", "q_ord"]).withColumn(name, F.when(good, _percent(F.col("revenue"), F.col("_then"), 3))).drop("_then")
-    return out
+    for back in (1, 4):
+        prior = df.select("company", (F.col("q_ord") + back).alias("q_ord"), *(F.col(c).alias(f"_{c}_{back}") for c in values))
+        out = out.join(prior, ["company", "q_ord"], "left")
+    for name, value, back in (("qoq", "revenue", 1), ("yoy", "revenue", 4), *([] if overwrite else [("net_yoy", "net", 4)])):
+        if value in values:
+            now, then = F.col(value), F.col(f"_{value}_{back}")
+            figure = F.when((then > 0) & (now > 0) if overwrite else then != 0, _percent(now, then, 3))
+            out = out.withColumn(name, figure if overwrite else F.coalesce(_given(df, name), figure))
+    for margin in [] if overwrite else MARGINS:
+        if margin in values:
+            out = out.withColumn(f"{margin}_delta", F.coalesce(_given(df, f"{margin}_delta"), F.round(F.col(margin) - F.col(f"_{margin}_4"), 3) + F.lit(0.0)))
+    return out.drop(*(f"_{c}_{back}" for c in values for back in (1, 4)))
 
 
 def mix(df: DataFrame) -> DataFrame:
-    """Members' shares of their quarter (1 digit), their change in a year in points, and growth in a year (2 digits)."""
-    quarter = Window.partitionBy("company", "q_ord")
-    shares = df.withColumn("share", 100 * F.col("value") / F.sum("value").over(quarter))
-    then = shares.select("company", (F.col("q_ord") + 4).alias("q_ord"), "member", F.col("value").alias("_value"), F.col("share").alias("_share"))
-    joined = shares.join(then, ["company", "q_ord", "member"], "left")
-    return joined.select("company", "q_ord", "member", "value", F.round("share", 1).alias("mix_pct"), (F.round(F.col("share") - F.col("_share"), 1) + F.lit(0.0)).alias("mix_delta"), F.when(F.col("_value") != 0, _percent(F.col("value"), F.col("_value"), 2)).alias("yoy"))
+    """members' shares of their quarter (1 digit), their change in a year in points, growth in a year and a quarter (2 digits).
+
+    Shares are of the quarter's revenue, or of its members' sum without such a column. Rows of mode "share" tell a share in mix_pct, or
+    in value where that is null or 0; with revenue their value is worked out first (3 digits). Given mix_pct, mix_delta, yoy and qoq
+    stay; where suppress_qoq is true no qoq is filled. A null value counts as 0, priors of 0 give nothing.
+    """
+    total = F.col("revenue") if "revenue" in df.columns else F.sum("value").over(Window.partitionBy("company", "q_ord"))
+    mode = F.col("mode") if "mode" in df.columns else F.lit(None)
+    quiet = F.coalesce(F.col("suppress_qoq"), F.lit(False)) if "suppress_qoq" in df.columns else F.lit(False)
+    told = F.coalesce(F.when(_given(df, "mix_pct") != 0, _given(df, "mix_pct")), F.col("value"), F.lit(0.0))
+    rows = df.withColumn("_total", F.when(total != 0, total)).withColumn("_told", F.when((mode == "share") & F.col("_total").isNotNull(), told))
+    rows = rows.withColumn("value", F.when(F.col("_told").isNotNull(), F.round(F.col("_told") / 100 * F.col("_total"), 3)).otherwise(F.col("value")))
+    rows = rows.withColumn("_now", F.coalesce("value", F.lit(0.0))).withColumn("_share", 100 * F.col("_now") / F.col("_total"))
+    keys = ["company", "q_ord", "member"]
+    year = rows.select("company", (F.col("q_ord") + 4).alias("q_ord"), "member", F.when(F.col("_now") != 0, F.col("_now")).alias("_year"), F.col("_share").alias("_year_share"))
+    quarter = rows.select("company", (F.col("q_ord") + 1).alias("q_ord"), "member", F.when(F.col("_now") != 0, F.col("_now")).alias("_quarter"))
+    change = F.when(F.col("_year").isNotNull(), F.round(F.col("_share") - F.col("_year_share"), 1) + F.lit(0.0))
+    return rows.join(year, keys, "left").join(quarter, keys, "left").select(
+        *keys,
+        "value",
+        F.coalesce(F.round("_told", 1), _given(df, "mix_pct"), F.round("_share", 1)).alias("mix_pct"),
+        F.coalesce(_given(df, "mix_delta"), change).alias("mix_delta"),
+        F.coalesce(_given(df, "yoy"), _percent(F.col("_now"), F.col("_year"), 2)).alias("yoy"),
+        F.coalesce(_given(df, "qoq"), F.when(~quiet, _percent(F.col("_now"), F.col("_quarter"), 2))).alias("qoq"),
+    )
 
 
 def gap_audit(df: DataFrame) -> DataFrame:

@@ -71,7 +71,16 @@ def growth_gap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_growth_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return growth.mix(segments(spark, sf_dir))
+    return growth.mix(segments(spark, sf_dir)).drop("qoq")
+
+
+def segment_growth_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members against the company's revenue: RF told as shares, AF without growth in a quarter, some figures given."""
+    rows = segments(spark, sf_dir).join(statements(spark, sf_dir).select("company", "q_ord", "revenue"), ["company", "q_ord"])
+    share = F.col("member") == "RF"
+    told = rows.withColumn("value", F.when(share, F.round(F.col("value") / F.col("revenue") * 100, 4)).otherwise(F.col("value")))
+    given = told.withColumn("mode", F.when(share, "share")).withColumn("suppress_qoq", F.col("member") == "AF")
+    return growth.mix(given.withColumn("yoy", F.when(F.col("q_ord") % 3 == 0, 1.25)).withColumn("qoq", F.when(F.col("q_ord") % 5 == 0, -2.5)))
 
 
 def ytd_to_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +149,7 @@ def key_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (derive_identities, growth_positional, growth_calendar_fill, growth_calendar_overwrite, growth_gap_audit, segment_growth_mix, ytd_to_quarter, contiguous_tail, fuse_field_argmax, dedupe_latest_filing, fx_asof_7d, fx_median_fallback, fit_to_total_remainder, topk_other, stack_prefix_sum, jaccard_alignment, coverage_audit, key_normalise)
+    for f in (derive_identities, growth_positional, growth_calendar_fill, growth_calendar_overwrite, growth_gap_audit, segment_growth_mix, segment_growth_fill, ytd_to_quarter, contiguous_tail, fuse_field_argmax, dedupe_latest_filing, fx_asof_7d, fx_median_fallback, fit_to_total_remainder, topk_other, stack_prefix_sum, jaccard_alignment, coverage_audit, key_normalise)
 }
 
 _FACTS = """e AS (SELECT event_id, event_type AS currency, CAST(ts AS DATE) AS day, value FROM events),
@@ -159,6 +168,12 @@ ORACLE_SQL: dict[str, str] = {
     "growth_calendar_fill": _CALENDAR,
     "growth_calendar_overwrite": _growth_sql("{0}.revenue > 0 AND s.revenue > 0"),
     "growth_gap_audit": f"SELECT company, count(*) AS n_rows, count(*) FILTER (qoq IS NULL) AS no_qoq, count(*) FILTER (yoy IS NULL) AS no_yoy FROM ({_CALENDAR}) GROUP BY 1",
+    "segment_growth_fill": f"""WITH {_ST}, {_SEG}, r AS (SELECT seg.*, st.revenue, round(value / revenue * 100, 4) AS told FROM seg JOIN st USING (company, q_ord)),
+        v AS (SELECT company, q_ord, member, revenue, told, CASE WHEN member = 'RF' THEN round(told / 100 * revenue, 3) ELSE value END AS value FROM r),
+        m AS (SELECT *, 100 * value / revenue AS share FROM v)
+        SELECT m.company, m.q_ord, m.member, m.value, CASE WHEN m.member = 'RF' THEN round(m.told, 1) ELSE round(m.share, 1) END AS mix_pct, CASE WHEN y.value <> 0 THEN round(m.share - y.share, 1) + 0.0 END AS mix_delta,
+        CASE WHEN m.q_ord % 3 = 0 THEN 1.25 WHEN y.value <> 0 THEN round((m.value / y.value - 1) * 100, 2) END AS yoy, CASE WHEN m.q_ord % 5 = 0 THEN -2.5 WHEN m.member <> 'AF' AND q.value <> 0 THEN round((m.value / q.value - 1) * 100, 2) END AS qoq
+        FROM m LEFT JOIN m y ON y.company = m.company AND y.member = m.member AND y.q_ord = m.q_ord - 4 LEFT JOIN m q ON q.company = m.company AND q.member = m.member AND q.q_ord = m.q_ord - 1""",
     "segment_growth_mix": f"""WITH {_SEG}, m AS (SELECT *, 100 * value / sum(value) OVER (PARTITION BY company, q_ord) AS share FROM seg)
         SELECT m.company, m.q_ord, m.member, m.value, round(m.share, 1) AS mix_pct, round(m.share - p.share, 1) + 0.0 AS mix_delta, CASE WHEN p.value <> 0 THEN round((m.value / p.value - 1) * 100, 2) END AS yoy
         FROM m LEFT JOIN m p ON p.company = m.company AND p.member = m.member AND p.q_ord = m.q_ord - 4""",

@@ -29,6 +29,36 @@ def test_negative_prior(spark):
     assert all(r[0] is None for r in rows(growth.calendar(df, True).select("qoq"), "qoq"))
 
 
+def test_filling_keeps_given_growth(spark):
+    df = spark.createDataFrame([("a", 4, 100.0, 5.0, 20.0, None, None), ("a", 5, 120.0, 6.0, 21.0, 7.5, 3.0), ("a", 8, 150.0, -4.0, 22.5, None, 9.0), ("a", 9, 90.0, 3.0, None, 8.5, None)], "company string, q_ord long, revenue double, net double, gross_margin double, qoq double, yoy double")
+    names = ("qoq", "yoy", "net_yoy", "gross_margin_delta")
+    assert rows(growth.calendar(df, False).select("q_ord", *names), "q_ord") == [(4, None, None, None, None), (5, 7.5, 3.0, None, None), (8, None, 9.0, -180.0, 2.5), (9, 8.5, -25.0, -50.0, None)]
+    assert rows(growth.calendar(df, True).select("q_ord", "qoq", "yoy"), "q_ord") == [(4, None, None), (5, 20.0, None), (8, None, 50.0), (9, -40.0, -25.0)]
+
+
+def test_positional_deltas(spark):
+    data = [("a", q, 100.0 + q, float(net), 10.0 + q, None if q == 7 else 5.5) for q, net in ((1, 4), (2, 0), (3, 2), (5, 2), (7, 5), (9, 3))]
+    df = spark.createDataFrame(data, "company string, q_ord long, revenue double, net double, op_margin double, yoy double")
+    got = rows(growth.positional(df).select("q_ord", "net_yoy", "op_margin_delta", "yoy"), "q_ord")
+    assert got == [(1, None, None, 5.5), (2, None, None, 5.5), (3, None, None, 5.5), (5, None, None, 5.5), (7, 25.0, 6.0, 5.94), (9, None, 7.0, 6.86)]
+
+
+def test_mix_of_shares_and_given(spark):
+    schema = "company string, q_ord long, member string, value double, revenue double, mode string, mix_pct double, yoy double, suppress_qoq boolean"
+    data = [("a", 1, "x", 20.0, 200.0, "share", None, None, False), ("a", 5, "x", 50.0, 220.0, None, None, None, False), ("a", 6, "x", 0.0, 100.0, "share", 30.0, 7.0, False)]
+    data += [("a", 1, "y", 60.0, 200.0, None, None, None, None), ("a", 5, "y", 66.0, 220.0, None, 31.0, None, None), ("a", 6, "y", 99.0, 100.0, None, None, None, True), ("a", 5, "z", 1.0, None, "share", None, None, None)]
+    got = rows(growth.mix(spark.createDataFrame(data, schema)).select("q_ord", "member", "value", "mix_pct", "mix_delta", "yoy", "qoq"), "q_ord", "member")
+    assert got == [
+        (1, "x", 40.0, 20.0, None, None, None),
+        (1, "y", 60.0, 30.0, None, None, None),
+        (5, "x", 50.0, 22.7, 2.7, 25.0, None),
+        (5, "y", 66.0, 31.0, 0.0, 10.0, None),
+        (5, "z", 1.0, None, None, None, None),
+        (6, "x", 30.0, 30.0, None, 7.0, -40.0),
+        (6, "y", 99.0, 99.0, None, None, None),
+    ]
+
+
 def test_single_quarters(spark):
     df = spark.createDataFrame([("a", 8096 + i, v) for i, v in enumerate((10.0, 23.0, 37.0, 55.0))], "company string, q_ord long, ytd double")
     assert [r[0] for r in rows(periods.single_quarters(df).select("value", "q_ord"), "q_ord")] == [10.0, 13.0, 14.0, 18.0]
