@@ -49,16 +49,16 @@ class Automaton:
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        #: For each state, the (sequence, last place) pairs of one occurrence in each sequence.
-        self.ends: list[dict[int, int]] = [{}]
+        #: For each state and sequence, the last places of all occurrences.
+        self.ends: list[dict[int, set[int]]] = [{}]
         for s, sequence in enumerate(sequences):
             last = 0
             for place, word in enumerate(sequence):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(s, place)
+                self.ends[last].setdefault(s, set()).add(place)
         for state in sorted(range(1, len(self.link)), key=lambda v: -self.length[v]):
-            for s, place in self.ends[state].items():
-                self.ends[self.link[state]].setdefault(s, place)
+            for s, places in self.ends[state].items():
+                self.ends[self.link[state]].setdefault(s, set()).update(places)
 
     def _new(self, length: int, link: int, follow: dict[int, int]) -> int:
         self.next.append(follow)
@@ -133,8 +133,8 @@ class Scanner:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, self.order[at], -1)
 
-    def scan(self, numbers: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-        """Of a stretch of template words: phrases (first word, which), and maximal matches (first word, words, template, its first word)."""
+    def scan(self, numbers: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, tuple[int, ...]]]]:
+        """Of a stretch of template words: phrases (first word, which), and maximal matches (first word, words, template, all its first words)."""
         found, matches = [], []
         a = self.automaton
         steps = a.statistics(numbers)
@@ -142,24 +142,28 @@ class Scanner:
             found += [(i - size + 1, k) for k, size in self.phrases[state] if length >= size]
             longest = i + 1 == len(steps) or steps[i + 1][1] <= length
             if longest and length >= LEAST_MATCH:
-                matches += [(i - length + 1, length, s, place - length + 1) for s, place in a.ends[state].items() if s < self.n_templates]
+                matches += [(i - length + 1, length, s, tuple(place - length + 1 for place in places)) for s, places in a.ends[state].items() if s < self.n_templates]
         return found, matches
 
-    def spans(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """Covered spans of one text: template, first word, end, words covered."""
+    def spans(self, matches: list[tuple[int, int, int, tuple[int, ...]]]) -> list[tuple[int, int, int, int]]:
+        """Covered spans of one text: template, first word, end, words covered.
+
+        A chain keeps all template places that its matches may have led to; a match goes on from those that one of its own continues.
+        """
         out = []
         for s in range(self.n_templates):
-            chain: list[int] | None = None  # first, end, covered, template place behind it
-            for first, size, of, place in sorted(m for m in matches if m[2] == s):
+            chain: tuple[int, int, int, list[int]] | None = None  # first, end, covered, template places behind it
+            for first, size, _, places in sorted(m for m in matches if m[2] == s):
                 if chain and first + size <= chain[1]:
                     continue
-                if chain and first - chain[1] <= MOST_GAP and place + size > chain[3] and abs((place - chain[3]) - (first - chain[1])) <= MOST_GAP:
-                    new = first + size - max(first, chain[1])
-                    chain = [chain[0], first + size, chain[2] + new, place + size]
+                near = chain is not None and first - chain[1] <= MOST_GAP
+                on = [p + size for p in places if near and any(p + size > q and abs((p - q) - (first - chain[1])) <= MOST_GAP for q in chain[3])]
+                if on:
+                    chain = (chain[0], first + size, chain[2] + first + size - max(first, chain[1]), on)
                 else:
                     if chain and chain[2] >= LEAST_COVER:
                         out.append((s, chain[0], chain[1], chain[2]))
-                    chain = [first, first + size, size, place + size]
+                    chain = (first, first + size, size, [p + size for p in places])
             if chain and chain[2] >= LEAST_COVER:
                 out.append((s, chain[0], chain[1], chain[2]))
         return out
@@ -184,7 +188,7 @@ class Scanner:
             for lo, hi in zip(begins[edges[r] : edges[r + 1]].tolist(), ends[edges[r] : edges[r + 1]].tolist(), strict=True):
                 places, runs = self.scan(listed[lo:hi])
                 found += [(lo - first + i, k) for i, k in places]
-                matches += [(lo - first + i, size, s, place) for i, size, s, place in runs]
+                matches += [(lo - first + i, size, s, places) for i, size, s, places in runs]
             base = sorted({self.labels[self.n_templates + k] for _, k in found})
             spans = self.spans(matches) if matches else []
             share: dict[int, int] = {}

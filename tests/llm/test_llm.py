@@ -5,6 +5,7 @@ import zlib
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -20,6 +21,7 @@ from tallyloom.llm.packing import pack, sum_of_squares
 from tallyloom.llm.suffix_array import cut_repeated_bytes, suffix_array, without_repeats
 from tallyloom.llm.suffix_tree import cut_repeated_words
 from tallyloom.llm.topk import query_topk
+from tallyloom.llm.textcols import ALNUM, Words, texts_of
 from tallyloom.llm.toxicity import keep_clean, score_documents
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _doc string, part int"
@@ -238,6 +240,19 @@ def test_licenses(spark):
     assert got[3].n_words == 0 and got[4].n_base == 0
 
 
+def test_license_run_that_stands_twice():
+    from tallyloom.llm.licenses import TEMPLATES, scanner
+
+    run = "the above copyright notice this list of conditions and the following disclaimer"
+    before, between, behind = TEMPLATES["bsd"].split(run)
+    a = scanner().automaton
+    state, length = a.statistics([scanner().numbers(Words(texts_of(pa.array([run])), ALNUM))[i] for i in range(len(run.split()))])[-1]
+    assert length == len(run.split()) and sorted(a.ends[state][3]) == [len((before + run).split()) - 1, len((before + run + between + run).split()) - 1]
+    for text in (f"{before} zzz {run}", f"{before} zzz {run} zzz {between}", f"{between} zzz {run}", f"{run} zzz {behind}", f"{between} zzz {run} zzz {behind}"):
+        spans = list(scanner().rows(texts_of(pa.array([text]))))[0][-1]
+        assert [(x["label"], x["covered"]) for x in spans if x["label"] == "bsd"] == [("bsd", len(text.replace("zzz", "").split()))]
+
+
 def test_topk(spark):
     r = np.random.default_rng(4)
     rows = [(i, (r.normal(size=8) * r.choice([0.1, 1, 5])).tolist()) for i in range(600)]
