@@ -4,7 +4,8 @@ A word gives two kinds of input: an embedding of the word, and embeddings of its
 first and last characters, so inflected or compounded forms share them.  Both
 directions of the network run over windows of 32 words, an attention layer pools
 the states of a window, and the pooled state gives its logit.  Windows overlap by
-half, every word of a text lies in one, and a text is as toxic as its worst window.
+half in training and by three quarters in scoring, so a passage of up to 25 words lies
+whole in one, and a text is as toxic as its worst window.
 
 Labels are of texts, not of windows.  Training takes the windows that score highest
 in toxic texts as positive, the highest and some random ones of clean texts as
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.textcols import ALNUM, Texts, Words, chunks, mix64, texts_of
 
-WINDOW, STRIDE = 32, 16
+#: Words of a window; words from one to the next in training, and in scoring.
+WINDOW, STRIDE, SCORED_STRIDE = 32, 16, 8
 #: Width of an embedding, and of the state of a direction.
 WIDTH, STATE = 8, 8
 #: Training documents of each label at most; the sample is drawn by a hash of doc_id.
@@ -79,20 +81,20 @@ class Lookup:
         return Lookup, (self.keys,)
 
 
-def windows_of(texts: Texts, lookups: list[Lookup]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(texts: Texts, lookups: list[Lookup], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All windows of the texts: their rows, the numbers of their words (3, windows, WINDOW), and which are words.
 
-    Windows start at every STRIDE-th word, the last one ends with the text; a shorter
+    Windows start at every stride-th word, the last one ends with the text; a shorter
     text is one window with padding.
     """
     low = texts.lowered()
     words = Words(low, ALNUM)
     keys = [words.hashes(), *_edges(low, words)]
     n = words.counts()
-    per = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
+    per = np.maximum(1, -(-(n - WINDOW) // stride) + 1)
     row = np.repeat(np.arange(len(texts)), per)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-    start = np.minimum(nth * STRIDE, np.maximum(n - WINDOW, 0)[row])
+    start = np.minimum(nth * stride, np.maximum(n - WINDOW, 0)[row])
     real = start[:, None] + np.arange(WINDOW) < n[row][:, None]
     at = np.where(real, (words.first[row] + start)[:, None].astype(np.int32) + np.arange(WINDOW, dtype=np.int32), 0)
     numbers = np.zeros((3, *at.shape), np.int32)
@@ -239,11 +241,11 @@ class Model:
             out[lo : lo + BLOCK] = self.network.forward(Network._turned(g, g.shape[:2]), real[lo : lo + BLOCK])
         return out
 
-    def scores(self, texts: Texts) -> np.ndarray:
+    def scores(self, texts: Texts, stride: int = SCORED_STRIDE) -> np.ndarray:
         """The probability of label 1 for each text: that of its highest window."""
         if not len(texts):
             return np.zeros(0)
-        row, numbers, real = windows_of(texts, self.lookups)
+        row, numbers, real = windows_of(texts, self.lookups, stride)
         logit = np.full(len(texts), -np.inf)
         np.maximum.at(logit, row, self.window_scores(numbers, real).astype(float))
         return 1 / (1 + np.exp(-logit))

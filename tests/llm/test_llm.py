@@ -221,6 +221,16 @@ def test_toxicity(spark):
     assert score_documents(docs, known.limit(0)).filter("score <> 0").count() == 0
 
 
+def test_short_passages_lie_whole_in_a_window(monkeypatch):
+    from tallyloom.llm.toxicity import Lookup, Model
+
+    passage = [f"p{i}" for i in range(25)]
+    keys = Words(texts_of(pa.array([" ".join(passage)])), ALNUM).hashes()
+    monkeypatch.setattr(Model, "window_scores", lambda self, numbers, real: (numbers[0] > 1).sum(axis=1) - 24.5)
+    texts = [" ".join(["x"] * at + passage + ["x"] * (75 - at)) for at in range(76)]
+    assert (Model([Lookup(keys)] * 3, None).scores(texts_of(pa.array(texts))) > 0.5).all()
+
+
 def test_automaton():
     r = random.Random(3)
     for _ in range(100):
