@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.rows import checkpointed
+from tallyloom.llm.rows import settled
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -15,20 +15,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     pointer jumping takes it to the root; the edges between roots are the next graph.
     A round at least halves the nodes that still have edges.
     """
-    left = checkpointed(edges.filter(F.col("a") != F.col("b")).distinct())
+    left = settled(edges.filter(F.col("a") != F.col("b")).distinct())
     labels = nodes.select("id", F.col("id").alias("label"))
     while not left.isEmpty():
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = checkpointed(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("p")))
+        parents = settled(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("p")))
         while True:
             above = parents.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-            jumped = checkpointed(parents.join(above, "p").select("a", "p", "pp"))
+            jumped = settled(parents.join(above, "p").select("a", "p", "pp"))
             moved = not jumped.filter(F.col("p") != F.col("pp")).isEmpty()
             parents = jumped.select("a", F.col("pp").alias("p"))
             if not moved:
                 break
         root = lambda c: parents.select(F.col("a").alias(c), F.col("p").alias(f"{c}_root"))
         ends = left.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-        left = checkpointed(ends.filter(F.col("a") != F.col("b")).distinct())
+        left = settled(ends.filter(F.col("a") != F.col("b")).distinct())
         labels = labels.join(parents.select(F.col("a").alias("label"), "p"), "label", "left").select("id", F.coalesce("p", "label").alias("label"))
     return labels

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.rows import NO_ID, buckets, checkpointed, doc_id, identified
+from tallyloom.llm.rows import NO_ID, buckets, checkpointed, doc_id, identified, spread
 
 #: Distinct digests in a shard: some megabytes of slots.
 SHARD_KEYS = 32_768
@@ -124,7 +124,7 @@ def _probe_shard(new: pa.Table, index: pa.Table) -> pa.Table:
 def digested(docs: DataFrame) -> DataFrame:
     """_doc, _sub and the SHA-256 digest of the normalised text of each row."""
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-    return checkpointed(identified(docs, "text").select("_doc", F.col("_sub").cast("long").alias("_sub"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")))
+    return checkpointed(identified(docs, "text").select("_doc", "_sub", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")))
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     old = (F.col("_doc") != NO_ID) & (F.col("_doc") <= ((low or 0) + (high or 0)) // 2)
     n_shards = buckets(n, SHARD_KEYS)
     index = checkpointed(index_history(_distinct(rows.filter(old)), n_shards))
-    return rows.join(look_up(_distinct(rows.filter(~old)), index, n_shards), "digest")
+    return spread(rows, look_up(_distinct(rows.filter(~old)), index, n_shards), ["digest"], ["_doc", "_sub"])  # copies of one text may be a third of all rows
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -175,5 +175,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that stay."""
     whole = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    stay = grouped(docs).filter((F.col("_doc") == F.col("keep_id")) & (F.col("_sub") == F.col("keep_sub"))).select("_doc", F.col("_sub").cast("int").alias("_sub"))
+    stay = grouped(docs).filter((F.col("_doc") == F.col("keep_id")) & (F.col("_sub") == F.col("keep_sub"))).select("_doc", "_sub")
     return identified(whole, "text", "_row").join(stay, ["_doc", "_sub"]).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.jaccard import ASKED, _stepped
 from tallyloom.llm.repeats import DEALT, GROUP_DOCS, batch, bucket_column, packed, unpacked
-from tallyloom.llm.rows import buckets, doc_id, identified, parts
+from tallyloom.llm.rows import dealt_among, doc_id, identified, parts, volume
 from tallyloom.llm.textcols import Texts, Words, chunks, texts_of
 
 #: Words of the longest n-gram; the factor of each step to a shorter one; the count of a word that no other document has.
@@ -30,7 +30,7 @@ ORDER, BACKOFF, UNSEEN = 2, 0.4, 0.5
 BUCKET_DOCS = 1000
 #: Steps between places, counts.
 PLACED = ("<u4", "<u4")
-RESULT = "_doc long, _sub int, n_words long, n_backoff long, log_score double"
+RESULT = "_doc long, _sub long, n_words long, n_backoff long, log_score double"
 
 
 def grams(texts: Texts, order: int) -> tuple[Words, list[tuple[np.ndarray, np.ndarray]]]:
@@ -136,8 +136,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     it.  A text without words scores 0 with a null mean.  Rows that share a doc_id are
     documents of their own; no rows give no rows; columns but doc_id and text are ignored.
     """
-    n_docs = docs.count()
-    n_buckets, n_groups = max(parts(docs), buckets(n_docs, BUCKET_DOCS)), max(4 * parts(docs), buckets(n_docs, GROUP_DOCS))
+    size = volume(docs)
+    n_buckets, n_groups = max(parts(docs), dealt_among(size, BUCKET_DOCS)), max(4 * parts(docs), dealt_among(size, GROUP_DOCS))
     total = docs.select("text").mapInArrow(_count_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     by_bucket = identified(docs, "text").withColumn("bucket", bucket_column(n_buckets))
     asked = by_bucket.groupBy("bucket").applyInArrow(_ask(order, n_groups), DEALT)

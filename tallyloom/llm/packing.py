@@ -69,7 +69,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int, path: str | None) -> DataFr
             of = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays([rows.column(0).take(of), rows.column(1).take(of), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["_doc", "_sub", "piece", "start", "length", "ids_crc32"])
 
-    return identified(docs, "text").mapInArrow(run, "_doc long, _sub int, piece int, start long, length long, ids_crc32 long")
+    return identified(docs, "text").mapInArrow(run, "_doc long, _sub long, piece int, start long, length long, ids_crc32 long")
 
 
 def _pack(capacity: int):
@@ -92,5 +92,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     pieces = checkpointed(tokenized_pieces(docs, capacity, path))
     n_shards = buckets(pieces.count(), SHARD_PIECES)
     sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("_doc", "_sub", "piece"), F.lit(n_shards)))
-    packed = sharded.groupBy("shard").applyInArrow(_pack(capacity), "_doc long, _sub int, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = sharded.groupBy("shard").applyInArrow(_pack(capacity), "_doc long, _sub long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return packed.select(doc_id(), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

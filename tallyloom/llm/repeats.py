@@ -6,14 +6,15 @@ windows name equal grams at equal places, so dealing windows by their anchor's g
 brings equal ones together, and the windows that share an anchor are one run: a row
 for some twenty windows or more.
 
-1. `_runs` gives each run its gram (key) and a digest of all its units (id).  Runs
-   with equal ids are equal throughout; all but the earliest are covered.  They are
-   dropped at the map side where a chunk holds them, the rest where they meet.
+1. `runs_of` gives each run its gram (key) and BLAKE2's 128-bit digest of all its bytes
+   (id).  Runs with equal ids are equal throughout; all but the earliest are covered.
+   They are dropped at the map side where a chunk holds them, the rest where they meet.
 2. Only keys with runs that differ need texts.  Their earliest runs ask for their
-   segments, and each group of keys is searched in memory: by a suffix tree or a
-   suffix array over the segments.
-3. A key with very many different runs (a passage in a third of all documents) isn't
-   brought to one task: its windows are dealt by all their W units.
+   segments, and each group of keys is searched in memory, by a suffix tree or a
+   suffix array over the segments, which compare the words or bytes themselves.
+3. The segments of a key with very many different runs aren't brought to one task:
+   each of its windows is a segment of its own, dealt by the whole window, and
+   searched like the others.
 
 What is covered comes back as spans by bucket of documents, where the texts are cut.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +31,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm import textcols
-from tallyloom.llm.rows import buckets, checkpointed, identified, parts
-from tallyloom.llm.textcols import Texts, Words, chunks, mix64, ranges, sliding_argmin, span_hashes, texts_of
+from tallyloom.llm.rows import checkpointed, dealt_among, identified, parts, volume
+from tallyloom.llm.textcols import Texts, Words, blocks, chunks, doubled, ranges, sliding_argmin, texts_of
 
-#: Documents that are cut together, and per group of keys.
+#: Documents that are cut together, and per group of keys, at least (see rows.dealt_among).
 BUCKET_DOCS, GROUP_DOCS = 400, 1000
 #: Different runs of one key beyond which its windows are dealt one by one.
 HOT_RUNS = 2048
 
-RUN = ("<u8", "<u8", "<i8", "<i4", "<i4", "<i4")  # key, id, doc, sub, start, run
-SPAN = ("<i8", "<i4", "<i4", "<i4")  # doc, sub, start, end
-WISH = ("<u8", "<i8", "<i4", "<i4", "<i4", "<i4")  # key, doc, sub, start, run, hot
-SEGMENT = ("<u8", "<i8", "<i4", "<i4", "<i4", "<i4")  # key, doc, sub, start, run, bytes
+RUN = ("<u8", "<u8", "<u8", "<i8", "<i8", "<i4", "<i4")  # key, id, rest of id, doc, sub, start, run
+SPAN = ("<i8", "<i8", "<i4", "<i4")  # doc, sub, start, end
+WISH = ("<u8", "<i8", "<i8", "<i4", "<i4", "<i4")  # key, doc, sub, start, run, hot
+SEGMENT = ("<i8", "<i8", "<i4", "<i4", "<i4")  # doc, sub, start, run, bytes
 DEALT = "part int, kind int, data binary"
-RUNS, SPANS, WISHES, SEGMENTS, WINDOWS = range(5)
+RUNS, SPANS, WISHES, SEGMENTS = range(4)
 
 
 def packed(columns: list[np.ndarray], kinds: tuple[str, ...], tail: bytes = b"") -> bytes:
@@ -65,11 +66,10 @@ def unpacked(blobs: list[bytes], kinds: tuple[str, ...]) -> tuple[list[np.ndarra
     return [np.concatenate(x) for x in columns], b"".join(tails)
 
 
-def dealt(part: np.ndarray, kind: int, columns: list[np.ndarray], kinds: tuple[str, ...], lengths: np.ndarray | None = None, data: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
-    """Rows of DEALT: one for each part; data holds lengths[i] bytes for entry i, if any."""
+def dealt(part: np.ndarray, kind: int, columns: list[np.ndarray], kinds: tuple[str, ...], lengths: np.ndarray | None = None, data: np.ndarray | None = None, begins: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
+    """Rows of DEALT: one for each part; data holds lengths[i] bytes from begins[i] on for entry i, if any."""
     order = np.argsort(part, kind="stable")
     edges = np.append(np.flatnonzero(np.diff(part[order], prepend=-(1 << 62))), len(order))
-    begins = None if lengths is None else np.cumsum(lengths) - lengths
     out = []
     for lo, hi in zip(edges, edges[1:], strict=False):
         own = order[lo:hi]
@@ -94,28 +94,45 @@ class Units:
     within: bool
 
     def split(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, Words | None]:
-        """A 64-bit value for each unit, the first unit of each row, and the words."""
+        """Where each unit begins (and the last one ends) in the bytes that digests are of, the first unit of each row, and the words."""
         if self.words:
             words = Words(texts)
-            return words.hashes(), words.first, words
-        return textcols._BYTE_VALUES[texts.data], texts.offsets, None
+            return words.spaced()[1], words.first, words
+        return np.arange(len(texts.data) + 1), texts.offsets, None
 
-    def windows(self, values: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-        return span_hashes(values, at, at + length, textcols._WORD_BASE)
+    def content(self, texts: Texts, words: Words | None) -> np.ndarray:
+        """The bytes of all units, one after the other."""
+        return texts.data if words is None else words.spaced()[0]
+
+    def grams(self, texts: Texts, words: Words | None) -> np.ndarray:
+        """A hash of the gram at each unit; it deals runs, and nothing rests on it."""
+        return doubled(blocks(texts.data)[:-1].copy(), self.gram, 8) if words is None else doubled(words.hashes(), self.gram)
+
+
+def digests(content: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of BLAKE2's 128-bit digest of content[lo:hi] for each span."""
+    data = memoryview(np.ascontiguousarray(content)).cast("B") if len(content) else memoryview(b"")
+    both = np.frombuffer(b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 #: Finds, for segments in memory, the windows that an earlier one equals.
 Search = Callable[["Units", np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _earliest(ids: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+def _earliest(ids: tuple[np.ndarray, np.ndarray], doc: np.ndarray, sub: np.ndarray, start: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places in order of ids, and which of them stay: the first of each id, or all of the first document."""
-    order = np.lexsort((start, sub, doc, ids))
-    i, d = ids[order], doc[order]
+    one, two = ids
+    order = np.lexsort((start, sub, doc, one))
+    halves = one[order], two[order]
+    if ((halves[0][1:] == halves[0][:-1]) & (halves[1][1:] != halves[1][:-1])).any():
+        order = np.lexsort((start, sub, doc, two, one))
+        halves = one[order], two[order]
     first = np.ones(len(order), bool)
-    first[1:] = i[1:] != i[:-1]
+    first[1:] = (halves[0][1:] != halves[0][:-1]) | (halves[1][1:] != halves[1][:-1])
     if within or not len(order):
         return order, first
+    d = doc[order]
     return order, d == d[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
 
 
@@ -124,11 +141,11 @@ _PRIME, _FACTOR = 2_147_483_647, 48_271
 
 
 def bucket_column(n: int):
-    return ((F.pmod("_doc", F.lit(_PRIME)) * _FACTOR + F.col("_sub")) % _PRIME % n).cast("int")
+    return ((F.pmod("_doc", F.lit(_PRIME)) * _FACTOR + F.pmod("_sub", F.lit(_PRIME))) % _PRIME % n).cast("int")
 
 
 def _bucket(doc: np.ndarray, sub: np.ndarray, n: int) -> np.ndarray:
-    return (np.mod(doc.astype(np.int64), _PRIME) * _FACTOR + sub) % _PRIME % n
+    return (np.mod(doc.astype(np.int64), _PRIME) * _FACTOR + np.mod(sub.astype(np.int64), _PRIME)) % _PRIME % n
 
 
 def _key_part(key: np.ndarray, n: int) -> np.ndarray:
@@ -141,32 +158,32 @@ def _spans(doc, sub, start, end, n_buckets: int) -> list[tuple[int, int, bytes]]
 
 
 def runs_of(units: Units, texts: Texts) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share an anchor: row, key, id, first window, number of windows."""
-    values, first, _ = units.split(texts)
+    """Runs of windows that share an anchor: row, key, both halves of the id, first window, number of windows."""
+    begins, first, words = units.split(texts)
     lengths = np.diff(first)
-    grams = ranges(first[:-1], np.maximum(lengths - units.gram + 1, 0))
-    keys = np.full(len(values), np.iinfo(np.uint64).max, np.uint64)
-    keys[grams] = units.windows(values, grams, units.gram)
     at = ranges(first[:-1], np.maximum(lengths - units.window + 1, 0))
     if not len(at):
         empty = np.zeros(0, np.int64)
-        return empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
+        return empty, *(empty.astype(np.uint64),) * 3, empty, empty
+    grams = ranges(first[:-1], np.maximum(lengths - units.gram + 1, 0))
+    keys = np.full(int(first[-1]), np.iinfo(np.uint64).max, np.uint64)
+    keys[grams] = units.grams(texts, words)[grams]
     anchor = sliding_argmin(keys, units.window - units.gram + 1)[at]
     begin = np.flatnonzero(np.diff(anchor, prepend=-1))
     start, run, anchor = at[begin], np.diff(np.append(begin, len(at))), anchor[begin]
-    whole = span_hashes(values, start, start + run - 1 + units.window, textcols._WORD_BASE)
+    ids = digests(units.content(texts, words), begins[start], begins[start + run - 1 + units.window])
     row = np.searchsorted(first, start, "right") - 1
-    return row, keys[anchor], mix64(whole + mix64((anchor - start).astype(np.uint64) + keys[anchor])), start - first[row], run
+    return row, keys[anchor], *ids, start - first[row], run
 
 
 def _map_runs(units: Units, n_groups: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches):
-            row, key, ids, start, n = runs_of(units, texts)
+            row, key, one, two, start, n = runs_of(units, texts)
             doc, sub = (rows.column(c).to_numpy(zero_copy_only=False)[row] for c in (0, 1))
-            order, stay = _earliest(ids, doc, sub, start, units.within)
+            order, stay = _earliest((one, two), doc, sub, start, units.within)
             gone, stay = order[~stay], np.sort(order[stay])
-            out = dealt(_key_part(key[stay], n_groups), RUNS, [x[stay] for x in (key, ids, doc, sub, start, n)], RUN)
+            out = dealt(_key_part(key[stay], n_groups), RUNS, [x[stay] for x in (key, one, two, doc, sub, start, n)], RUN)
             yield from batch(out + _spans(doc[gone], sub[gone], start[gone], start[gone] + n[gone] - 1 + units.window, n_buckets)).to_batches()
 
     return run
@@ -176,14 +193,15 @@ def _meet_runs(units: Units, n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
         if table["part"][0].as_py() < 0:
             return table
-        (key, ids, doc, sub, start, n), _ = unpacked(table["data"].to_pylist(), RUN)
-        order, stay = _earliest(ids, doc, sub, start, units.within)
+        (key, one, two, doc, sub, start, n), _ = unpacked(table["data"].to_pylist(), RUN)
+        order, stay = _earliest((one, two), doc, sub, start, units.within)
         gone, stay = order[~stay], order[stay]
         out = _spans(doc[gone], sub[gone], start[gone], start[gone] + n[gone] - 1 + units.window, n_buckets)
-        by_key = stay[np.lexsort((ids[stay], key[stay]))]
-        k, i = key[by_key], ids[by_key]
+        # those that stay are in order of ids, which a stable sort keeps within a key
+        by_key = stay[np.argsort(key[stay], kind="stable")]
+        k, i, j = key[by_key], one[by_key], two[by_key]
         new_key = np.diff(k, prepend=~k[:1]) != 0
-        new_id = np.diff(i, prepend=~i[:1]) != 0
+        new_id = (np.diff(i, prepend=~i[:1]) != 0) | (np.diff(j, prepend=~j[:1]) != 0)
         of = np.cumsum(new_key) - 1
         different = np.bincount(of, new_key | new_id, minlength=1)[of] if len(of) else of
         ask = different > 1
@@ -195,11 +213,11 @@ def _meet_runs(units: Units, n_buckets: int):
 
 def _locate(docs: pa.Table, doc: np.ndarray, sub: np.ndarray) -> np.ndarray:
     """The row of docs of each (doc, sub)."""
-    have = np.rec.fromarrays([docs["_doc"].to_numpy(), docs["_sub"].to_numpy().astype(np.int32)], names="d,s")
+    have = np.rec.fromarrays([docs["_doc"].to_numpy(), docs["_sub"].to_numpy()], names="d,s")
     order = np.argsort(have, order=("d", "s"))
     if not len(order):
         return np.zeros(0, np.int64)
-    asked = np.rec.fromarrays([doc, sub.astype(np.int32)], names="d,s")
+    asked = np.rec.fromarrays([doc, sub], names="d,s")
     return order[np.searchsorted(have[order], asked)]
 
 
@@ -211,24 +229,29 @@ def _segments(units: Units, n_groups: int, n_buckets: int):
         if not len(key):
             return batch([])
         texts = texts_of(docs["text"])
-        values, first, words = units.split(texts)
-        begin = first[_locate(docs, doc, sub)] + start
+        begins, first, words = units.split(texts)
+        row = _locate(docs, doc, sub)
+        # a hot key's windows are segments of one window each
+        each = np.where(hot != 0, n, 1)
+        own = np.repeat(np.arange(len(key)), each)
+        start = start[own] + ranges(np.zeros(len(key), np.int64), each)
+        n, alone, out = np.where(hot[own] != 0, 1, n[own]), hot[own] != 0, []
+        begin = first[row[own]] + start
         end = begin + n - 1 + units.window
-        cool, out = hot == 0, []
-        if cool.any():
-            lo, hi = (words.start[begin[cool]], words.end[end[cool] - 1]) if units.words else (begin[cool], end[cool])
-            data = texts.data[ranges(lo, hi - lo)]
-            out += dealt(_key_part(key[cool], n_groups), SEGMENTS, [*(x[cool] for x in (key, doc, sub, start, n)), hi - lo], SEGMENT, hi - lo, data)
-        if not cool.all():
-            own = np.repeat(np.flatnonzero(~cool), n[~cool])
-            at = ranges(begin[~cool], n[~cool])
-            prints = units.windows(values, at, units.window)
-            d, s, p = doc[own], sub[own], (at - first[_locate(docs, doc, sub)][own])
-            order, stay = _earliest(prints, d, s, p, units.within)
-            gone, stay = order[~stay], np.sort(order[stay])
-            out += _spans(d[gone], s[gone], p[gone], p[gone] + units.window, n_buckets)
-            ones = np.ones(len(stay), np.int32)
-            out += dealt(_key_part(prints[stay], n_groups), WINDOWS, [prints[stay], prints[stay], d[stay], s[stay], p[stay], ones], RUN)
+        part = _key_part(key[own], n_groups)
+        if alone.any():
+            ids = np.zeros(len(own), np.uint64), np.zeros(len(own), np.uint64)
+            ids[0][alone], ids[1][alone] = digests(units.content(texts, words), begins[begin[alone]], begins[end[alone]])
+            part[alone] = _key_part(ids[0][alone], n_groups)
+            which = np.flatnonzero(alone)
+            order, stay = _earliest((ids[0][which], ids[1][which]), doc[own][which], sub[own][which], start[which], units.within)
+            gone = which[order[~stay]]
+            out += _spans(doc[own][gone], sub[own][gone], start[gone], start[gone] + units.window, n_buckets)
+            keep = np.ones(len(own), bool)
+            keep[gone] = False
+            own, start, n, begin, end, part = (x[keep] for x in (own, start, n, begin, end, part))
+        lo, hi = (words.start[begin], words.end[end - 1]) if units.words else (begin, end)
+        out += dealt(part, SEGMENTS, [doc[own], sub[own], start, n, hi - lo], SEGMENT, hi - lo, texts.data, lo)
         return batch(out)
 
     return run
@@ -240,16 +263,11 @@ def _search(units: Units, search: Search, n_buckets: int):
             return table
         rows = list(zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True))
         out = []
-        (_, ids, doc, sub, start, _), _ = unpacked([d for k, d in rows if k == WINDOWS], RUN)
-        if len(ids):
-            order, stay = _earliest(ids, doc, sub, start, units.within)
-            gone = order[~stay]
-            out += _spans(doc[gone], sub[gone], start[gone], start[gone] + units.window, n_buckets)
-        (_, doc, sub, start, n, size), data = unpacked([d for k, d in rows if k == SEGMENTS], SEGMENT)
+        (doc, sub, start, n, size), data = unpacked([d for k, d in rows if k == SEGMENTS], SEGMENT)
         if len(doc):
             texts = Texts(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(size, dtype=np.int64)]))
-            values, first, _ = units.split(texts)
-            codes = values if units.words else texts.data
+            _, first, words = units.split(texts)
+            codes = texts.data if words is None else words.exact()
             of = np.repeat(np.arange(len(doc)), n)
             at = ranges(first[:-1], n)
             where = start[of] + at - first[of]
@@ -305,9 +323,9 @@ def _cut(units: Units, as_text: bool):
 
 def without_covered(docs: DataFrame, units: Units, search: Search, as_text: bool = False) -> DataFrame:
     """_doc, _sub, n_units, n_removed, n_spans and kept (bytes; as_text: without characters cut in two) of every row of docs."""
-    n_docs = docs.count()
-    n_buckets = max(parts(docs), buckets(n_docs, BUCKET_DOCS))
-    n_groups = max(4 * parts(docs), buckets(n_docs, GROUP_DOCS))
+    size = volume(docs)
+    n_buckets = max(parts(docs), dealt_among(size, BUCKET_DOCS))
+    n_groups = max(4 * parts(docs), dealt_among(size, GROUP_DOCS))
     rows = identified(docs, "text")
 
     runs = rows.mapInArrow(_map_runs(units, n_groups, n_buckets), DEALT)
@@ -317,7 +335,7 @@ def without_covered(docs: DataFrame, units: Units, search: Search, as_text: bool
     segments = _together(by_bucket, met, WISHES).applyInArrow(_segments(units, n_groups, n_buckets), DEALT)
     found = segments.groupBy("part").applyInArrow(_search(units, search, n_buckets), DEALT)
     spans = met.filter(F.col("kind") == SPANS).unionByName(found)
-    return _together(by_bucket, spans, SPANS).applyInArrow(_cut(units, as_text), "_doc long, _sub int, n_units long, n_removed long, n_spans long, kept binary")
+    return _together(by_bucket, spans, SPANS).applyInArrow(_cut(units, as_text), "_doc long, _sub long, n_units long, n_removed long, n_spans long, kept binary")
 
 
 def _together(by_bucket: DataFrame, dealt_rows: DataFrame, kind: int):

@@ -4,21 +4,23 @@ Groups of runs come together as `repeats` describes.  In a group, variable-lengt
 prefixes split the suffixes into sets that fit in memory: a set that is too large is
 split by its next word, small sets with prefixes of one length go together.  Each
 set's subtree grows level by level: the suffixes below a node branch by their next
-words, one, two, four and so on, and a branch with one suffix is a leaf that needs no
-more reading.  Internal nodes as deep as a window are the repeats; all suffixes below
+words, one, two, four and so on, by numbers that stand for the words themselves, and a
+branch with one suffix is a leaf that needs no more reading.  Internal nodes as deep as a window are the repeats; all suffixes below
 one but those of its first document are covered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.repeats import Units, without_covered
 from tallyloom.llm.rows import doc_id
+from tallyloom.llm.textcols import numbered
 
 #: Words of the shortest passage that counts.
 WINDOW = 50
@@ -51,14 +53,29 @@ def prefix_sets(codes: np.ndarray, at: np.ndarray, depth_most: int, most: int) -
             yield np.concatenate(together), np.repeat(np.arange(len(together)), [len(x) for x in together]), depth + 1
 
 
-def deep_nodes(units: Units, codes: np.ndarray, at: np.ndarray, own: np.ndarray, node: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def labels(codes: np.ndarray, most: int) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Gives the next `step` words at each place as one number: equal for equal words alone."""
+    names = [codes]
+    while 1 << len(names) <= most:
+        width = 1 << (len(names) - 1)  # two runs of so many words are named together
+        names.append(numbered(pa.array(names[-1][:-width] << 32 | names[-1][width:])))
+
+    def label(at: np.ndarray, step: int) -> np.ndarray:
+        level = step.bit_length() - 1
+        left = names[level][at]
+        return left if step == 1 << level else left << 32 | names[level][at + step - (1 << level)]
+
+    return label
+
+
+def deep_nodes(window: int, label: Callable[[np.ndarray, int], np.ndarray], at: np.ndarray, own: np.ndarray, node: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes that hang below internal nodes of the window's depth, and those nodes."""
     step = 1
-    while depth < units.window and len(own):
-        step = min(step, units.window - depth)
-        label = codes[at[own] + depth] if step == 1 else units.windows(codes, at[own] + depth, step)
-        order = np.lexsort((label, node))
-        n, b = node[order], label[order]
+    while depth < window and len(own):
+        step = min(step, window - depth)
+        branch = label(at[own] + depth, step)
+        order = np.lexsort((branch, node))
+        n, b = node[order], branch[order]
         new = np.ones(len(order), bool)
         new[1:] = (n[1:] != n[:-1]) | (b[1:] != b[:-1])
         child = np.cumsum(new) - 1
@@ -69,9 +86,9 @@ def deep_nodes(units: Units, codes: np.ndarray, at: np.ndarray, own: np.ndarray,
 
 def covered_by_suffix_tree(units: Units, codes: np.ndarray, first: np.ndarray, at: np.ndarray, rank: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Which windows codes[at:at + window] equal one of smaller rank."""
-    covered = np.zeros(len(at), bool)
+    covered, label = np.zeros(len(at), bool), labels(codes, units.window // 2)
     for own, node, depth in prefix_sets(codes, at, units.window, SET_SUFFIXES):
-        own, node = deep_nodes(units, codes, at, own, node, depth)
+        own, node = deep_nodes(units.window, label, at, own, node, depth)
         if len(own):
             least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, node, rank[own])

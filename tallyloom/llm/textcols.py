@@ -1,16 +1,19 @@
 """Whole Arrow text columns as arrays of words: boundaries, hashes and windows.
 
 Python code in this subpackage never loops over the words of a document.  A
-batch of texts is one byte buffer with document offsets; words are runs of
-bytes of a class, their 64-bit hashes come from one prefix sum over the buffer
-(a polynomial modulo 2**64 with an odd, hence invertible, base), and windows of
-k words are hashed the same way over the word hashes.
+batch of texts is one byte buffer with document offsets; words are runs of bytes
+of a class.  A word's 64-bit hash is a chain of bijective mixes over its blocks of
+eight bytes (BLAKE2 for words of over 256 bytes), that of a window is made by
+doubling: two halves are mixed into one.  No step is linear in the bytes, so no
+pattern of words makes equal hashes, as it does for polynomials modulo 2**64.
+`Words.exact` numbers words by their bytes where a result must not rest on hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,12 @@ ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD1342543DE82EF95
+#: Odd factors that part the chains and halves.
+_CHAIN, _LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95), U64(0xA24BAED4963EE407)
+#: Words of more bytes are hashed one by one.
+_LONG = 256
+#: Keeps the first i bytes of a block.
+_FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -49,34 +54,46 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n (n is rounded up by the caller)."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.ones(n, U64)
-        have = 1
-        step = b
-        while have < n:
-            m = min(have, n - have)
-            p[have : have + m] = p[:m] * U64(step)
-            have += m
-            step = step * step % (1 << 64)
-        out.append(p)
-    return out[0], out[1]
-
-
-def _rounded(n: int) -> int:
-    return 1 << max(12, (n - 1).bit_length())
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span; equal content gives equal hashes."""
-    n = len(values)
-    power, inverse = _powers(base, _rounded(n + 1))
-    total = np.zeros(n + 1, U64)
-    np.cumsum(values * power[:n], out=total[1:])
-    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span of bytes; equal bytes give equal hashes, another seed gives independent ones."""
+    size = end - start
+    out = mix64(size.astype(U64) * _LEFT + U64((seed * 0x2545F4914F6CDD1D + 1) % (1 << 64)))
+    if not len(size):
+        return out
+    at, all_blocks = np.flatnonzero(size <= _LONG), blocks(data)
+    done = 0
+    while len(at):
+        value = all_blocks[start[at] + done] & _FIRST[np.minimum(size[at] - done, 8)]
+        out[at] = mix64(out[at] * _CHAIN ^ value)
+        done += 8
+        at = at[size[at] > done]
+    salt = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(blake2b(data[start[i] : end[i]], digest_size=8, salt=salt).digest(), "little")
+    return out
+
+
+def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One value for two, mixed so that neither order nor sums survive."""
+    return mix64((left * _LEFT ^ (right >> U64(32) | right << U64(32))) + right * _RIGHT)
+
+
+def doubled(values: np.ndarray, k: int, width: int = 1) -> np.ndarray:
+    """Hashes of all runs of k values, from those of runs of `width`."""
+    n = len(values) + width - 1
+    while 2 * width <= k and len(values) > width:
+        values = paired(values[:-width], values[width:])
+        width *= 2
+    if n < k:
+        return np.zeros(0, U64)
+    return paired(values[: n - k + 1], values[k - width :]) if width < k else values
 
 
 class Texts:
@@ -112,7 +129,7 @@ class Words:
     """Words of a chunk: word w is data[start[w]:end[w]] of row[w]; row r has words first[r]:first[r + 1]."""
 
     def __init__(self, texts: Texts, kind: np.ndarray = NOT_SPACE):
-        self.texts = texts
+        self.texts, self._spaced = texts, None
         data, offsets = texts.data, texts.offsets
         inside = kind[data]
         begins = inside.copy()
@@ -135,21 +152,63 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(_BYTE_VALUES[self.texts.data], self.start, self.end, _BYTE_BASE)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return span_hashes(self.texts.data, self.start, self.end, seed)
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows of k words that lie in one row, and the windows' hashes."""
         at = np.arange(max(0, len(hashes) - k + 1))
         at = at[self.row[at] == self.row[at + k - 1]] if len(at) else at
-        return at, span_hashes(hashes, at, at + k, _WORD_BASE)
+        return at, doubled(hashes, k)[at]
+
+    def spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words one after the other, each followed by a space, and where each begins (and the last one ends)."""
+        if self._spaced is None:
+            size = self.end - self.start
+            first = np.concatenate([[0], np.cumsum(size + 1)])
+            out = np.full(int(first[-1]), 0x20, np.uint8)
+            out[ranges(first[:-1], size)] = self.texts.data[ranges(self.start, size)]
+            self._spaced = out, first
+        return self._spaced
+
+    def exact(self) -> np.ndarray:
+        """A number for each word, by its bytes: equal words have equal ones, different words different ones."""
+        data, first = self.spaced()
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(data)])
+        return numbered(column)
+
 
+def numbered(column: pa.Array) -> np.ndarray:
+    """Equal values by equal numbers, counted from 0 in order of appearance."""
+    return column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
-def byte_windows(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all k-byte strings that lie in one row, and their hashes."""
-    lengths = np.maximum(texts.byte_lengths() - k + 1, 0)
-    at = ranges(texts.offsets[:-1], lengths)
-    return at, span_hashes(_BYTE_VALUES[texts.data], at, at + k, _BYTE_BASE)
+
+def named(values: np.ndarray, k: int) -> np.ndarray:
+    """Numbers for all runs of k values (numbers below 2**31): equal runs have equal ones, different runs different ones."""
+    n, width = len(values), 1
+    if n < k:
+        return np.zeros(0, np.int64)
+    both = lambda x, y: x << 32 | y
+    while 2 * width <= k:
+        values = numbered(pa.array(both(values[:-width], values[width:])))
+        width *= 2
+    return both(values[: n - k + 1], values[k - width :]) if width < k else values
+
+
+#: Odd factors of the rolling hash.
+_ROLL_BASE = 0x9E3779B9
+_ROLL_VALUES = mix64(np.arange(1, 257, dtype=U64)).astype(np.uint32) | np.uint32(1)
+
+
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**32 for i < n."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 32)):
+        p = np.full(n, b, np.uint32)
+        p[:1] = 1
+        out.append(np.multiply.accumulate(p, dtype=np.uint32))
+    return out[0], out[1]
 
 
 def rolling_hashes(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,9 +216,9 @@ def rolling_hashes(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(texts.data)
     if n < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    power, inverse = (x.astype(np.uint32) for x in _powers(_BYTE_BASE, _rounded(n + 1)))
+    power, inverse = _powers(_ROLL_BASE, 1 << max(12, n.bit_length()))
     total = np.zeros(n + 1, np.uint32)
-    np.cumsum((_BYTE_VALUES >> U64(24)).astype(np.uint32)[texts.data] * power[:n], out=total[1:])
+    np.cumsum(_ROLL_VALUES[texts.data] * power[:n], out=total[1:])
     mixed = (total[k:] - total[:-k]) * inverse[: n - k + 1]
     inside = np.ones(n - k + 1, bool)
     edges = texts.offsets[(texts.offsets > 0) & (texts.offsets < n)]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.rows import buckets, checkpointed
 
 #: Candidates in a block and queries in a block, about.
-BLOCK, QUERIES = 4096, 1024
+BLOCK, QUERIES = 1024, 1024
 #: Lengths in a bucket differ by this factor at most.
 RATIO = 1.05
 #: Local cosine threshold from which coordinates are looked at.
@@ -121,8 +121,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     its own neighbour, nor is any with its vec_id.  Vectors of several widths are
     compared as if the shorter ones ended in zeros.  No rows give no rows.
     """
-    bucket = F.floor(F.log(F.col("length") + 1) / F.log(F.lit(RATIO)))
-    vectors = checkpointed(vectors.withColumn("bucket", bucket))
+    vectors = checkpointed(vectors.withColumn("bucket", F.floor(F.log(F.col("length") + 1) / F.log(F.lit(RATIO)))))
     sizes = vectors.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("length").alias("top")).orderBy(F.desc("bucket")).collect()  # of the range of lengths, not of rows
     first, table = 0, []
     for row in sizes:
@@ -133,26 +132,48 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return queries.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).filter("false")
     spark = vectors.sparkSession
     plan = spark.createDataFrame(table, "bucket long, first long, n long, top double")
-    blocks = vectors.join(F.broadcast(plan), "bucket").select("vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), "n")).alias("block"))
-    q_blocks = buckets(queries.count(), QUERIES)
-    asked = queries.select(*(F.col(c).alias(c) for c in ("vec_id", "v", "length"))).withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)))
+    blocks = vectors.join(F.broadcast(plan.drop("top")), "bucket").select("vec_id", "v", "bucket", (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), "n")).alias("block"))
+    asked = queries.select(*(F.col(c).alias(c) for c in ("vec_id", "v", "length")))
 
-    start = _dealt(blocks.filter("block = 0"), q_blocks)  # the longest vectors
-    began = _ranked(asked.withColumn("threshold", F.lit(float("-inf"))).groupBy("q_block").cogroup(start.groupBy("q_block")).applyInArrow(_search(k), FOUND), k)
-    known = checkpointed(began)
+    q_blocks = buckets(queries.count(), QUERIES)
+    start = blocks.filter("block = 0").withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))  # the longest vectors
+    began = asked.withColumn("threshold", F.lit(float("-inf"))).withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)))
+    known = checkpointed(_ranked(began.groupBy("q_block").cogroup(start.groupBy("q_block")).applyInArrow(_search(k), FOUND), k))
     thresholds = known.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("threshold"))
-    reach = spark.createDataFrame(table, "bucket long, first long, n long, top double").select("top", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("block"))
-    with_threshold = asked.join(thresholds, "vec_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("-inf"))))
-    sent = with_threshold.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(first - 1)) if first > 1 else F.array().cast("array<int>")))
-    sent = sent.join(F.broadcast(reach), "block").filter((F.col("threshold") <= 0) | (F.col("threshold") <= F.col("length") * F.col("top") * (1 + SLACK)))
-    there = _dealt(blocks.filter("block > 0"), q_blocks)
+
+    # a query only helps itself to buckets whose longest vector reaches its need; queries of like need share a block
+    need = F.when(F.col("threshold") <= 0, 0.0).when(F.col("length") > 0, F.col("threshold") / (F.col("length") * (1 + SLACK))).otherwise(float("inf"))
+    needs = asked.join(thresholds, "vec_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("-inf")))).withColumn("need", need)
+    tops = [row["top"] for row in sizes]  # descending
+    reach = F.size(F.filter(F.array(*(F.lit(t) for t in tops)), lambda t: t >= F.col("need")))  # so many buckets, the longest first
+    needs = checkpointed(needs.withColumn("reach", reach))
+    counts = {row["reach"]: row["count"] for row in needs.groupBy("reach").count().collect()}  # a row for a bucket at most
+    groups, q_first, places = _together(counts), 0, []
+    for reaches, size in groups:
+        n = buckets(size, QUERIES)
+        places += [(r, q_first, n, max(reaches)) for r in reaches]
+        q_first += n
+    ends = [row[1] + row[2] for row in table]  # blocks of the buckets up to each
+    spots = spark.createDataFrame([(r, f, n, ends[g - 1] - 1 if g else 0) for r, f, n, g in places], "reach int, q_first long, q_n long, last long")
+    q = needs.join(F.broadcast(spots), "reach").withColumn("q_block", F.col("q_first") + F.pmod(F.xxhash64("vec_id"), "q_n"))
+    sent = q.filter("last > 0").select("vec_id", "v", "threshold", "q_block", F.explode(F.sequence(F.lit(1).cast("long"), "last")).alias("block"))
+    # the blocks of queries that reach a bucket are those from some number on, as groups come in order of reach
+    from_block = [(table[i][0], min([f for r, f, _, g in places if g > i], default=q_first)) for i in range(len(table))]
+    begins = spark.createDataFrame(from_block, "bucket long, q_from long")
+    there = blocks.filter("block > 0").join(F.broadcast(begins), "bucket").filter(F.col("q_from") < q_first).withColumn("q_block", F.explode(F.sequence("q_from", F.lit(q_first - 1).cast("long")))).drop("bucket", "q_from")
     found = sent.groupBy("block", "q_block").cogroup(there.groupBy("block", "q_block")).applyInArrow(_search(k), FOUND)
     return _ranked(known.drop("rank").unionByName(found), k).select("query_id", "rank", "vec_id", "score")
 
 
-def _dealt(blocks: DataFrame, q_blocks: int) -> DataFrame:
-    """Each candidate once for each block of queries."""
-    return blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+def _together(counts: dict[int, int]) -> list[tuple[list[int], int]]:
+    """Neighbouring reaches, ascending, gathered until a group has a block's queries."""
+    out: list[tuple[list[int], int]] = []
+    for reach in sorted(counts):
+        if out and out[-1][1] < QUERIES:
+            out[-1] = ([*out[-1][0], reach], out[-1][1] + counts[reach])
+        else:
+            out.append(([reach], counts[reach]))
+    return out
 
 
 def query_topk(embeddings: DataFrame, each: int = 100, k: int = 10) -> DataFrame:
