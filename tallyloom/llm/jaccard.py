@@ -289,11 +289,14 @@ def _between(member: DataFrame, posted: DataFrame, known: DataFrame) -> DataFram
     """
     whole = member.select("id", "grp", "core", F.col("n"), "common").join(known, "id")
     listed = spread(whole, posted.select("token", "grp", "place"), ["grp"], ["id"]).withColumn("left", F.col("common") - F.col("place")).withColumn("top", F.floor(F.col("left") * (100 + SIMILARITY) / SIMILARITY) - F.col("n"))
-    listed = settled(listed.filter(F.col("left") * 100 >= F.col("n") * SIMILARITY).select("token", "id", "n", "left", "top", "core", "label"))
+    listed = listed.filter(F.col("left") * 100 >= F.col("n") * SIMILARITY).select("token", "id", "n", "left", "top", "core", "label")
+    # most lists have one component, and make no pairs
+    several = listed.groupBy("token").agg(F.min("label").alias("_one"), F.max("label").alias("_other")).filter("_one <> _other").select("token")
+    listed = settled(spread(listed, several, ["token"], ["id"]))
     smaller = listed.filter(F.col("top") >= F.col("n")).withColumn("band", _band(F.col("n")))
     least = F.ceil(F.col("n") * SIMILARITY / 100)
     larger = listed.filter(F.col("top") >= least).withColumn("band", F.explode(F.sequence(_band(least), _band(F.least("n", "top")))))
-    # lists with one component make no pairs; the others' nodes are dealt by list, band and part, so that no list meets in one task
+    # nodes are dealt by list, band and part, so that no list meets in one task
     both = smaller.select("token", "band", "label").unionByName(larger.select("token", "band", "label"))
     counted = both.groupBy("token", "band", "label").agg(F.count(F.lit(1)).alias("size"))
     mixed = counted.groupBy("token", "band").agg(F.max(F.struct("size", "label")).alias("major"), F.count(F.lit(1)).alias("labels"), F.sum("size").alias("size")).filter("labels > 1")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.rows import checkpointed, dealt_among, identified, parts, volume
-from tallyloom.llm.textcols import Texts, Words, blocks, chunks, doubled, ranges, sliding_argmin, texts_of
+from tallyloom.llm.textcols import Texts, Words, blocks, chunks, combined, ranges, sliding_argmin, texts_of
 
 #: Documents that are cut together, and per group of keys, at least (see rows.dealt_among).
 BUCKET_DOCS, GROUP_DOCS = 400, 1000
@@ -106,7 +106,7 @@ class Units:
 
     def grams(self, texts: Texts, words: Words | None) -> np.ndarray:
         """A hash of the gram at each unit; it deals runs, and nothing rests on it."""
-        return doubled(blocks(texts.data)[:-1].copy(), self.gram, 8) if words is None else doubled(words.hashes(), self.gram)
+        return combined(blocks(texts.data)[:-1].copy(), self.gram // 8, 8)[: len(texts.data) - self.gram + 1] if words is None else combined(words.hashes(), self.gram)
 
 
 def digests(content: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -43,14 +43,25 @@ _LONG = 256
 _FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values in which every input bit reaches every output bit."""
-    x = x.astype(U64, copy=True)
-    x ^= x >> U64(30)
-    x *= U64(0xBF58476D1CE4E5B9)
-    x ^= x >> U64(27)
-    x *= U64(0x94D049BB133111EB)
-    x ^= x >> U64(31)
+#: Elements that are mixed together, so that they stay in a core's cache.
+_CACHED = 1 << 14
+
+
+def _mix(v: np.ndarray, spare: np.ndarray) -> None:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0)):
+        np.right_shift(v, U64(shift), out=spare)
+        np.bitwise_xor(v, spare, out=v)
+        if factor:
+            np.multiply(v, U64(factor), out=v)
+
+
+def mix64(x: np.ndarray, own: bool = False) -> np.ndarray:
+    """A bijection of 64-bit values in which every input bit reaches every output bit; own: x may be overwritten."""
+    x = x if own else x.astype(U64, copy=True)
+    spare = np.empty(min(len(x), _CACHED), U64)
+    for lo in range(0, len(x), _CACHED):
+        v = x[lo : lo + _CACHED]
+        _mix(v, spare[: len(v)])
     return x
 
 
@@ -64,14 +75,16 @@ def blocks(data: np.ndarray) -> np.ndarray:
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each span of bytes; equal bytes give equal hashes, another seed gives independent ones."""
     size = end - start
-    out = mix64(size.astype(U64) * _LEFT + U64((seed * 0x2545F4914F6CDD1D + 1) % (1 << 64)))
+    out = mix64(size.astype(U64) * _LEFT + U64((seed * 0x2545F4914F6CDD1D + 1) % (1 << 64)), own=True)
     if not len(size):
         return out
     at, all_blocks = np.flatnonzero(size <= _LONG), blocks(data)
     done = 0
     while len(at):
-        value = all_blocks[start[at] + done] & _FIRST[np.minimum(size[at] - done, 8)]
-        out[at] = mix64(out[at] * _CHAIN ^ value)
+        value = all_blocks[start[at] + done]
+        value &= _FIRST[np.minimum(size[at] - done, 8)]
+        value ^= out[at] * _CHAIN
+        out[at] = mix64(value, own=True)
         done += 8
         at = at[size[at] > done]
     salt = seed.to_bytes(8, "little")
@@ -82,18 +95,33 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
 
 def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """One value for two, mixed so that neither order nor sums survive."""
-    return mix64((left * _LEFT ^ (right >> U64(32) | right << U64(32))) + right * _RIGHT)
+    return mix64((left * _LEFT ^ (right >> U64(32) | right << U64(32))) + right * _RIGHT, own=True)
 
 
-def doubled(values: np.ndarray, k: int, width: int = 1) -> np.ndarray:
-    """Hashes of all runs of k values, from those of runs of `width`."""
-    n = len(values) + width - 1
-    while 2 * width <= k and len(values) > width:
-        values = paired(values[:-width], values[width:])
-        width *= 2
-    if n < k:
+@lru_cache(maxsize=8)
+def _factors(k: int) -> np.ndarray:
+    """Odd factors without any relation to each other."""
+    return mix64(np.arange(0x9E37, 0x9E37 + k, dtype=U64) * _CHAIN, own=True) | U64(1)
+
+
+def combined(values: np.ndarray, k: int, apart: int = 1) -> np.ndarray:
+    """Hashes of all runs of k values that stand `apart` from one another: sums with unrelated odd factors, mixed.
+
+    The values are hashes already, whose sums have no pattern; a polynomial's factors, powers of one number, would make one.
+    """
+    n, factors = len(values) - (k - 1) * apart, _factors(k)
+    if n <= 0:
         return np.zeros(0, U64)
-    return paired(values[: n - k + 1], values[k - width :]) if width < k else values
+    out, spare = np.empty(n, U64), np.empty(min(n, _CACHED), U64)
+    for lo in range(0, n, _CACHED):
+        hi = min(n, lo + _CACHED)
+        v, t = out[lo:hi], spare[: hi - lo]
+        np.multiply(values[lo:hi], factors[0], out=v)
+        for j in range(1, k):
+            np.multiply(values[lo + j * apart : hi + j * apart], factors[j], out=t)
+            np.add(v, t, out=v)
+        _mix(v, t)
+    return out
 
 
 class Texts:
@@ -159,7 +187,7 @@ class Words:
         """First words of all windows of k words that lie in one row, and the windows' hashes."""
         at = np.arange(max(0, len(hashes) - k + 1))
         at = at[self.row[at] == self.row[at + k - 1]] if len(at) else at
-        return at, doubled(hashes, k)[at]
+        return at, combined(hashes, k)[at]
 
     def spaced(self) -> tuple[np.ndarray, np.ndarray]:
         """The words one after the other, each followed by a space, and where each begins (and the last one ends)."""

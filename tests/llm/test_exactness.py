@@ -12,7 +12,7 @@ from tallyloom.llm.lm import lm_scores
 from tallyloom.llm.rows import dealt_among, identified, spread
 from tallyloom.llm.suffix_array import cut_repeated_bytes
 from tallyloom.llm.suffix_tree import cut_repeated_words
-from tallyloom.llm.textcols import Words, doubled, named, texts_of
+from tallyloom.llm.textcols import Words, combined, mix64, named, texts_of
 
 
 def thue_morse(n: int, zero: str = "a", one: str = "b") -> list[str]:
@@ -73,7 +73,7 @@ def test_hashes_and_names():
     values = np.array([r.randrange(3) for _ in range(200)])
     for k in (1, 2, 3, 5, 8, 12, 50):
         runs = [tuple(values[i : i + k].tolist()) for i in range(200 - k + 1)]
-        for numbers in (doubled(values.astype(np.uint64), k), named(values, k)):
+        for numbers in (combined(mix64(values.astype(np.uint64)), k), named(values, k)):
             known = {}
             assert len(numbers) == len(runs) and all(known.setdefault(w, n) == n for w, n in zip(runs, numbers.tolist(), strict=True))
             assert len(set(known.values())) == len(known)
