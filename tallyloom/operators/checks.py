@@ -141,3 +141,38 @@ def isolated_schemas(members: DataFrame) -> DataFrame:
     order = Window.partitionBy("company").orderBy("q_ord")
     near = sets.withColumn("_before", F.lag("signature").over(order)).withColumn("neighbours", F.lead("signature").over(order))
     return near.filter((F.col("_before") == F.col("neighbours")) & (F.col("signature") != F.col("neighbours"))).drop("_before")
+
+
+def synthetic_residuals(rows: DataFrame) -> DataFrame:
+    """H7: quarters with a residual row (otherrevenue) that no official group gave, and its share of the revenue (3 digits)."""
+    made = rows.filter((F.col("member") == "otherrevenue") & ~F.coalesce(F.col("source") == "official-groups", F.lit(False)))
+    return made.select("company", "q_ord", F.round(F.col("value") / F.greatest(F.coalesce("revenue", F.lit(0.0)), F.lit(0.001)), 3).alias("residual_share"))
+
+
+def classification(entries: DataFrame, policies: DataFrame) -> DataFrame:
+    """H5: a company's quarters with revenue and with expense classification (has_revenue, has_expense), the latest of each, their lags
+    behind the newest quarter, shares, warnings, blockers and status.
+
+    Policies (company, gap_allowed, gap_reason, need_expense, expense_gap_allowed): null flags mean no. A newest quarter without revenue
+    classification blocks, unless a gap is allowed with a reason (a warning); one without expenses blocks where they are needed and no gap
+    is allowed. Fewer than four classified quarters of more (or than there are) warn, as does none. The status is the first of error (any
+    blocker), exception (an allowed revenue gap), warning and ok.
+    """
+    own = entries.groupBy("company").agg(
+        F.count(F.lit(1)).alias("n_quarters"), F.max("q_ord").alias("latest"),
+        F.count_if("has_revenue").alias("n_revenue"), F.count_if("has_expense").alias("n_expense"),
+        F.max(F.when(F.col("has_revenue"), F.col("q_ord"))).alias("latest_revenue"), F.max(F.when(F.col("has_expense"), F.col("q_ord"))).alias("latest_expense"),
+    )
+    both = own.join(policies, "company", "left")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    no_revenue = ~F.coalesce(F.col("latest_revenue") == F.col("latest"), F.lit(False))
+    no_expense = ~F.coalesce(F.col("latest_expense") == F.col("latest"), F.lit(False))
+    excused = flag("gap_allowed") & (F.trim(F.coalesce("gap_reason", F.lit(""))) != "")
+    blocking = flag("need_expense") & ~flag("expense_gap_allowed")
+    few = lambda c: (F.col(c) > 0) & (F.col(c) < F.least("n_quarters", F.lit(4)))
+    listed = lambda *rules: F.filter(F.array(*(F.when(cond, F.lit(name)) for cond, name in rules)), lambda x: x.isNotNull())
+    blockers = listed((no_revenue & ~excused, "latest-revenue-missing"), (no_expense & blocking, "latest-expense-missing"))
+    warnings = listed((no_revenue & excused, "latest-revenue-gap"), (few("n_revenue"), "sparse-revenue"), (few("n_expense"), "sparse-expense"), (F.col("n_revenue") == 0, "no-revenue"), (flag("need_expense") & (F.col("n_expense") == 0), "no-expense"))
+    status = F.when(F.size(blockers) > 0, "error").when(flag("gap_allowed") & no_revenue, "exception").when(F.size(warnings) > 0, "warning").otherwise("ok")
+    share = lambda c: F.round(F.col(c) / F.col("n_quarters"), 4)
+    return both.select("company", "n_quarters", "latest", "n_revenue", "n_expense", "latest_revenue", "latest_expense", share("n_revenue").alias("revenue_share"), share("n_expense").alias("expense_share"), (F.col("latest") - F.col("latest_revenue")).alias("revenue_lag"), (F.col("latest") - F.col("latest_expense")).alias("expense_lag"), F.array_join(warnings, ",").alias("warnings"), F.array_join(blockers, ",").alias("blockers"), status.alias("status"))

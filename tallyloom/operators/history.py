@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,39 +62,27 @@ def fill_gaps(members: DataFrame) -> DataFrame:
     """members a quarter lacks against its neighbours (company, q_ord, member, value, revenue), in order of quarters.
 
     Both neighbouring rows hold the same members, all of the quarter's and one or two more; over 0.12 of the revenue is left, which
-    these share by their neighbours' mean shares. A quarter sees the one before it as filled. Rows of 0.02 or less are not added; a
-    rest of over 0.03 becomes otherrevenue.
+    these share by their neighbours' mean shares. Rows of 0.02 or less are not added; a rest of over 0.03 becomes otherrevenue. (Were the
+    row before filled itself, it would hold what this one holds, which then lacks nothing: so rows as given decide.)
     """
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        quarters = [(q, g["revenue"].iloc[0], dict(zip(g["member"], g["value"])), set()) for q, g in frame.groupby("q_ord", sort=True)]
-        stable = lambda m: {k for k in m if k != "otherrevenue"}
-        for i in range(1, len(quarters) - 1):
-            (_, _, before, _), (_, revenue, now, added), (_, _, after, _) = quarters[i - 1 : i + 2]
-            want, have = stable(before), stable(now)
-            missing = sorted(want - have)
-            if want != stable(after) or not have or not have <= want or not 1 <= len(missing) <= 2:
-                continue
-            rest = now.get("otherrevenue", 0.0)
-            gap = rest if rest > 0.02 else max(revenue - sum(now[k] for k in have), 0.0)
-            shares = lambda m: {k: v / sum(m.values()) for k, v in m.items()}
-            left, right = shares(before), shares(after)
-            weights = {k: (left[k] + right[k]) / 2 for k in missing}
-            if gap <= 0.12 or sum(weights.values()) <= 0.000001:
-                continue
-            new = {k: round(gap * w / sum(weights.values()), 3) for k, w in weights.items()}
-            new = {k: v for k, v in new.items() if v > 0.02}
-            if not new:
-                continue
-            now.pop("otherrevenue", None)
-            now.update(new)
-            if round(gap - sum(new.values()), 3) > 0.03:
-                now["otherrevenue"] = round(gap - sum(new.values()), 3)
-            added.update(new)
-        rows = [(q, k, v, k in added) for q, _, m, added in quarters for k, v in m.items()]
-        return pd.DataFrame(rows, columns=["q_ord", "member", "value", "filled"]).assign(company=frame["company"].iloc[0])[["company", "q_ord", "member", "value", "filled"]]
-
-    return members.groupBy("company").applyInPandas(one, "company long, q_ord long, member string, value double, filled boolean")
+    rest, order = "otherrevenue", Window.partitionBy("company").orderBy("q_ord")
+    quarters = members.groupBy("company", "q_ord").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("member", "value")))).alias("now"), F.max("revenue").alias("revenue"))
+    near = quarters.select("*", F.lag("now").over(order).alias("before"), F.lead("now").over(order).alias("after"))
+    named = lambda m: F.array_sort(F.filter(F.map_keys(m), lambda k: k != rest))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    share = lambda m, k: F.try_divide(m[k], total(F.map_values(m)))
+    near = near.select("*", named("now").alias("have"), F.array_except(named("before"), named("now")).alias("lacks"), F.coalesce(F.try_element_at("now", F.lit(rest)), F.lit(0.0)).alias("left"))
+    fits = (named("before") == named("after")) & (F.size("have") > 0) & (F.size(F.array_except("have", named("before"))) == 0) & F.size("lacks").between(1, 2)
+    spare = F.greatest(F.col("revenue") - total(F.transform("have", lambda k: F.col("now")[k])), F.lit(0.0))
+    near = near.withColumn("gap", F.when(F.col("left") > 0.02, F.col("left")).otherwise(spare)).withColumn("weights", F.when(F.coalesce(fits, F.lit(False)), F.transform("lacks", lambda k: F.struct(k.alias("member"), ((share(F.col("before"), k) + share(F.col("after"), k)) / 2).alias("w")))))
+    weight = total(F.transform("weights", lambda x: x["w"]))
+    added = F.filter(F.transform("weights", lambda x: F.struct(x["member"].alias("member"), F.round(F.try_divide(F.col("gap") * x["w"], weight), 3).alias("value"), F.lit(True).alias("filled"))), lambda x: x["value"] > 0.02)
+    near = near.withColumn("added", F.when((F.col("gap") > 0.12) & (weight > 0.000001) & (F.size(added) > 0), added))
+    row = lambda k, v: F.struct(k.alias("member"), v.alias("value"), F.lit(False).alias("filled"))
+    own = F.transform(F.map_entries("now"), lambda e: row(e["key"], e["value"]))
+    over = F.round(F.col("gap") - total(F.transform("added", lambda x: x["value"])), 3)
+    whole = F.concat(F.filter(own, lambda x: x["member"] != rest), "added", F.when(over > 0.03, F.array(row(F.lit(rest), over))).otherwise(F.array().cast("array<struct<member:string,value:double,filled:boolean>>")))
+    return near.select("company", "q_ord", F.explode(F.when(F.col("added").isNotNull(), whole).otherwise(own)).alias("r")).select("company", "q_ord", "r.*")
 
 
 def best_subset(rows: DataFrame, most: int = 12) -> DataFrame:
@@ -138,59 +126,54 @@ def best_subset(rows: DataFrame, most: int = 12) -> DataFrame:
 def fit_band(rows: DataFrame, top: float, bottom: float, gap: float, least: float) -> DataFrame:
     """L2: rows (company, q_ord, member, height) fitted into a band in order of name, none lower than `least` where there is room.
 
-    Heights are proportional; rows that come out too low are set to the minimum and the rest shared anew, until none is. The gap
-    shrinks where rows are many. Rows without any height share the band evenly. The last row ends at the band's end.
+    Heights are proportional, but for the lowest, which get the minimum: filled up like water, from the lowest on, as long as the next
+    one's share of what is left is below it. The gap shrinks where rows are many. Rows without any height share the band evenly. What is
+    left over goes to the last row, no row is lower than 1, and the last row ends at the band's end.
     """
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("member")
-        n, band = len(frame), max(bottom - top, 1.0)
-        space = min(gap, max((band - 1) / max(n - 1, 1), 0.0)) if n > 1 else 0.0
-        room = max(band - space * (n - 1), 1.0)
-        floor = min(least, room / n)
-        raw = frame["height"].fillna(0).clip(lower=0).to_numpy()
-        if raw.sum() <= 0:
-            heights = np.full(n, room / n)
-        else:
-            heights, locked, left, weight, again = np.zeros(n), np.zeros(n, bool), room, raw.sum(), True
-            while again and left > 0 and weight > 0:
-                again = False
-                for i in range(n):
-                    if not locked[i] and floor > 0 and (raw[i] / weight * left if weight > 0 else 0.0) < floor:
-                        locked[i], heights[i], again = True, floor, True
-                        left, weight = left - floor, weight - raw[i]
-            free = ~locked
-            heights[free] = raw[free] / weight * max(left, 0.0) if weight > 0 else 0.0
-            off = room - heights.sum()
-            if abs(off) > 0.01:
-                heights[-1] = max(heights[-1] + off, 1.0)
-            heights = np.maximum(heights, 1.0)
-        starts = top + np.concatenate([[0.0], np.cumsum(heights[:-1] + space)])
-        ends = starts + heights
-        ends[-1] = bottom
-        return pd.DataFrame({"company": frame["company"], "q_ord": frame["q_ord"], "member": frame["member"], "top": starts.round(6), "bottom": ends.round(6)})
-
-    return rows.groupBy("company", "q_ord").applyInPandas(one, "company long, q_ord long, member string, top double, bottom double")
+    band = max(bottom - top, 1.0)
+    per = Window.partitionBy("company", "q_ord")
+    low, name = per.orderBy("raw", "member"), per.orderBy("member")
+    sized = rows.select("company", "q_ord", "member", F.greatest(F.coalesce(F.col("height").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("raw"))
+    sized = sized.withColumn("n", F.count(F.lit(1)).over(per)).withColumn("whole", F.sum("raw").over(per))
+    space = F.when(F.col("n") > 1, F.least(F.lit(float(gap)), F.greatest((F.lit(band) - 1) / (F.col("n") - 1), F.lit(0.0)))).otherwise(0.0)
+    sized = sized.withColumn("space", space).withColumn("room", F.greatest(F.lit(band) - F.col("space") * (F.col("n") - 1), F.lit(1.0)))
+    sized = sized.withColumn("floor", F.least(F.lit(float(least)), F.col("room") / F.col("n")))
+    # if the k lowest get the minimum, the others share what is left in proportion
+    k = F.row_number().over(low) - 1
+    rate = F.try_divide(F.greatest(F.col("room") - F.col("floor") * k, F.lit(0.0)), F.col("whole") - F.coalesce(F.sum("raw").over(low.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    filled = sized.withColumn("k", k).withColumn("rate", rate)
+    enough = F.min_by(F.struct("k", "rate"), F.when((F.col("raw") > 0) & (F.col("raw") * F.col("rate") >= F.col("floor")), F.col("k"))).over(per)
+    filled = filled.withColumn("free", enough)
+    height = F.when(F.col("whole") <= 0, F.col("room") / F.col("n")).when(F.col("free").isNotNull() & (F.col("k") >= F.col("free.k")), F.col("raw") * F.col("free.rate")).otherwise(F.col("floor"))
+    filled = filled.withColumn("h", height).withColumn("is_last", F.row_number().over(name) == F.col("n"))
+    off = F.col("room") - F.sum("h").over(per)
+    filled = filled.withColumn("h", F.greatest(F.when(F.col("is_last") & (F.abs(off) > 0.01) & (F.col("whole") > 0), F.col("h") + off).otherwise(F.col("h")), F.when(F.col("whole") > 0, 1.0).otherwise(0.0)))
+    start = F.lit(float(top)) + F.coalesce(F.sum(F.col("h") + F.col("space")).over(name.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ends = filled.withColumn("start", start)
+    return ends.select("company", "q_ord", "member", F.round("start", 6).alias("top"), F.round(F.when(F.col("is_last"), float(bottom)).otherwise(F.col("start") + F.col("h")), 6).alias("bottom"))
 
 
 def place_boxes(rows: DataFrame, low: float, high: float, gap: float) -> DataFrame:
     """L4: boxes (company, q_ord, member, center, height) moved as little as it takes not to overlap: down from the first, then up from
-    the last where that leaves the range, and all down again where the first does. Equal tops keep the order of names."""
+    the last where that leaves the range, and all down again where the first does. Equal tops keep the order of names.
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        height = frame["height"].clip(lower=1.0)
-        frame = frame.assign(height=height, top=(frame["center"] - height / 2).clip(upper=high - height).clip(lower=low)).sort_values(["top", "member"])
-        at, tall = frame["top"].to_numpy().copy(), frame["height"].to_numpy()
-        for i in range(1, len(at)):
-            at[i] = max(at[i], at[i - 1] + tall[i - 1] + gap)
-        if at[-1] + tall[-1] > high:
-            at[-1] = high - tall[-1]
-            for i in range(len(at) - 2, -1, -1):
-                at[i] = min(at[i], at[i + 1] - gap - tall[i])
-        at += max(low - at[0], 0.0)
-        return pd.DataFrame({"company": frame["company"], "q_ord": frame["q_ord"], "member": frame["member"], "top": at.round(6), "bottom": (at + tall).round(6)})
-
-    return rows.groupBy("company", "q_ord").applyInPandas(one, "company long, q_ord long, member string, top double, bottom double")
+    With the boxes packed from 0 on, a box lies as far below its packed place as the farthest of those up to it asks (a running
+    maximum), and at most as far as the boxes behind it allow (a running minimum from the end).
+    """
+    per = Window.partitionBy("company", "q_ord")
+    tall = F.greatest(F.col("height").cast("double"), F.lit(1.0))
+    wish = F.greatest(F.least(F.col("center") - tall / 2, F.lit(float(high)) - tall), F.lit(float(low)))
+    boxes = rows.select("company", "q_ord", "member", tall.alias("tall"), wish.alias("wish"))
+    order = per.orderBy("wish", "member")
+    packed = F.coalesce(F.sum(F.col("tall") + F.lit(float(gap))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    boxes = boxes.withColumn("packed", packed).withColumn("is_last", F.lead("member").over(order).isNull())
+    boxes = boxes.withColumn("shift", F.max(F.col("wish") - F.col("packed")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    beyond = F.max(F.when(F.col("is_last"), F.col("packed") + F.col("shift") + F.col("tall"))).over(per) > high
+    allowed = F.when(F.col("is_last"), F.lit(float(high)) - F.col("tall") - F.col("packed")).otherwise(F.col("shift"))
+    back = F.min(allowed).over(order.rowsBetween(0, Window.unboundedFollowing))
+    boxes = boxes.withColumn("at", F.col("packed") + F.when(beyond, back).otherwise(F.col("shift")))
+    boxes = boxes.withColumn("at", F.col("at") + F.greatest(F.lit(float(low)) - F.min("at").over(per), F.lit(0.0)))
+    return boxes.select("company", "q_ord", "member", F.round("at", 6).alias("top"), F.round(F.col("at") + F.col("tall"), 6).alias("bottom"))
 
 
 def conserved_bands(rows: DataFrame, least: float = 1.0) -> DataFrame:

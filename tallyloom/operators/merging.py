@@ -1,4 +1,4 @@
-"""Merging whole records: representative entries, ordered coalescing, overlays, upserts, staleness."""
+"""Merging whole records: representative entries, ordered coalescing, overlays, upserts, staleness."""
 
 from __future__ import annotations
 
@@ -73,12 +73,91 @@ def merge_maps(base: Column, override: Column) -> Column:
 
 
 def preserve_missing(fresh: DataFrame, cached: DataFrame, keys: list[str]) -> DataFrame:
-    """The fresh rows and those cached ones whose key no fresh row has."""
+    """The fresh rows and those cached ones whose key no fresh row has."""
     return fresh.unionByName(cached.join(fresh.select(*keys).distinct(), keys, "left_anti").select(*fresh.columns))
 
 
+def preserve_lists(fresh: DataFrame, cached: DataFrame, lists: list[str]) -> DataFrame:
+    """Fresh quarters, whose empty or null lists come from the cached ones, and the cached quarters that the fresh ones lack."""
+    keys, others = ["company", "q_ord"], [c for c in fresh.columns if c not in ("company", "q_ord")]
+    old = cached.select(*keys, *(F.col(c).alias(f"_{c}") for c in others), F.lit(True).alias("_old"))
+    both = fresh.withColumn("_new", F.lit(True)).join(old, keys, "full_outer")
+    own = F.col("_new").isNotNull()
+    kept = {c: F.when(~F.coalesce(own, F.lit(False)), F.col(f"_{c}")).otherwise(F.when(F.size(F.coalesce(F.col(c), F.array())) > 0, F.col(c)).otherwise(F.coalesce(F.col(f"_{c}"), F.col(c))) if c in lists else F.col(c)) for c in others}
+    return both.select(*keys, *(kept[c].alias(c) for c in others))
+
+
+def merge_filings(fresh: DataFrame, cached: DataFrame, key: str) -> DataFrame:
+    """Filings of both sides by accession, each field the fresh one's if it has any; rows without an accession go."""
+    others = [c for c in fresh.columns if c != key]
+    old = cached.filter(F.col(key) != "").select(key, *(F.col(c).alias(f"_{c}") for c in others))
+    return fresh.filter(F.col(key) != "").join(old, key, "full_outer").select(key, *(F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) for c in others))
+
+
+def loose_quarter(entries: DataFrame, financials: DataFrame) -> DataFrame:
+    """The quarter of an entry (entry, company, period_end, revenue): the first of the company's that ends on the same day and whose
+    revenue is within 0.002, or unknown on either side; null if none."""
+    known = financials.select("company", "period_end", "q_ord", F.col("revenue").alias("_revenue"))
+    near = F.col("revenue").isNull() | F.col("_revenue").isNull() | (F.abs(F.col("revenue") - F.col("_revenue")) < 0.002)
+    return entries.join(known, ["company", "period_end"], "left").groupBy("entry").agg(F.min(F.when(near, F.col("q_ord"))).alias("q_ord"))
+
+
+def null_bridge(df: DataFrame, stages: list[str], bridge: list[str], flag: str, cleared: str) -> DataFrame:
+    """Entries (flags: array) with `flag` and revenue above zero, whose largest stage is above 1.18 times it, lose all bridge
+    fields and get the flag `cleared`."""
+    most = F.array_max(F.filter(F.array(*(F.col(s).cast("double") for s in stages)), lambda v: v > 0))
+    bad = F.coalesce(F.array_contains("flags", flag) & (F.col("revenue") > 0) & (most > F.col("revenue") * 1.18), F.lit(False))
+    marked = df.withColumn("_bad", bad)
+    nulled = {f: F.when(~F.col("_bad"), F.col(f)) for f in bridge}
+    return marked.withColumns(nulled | {"flags": F.when(F.col("_bad"), F.array_union("flags", F.array(F.lit(cleared)))).otherwise(F.col("flags"))}).drop("_bad")
+
+
+def attach(entries: DataFrame, structures: DataFrame, how: str = "synthesise") -> DataFrame:
+    """Entries (company, q_ord, revenue, rows) with the rows of structures (company, q_ord, display_revenue, rows: array of member,
+    value).
+
+    `synthesise`: the structure's rows win, and quarters without an entry get one, with the displayed revenue or else the sum of
+    the rows above zero (3 digits), unless that is zero. `fill`: only entries without rows take them. `inner`: as the first, but only
+    quarters with an entry stay. `source` tells whose the entry is.
+    """
+    other = structures.select("company", "q_ord", "display_revenue", F.col("rows").alias("_rows"))
+    both = entries.withColumn("_own", F.lit(True)).join(other, ["company", "q_ord"], {"synthesise": "full_outer", "fill": "left", "inner": "left"}[how])
+    has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    rows = F.when(has(F.col("rows")), F.col("rows")).otherwise(F.col("_rows")) if how == "fill" else F.when(has(F.col("_rows")), F.col("_rows")).otherwise(F.col("rows"))
+    total = F.round(F.aggregate(F.filter("_rows", lambda r: r["value"] > 0), F.lit(0.0), lambda a, r: a + r["value"]), 3)
+    made = F.when(F.col("display_revenue") > 0, F.round("display_revenue", 3)).otherwise(total)
+    own = F.col("_own").isNotNull()
+    out = both.filter(own | (made > 0))
+    return out.select("company", "q_ord", F.when(own, F.col("revenue")).otherwise(made).alias("revenue"), rows.alias("rows"), F.when(own, "entry").otherwise("structure").alias("source"))
+
+
+def by_alias(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The company of each query (query), from aliases (alias, company, source_order, position), all normalised.
+
+    The first source that has any decides: its first company with an equal alias, else its first one of which an alias lies in the
+    query or the query in an alias. Empty ones match nothing. Contained ones meet by their first three characters (all, if they
+    have fewer), offered at each place of the longer one, so the join is on equal keys.
+    """
+    asked = queries.select("query").filter("query <> ''").distinct()
+    known = aliases.filter("alias <> ''").distinct()
+    head = lambda c: F.substring(c, 1, 3)
+    offered = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(c, i, n))))))
+    in_query = asked.withColumn("_key", offered(F.col("query"))).join(known.withColumn("_key", head("alias")), "_key").filter(F.col("query").contains(F.col("alias")))
+    in_alias = known.withColumn("_key", offered(F.col("alias"))).join(asked.withColumn("_key", head("query")), "_key").filter(F.col("alias").contains(F.col("query")))
+    order = F.struct("source_order", F.col("query") != F.col("alias"), "position", "company")
+    found = in_query.select("query", *aliases.columns).unionByName(in_alias.select("query", *aliases.columns)).groupBy("query").agg(F.min_by(F.struct("company", (F.col("query") == F.col("alias")).alias("exact")), order).alias("_best"))
+    return queries.join(found, "query", "left").select(*queries.columns, F.col("_best.company").alias("company"), F.col("_best.exact").alias("exact"))
+
+
+def lookup_number(rows: DataFrame, tickers: DataFrame) -> DataFrame:
+    """Each row's (ticker) number from (ticker, number), by normalised ticker; of several the last by number."""
+    plain = lambda c: F.regexp_replace(F.upper(F.trim(c)), "[./]", "-")
+    known = tickers.filter(plain("ticker") != "").groupBy(plain("ticker").alias("_ticker")).agg(F.max("number").alias("number"))
+    return rows.withColumn("_ticker", plain("ticker")).join(known, "_ticker", "left").drop("_ticker")
+
+
 def largest_member(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row for each key, the largest value's; of equal values the newer, then the smaller `order`."""
+    """One row for each key, the largest value's; of equal values the newer, then the smaller `order`."""
     rest = [c for c in rows.columns if c not in keys]
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("value", "filed", -F.col(order))).alias("_best"))
     return best.select(*keys, *(F.col(f"_best.{c}").alias(c) for c in rest))

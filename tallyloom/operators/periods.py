@@ -126,7 +126,7 @@ def _timely(f: Column) -> tuple[Column, Column]:
     return gap.between(0, 210), -F.greatest(gap, F.lit(0))
 
 
-def _concept_rank(f: Column) -> list[Column]:
+def concept_rank(f: Column) -> list[Column]:
     timely, near = _timely(f)
     return [timely, near, f["namespace_priority"], f["concept_priority"], f["filed"], f["accession"]]
 
@@ -136,7 +136,7 @@ def _field_rank(f: Column) -> list[Column]:
     return [timely, f["concept_priority"], f["namespace_priority"], near, f["filed"]]
 
 
-def _segment_rank(f: Column) -> list[Column]:
+def segment_rank(f: Column) -> list[Column]:
     lag, days, form = F.datediff(f["filed"], f["end"]), _days(f), F.regexp_replace(F.upper(f["form"]), " ", "")
     bucket = F.when(lag.isNull(), 1).when(lag < -2, 0).when(lag <= 220, 5).when(lag <= 450, 4).when(lag <= 720, 3).otherwise(2)
     usual = F.when(lag <= 220, 45).when(lag <= 450, 120).when(lag <= 720, 240).otherwise(360)
@@ -197,7 +197,7 @@ def quarterise(facts: DataFrame, keys: list[str], by_field: bool = False, first:
     by priorities before time. A derived fact has a priority less by one, and at least one. Equal ranks go to direct facts, then to
     the earlier end.
     """
-    rank = _field_rank if by_field else _concept_rank
+    rank = _field_rank if by_field else concept_rank
     f = F.col("_f")
     rows = _derived(facts.select(*keys, "start", "end", F.col("value").cast("double").alias("value"), F.col("concept_priority").cast("int").alias("concept_priority"), "namespace_priority", "filed", "accession"), keys, rank, 1)
     order = F.struct(*rank(f), ~f["derived"], -F.unix_date(f["end"]))
@@ -221,11 +221,11 @@ def quarterise_segments(facts: DataFrame, keys: list[str], first: int = FIRST_QU
     longest = rows.groupBy(*keys, "_series").agg(F.min_by(given, F.struct(-F.length(given), given)).alias("_label"))
     typed = rows.select(*keys, "_series", "start", "end", F.col("value").cast("double").alias("value"), F.col("concept_priority").cast("int").alias("concept_priority"), "form", "filed")
     f = F.col("_f")
-    series = _derived(typed, [*keys, "_series"], _segment_rank, None).join(specific, [*keys, "_series"]).join(longest, [*keys, "_series"])
+    series = _derived(typed, [*keys, "_series"], segment_rank, None).join(specific, [*keys, "_series"]).join(longest, [*keys, "_series"])
     text = F.coalesce("_label", member_label(F.col("_series")))
     name = F.regexp_replace(F.trim(F.regexp_replace(text, r"\bSegment\b", "")), r"\s+", " ")
     quarters = series.withColumn("q_ord", _quarter(f["end"])).filter(F.col("q_ord") >= first).withColumn("name", name).withColumn("_key", ascii_key("name"))
-    one = quarters.groupBy(*keys, "q_ord", "_key").agg(F.max_by(F.struct("_key", "name", F.round(f["value"] / 1e9, 3).alias("value"), f["start"].alias("start"), f["end"].alias("end"), f["derived"].alias("derived")), F.struct(*_segment_rank(f), f["start"], "name")).alias("_r"))
+    one = quarters.groupBy(*keys, "q_ord", "_key").agg(F.max_by(F.struct("_key", "name", F.round(f["value"] / 1e9, 3).alias("value"), f["start"].alias("start"), f["end"].alias("end"), f["derived"].alias("derived")), F.struct(*segment_rank(f), f["start"], "name")).alias("_r"))
     all_rows = one.groupBy(*keys, "q_ord").agg(F.sort_array(F.collect_list("_r")).alias("_all"))
 
     def merge(done, r):

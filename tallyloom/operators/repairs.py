@@ -209,3 +209,42 @@ def fuse_breakdowns(df: DataFrame, rest: str = "other_opex") -> DataFrame:
     left = F.round(F.col("total") - F.col("_sum"), 3)
     residual = sums.filter((F.col("total") > 0) & (F.col("_n") >= 2) & (left > F.greatest(F.col("total") * 0.015, F.lit(0.05)))).select(*QUARTER, F.lit(rest).alias("member"), left.alias("value"), F.lit("derived_residual").alias("source"))
     return whole.unionByName(mixed).unionByName(residual)
+
+
+def neighbour_mean(rows: DataFrame, member: str, least_share: float = 0.35) -> DataFrame:
+    """F8: a member's value above `least_share` of the revenue gives way to the mean (3 digits) of its values above zero in the quarters
+    before and after, in the same year; `replaced` tells where."""
+    own = rows.filter((F.col("member") == member) & (F.col("value") > 0)).groupBy("company", "q_ord").agg(F.max("value").alias("_v"))
+    near = own.withColumn("_to", F.explode(F.array(F.col("q_ord") - 1, F.col("q_ord") + 1))).filter(F.floor(F.col("_to") / 4) == F.floor(F.col("q_ord") / 4))
+    means = near.groupBy("company", F.col("_to").alias("q_ord")).agg(F.round(F.avg("_v"), 3).alias("_mean"))
+    far = F.coalesce((F.col("member") == member) & (F.col("revenue") > 0) & (F.try_divide("value", "revenue") > least_share) & (F.col("_mean") > 0), F.lit(False))
+    return rows.join(means, ["company", "q_ord"], "left").withColumn("replaced", far).withColumn("value", F.when(F.col("replaced"), F.col("_mean")).otherwise(F.col("value"))).drop("_mean")
+
+
+def drop_sparse(rows: DataFrame, optional: list[str]) -> DataFrame:
+    """quarters (company, q_ord, member, value, revenue) whose named rows cover less than 0.72 of the revenue while a residual
+    (otherrevenue) of over 0.28 fills it become one row, reportedrevenue; of others the optional members below 0.015 of it go."""
+    per = Window.partitionBy("company", "q_ord")
+    whole = F.greatest(F.col("revenue"), F.lit(0.001))
+    named = F.sum(F.when(F.col("member") != "otherrevenue", F.col("value"))).over(per)
+    residual = F.max(F.when(F.col("member") == "otherrevenue", F.col("value"))).over(per)
+    sparse = F.coalesce((F.coalesce(named, F.lit(0.0)) / whole < 0.72) & (residual / whole > 0.28), F.lit(False))
+    marked = rows.withColumn("_sparse", sparse).withColumn("_tiny", F.col("member").isin(*optional) & (F.col("value") / whole < 0.015))
+    single = marked.filter(F.col("_sparse") & (F.col("revenue") > 0.02)).select("company", "q_ord", F.lit("reportedrevenue").alias("member"), F.round("revenue", 3).alias("value"), "revenue").distinct()
+    return marked.filter(~F.col("_sparse") & ~F.col("_tiny")).select("company", "q_ord", "member", "value", "revenue").unionByName(single)
+
+
+def absorb_residual(rows: DataFrame) -> DataFrame:
+    """a residual (otherrevenue) of 0.01 to 0.1 of the revenue goes to the quarter's members by the mean of their shares in the
+    rows before and after (3 digits), if all three have the same members; other rows stay as they are."""
+    per, order = Window.partitionBy("company", "q_ord"), Window.partitionBy("company").orderBy("q_ord")
+    real = rows.filter("member <> 'otherrevenue'")
+    share = F.try_divide(F.col("value"), F.sum("value").over(per))
+    quarters = rows.withColumn("_share", share).groupBy("company", "q_ord").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("member") != "otherrevenue", F.col("member")))), "|").alias("_own"), F.map_from_entries(F.collect_list(F.struct("member", "_share"))).alias("_shares"), F.max(F.when(F.col("member") == "otherrevenue", F.col("value"))).alias("_rest"), F.max("revenue").alias("_revenue"))
+    near = quarters.select("company", "q_ord", "_own", "_rest", "_revenue", *(f(c).over(order).alias(f"_{n}{c}") for n, f in (("a", F.lag), ("b", F.lead)) for c in ("_own", "_shares")))
+    part = F.col("_rest") / F.greatest("_revenue", F.lit(0.001))
+    good = near.filter((F.col("_own") != "") & (F.col("_a_own") == F.col("_own")) & (F.col("_b_own") == F.col("_own")) & (part > 0.01) & (part <= 0.1)).select("company", "q_ord", "_rest", "_a_shares", "_b_shares")
+    weighed = real.join(good, ["company", "q_ord"], "left").withColumn("_w", (F.col("_a_shares")[F.col("member")] + F.col("_b_shares")[F.col("member")]) / 2)
+    more = F.round(F.col("value") + F.try_divide(F.col("_rest") * F.col("_w"), F.sum("_w").over(per)), 3)
+    out = weighed.select("company", "q_ord", "member", F.coalesce(more, F.col("value")).alias("value"), "revenue")
+    return out.unionByName(rows.filter("member = 'otherrevenue'").join(good, ["company", "q_ord"], "left_anti").select(out.columns))

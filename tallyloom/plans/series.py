@@ -164,4 +164,15 @@ ORACLE_SQL = {
         SELECT company, member, CASE member WHEN 'ProductMember' THEN 'Products' WHEN 'ServiceMember' THEN 'Services' ELSE replace(member, 'Member', '') END AS label FROM l JOIN a USING (company)
         WHERE member <> 'OperatingSegmentsMember' AND NOT (member = 'ProductMember' AND len([x for x in ms if x NOT IN ('ProductMember', 'ServiceMember')]) >= 2) AND NOT (member = 'ServiceMember' AND list_contains(ms, 'CloudMember'))""",
     "addable_taxonomy": f"WITH {_SPARSE} SELECT company, q_ord, count(*) FILTER (member NOT IN ('A', 'R')) = 0 AS addable FROM sps GROUP BY 1, 2",
+    "layout_fit_band": f"""WITH {_SEG}, a AS (SELECT company, q_ord, member, greatest(value, 0) AS raw, count(*) OVER w AS n, sum(greatest(value, 0)) OVER w AS whole FROM seg WINDOW w AS (PARTITION BY company, q_ord)),
+        b AS (SELECT *, CASE WHEN n > 1 THEN least(8.0::DOUBLE, greatest(399.0::DOUBLE / (n - 1), 0)) ELSE 0 END AS space FROM a), c AS (SELECT *, greatest(400.0::DOUBLE - space * (n - 1), 1) AS room FROM b), d AS (SELECT *, least(24.0::DOUBLE, room / n) AS floor FROM c),
+        k AS (SELECT *, row_number() OVER w - 1 AS k, greatest(room - floor * (row_number() OVER w - 1), 0) / (whole - coalesce(sum(raw) OVER (PARTITION BY company, q_ord ORDER BY raw, member ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rate FROM d WINDOW w AS (PARTITION BY company, q_ord ORDER BY raw, member)),
+        f AS (SELECT *, arg_min(rate, k) FILTER (raw * rate >= floor) OVER w AS free_rate, min(k) FILTER (raw * rate >= floor) OVER w AS free_k FROM k WINDOW w AS (PARTITION BY company, q_ord)), h AS (SELECT *, CASE WHEN k >= free_k THEN raw * free_rate ELSE floor END AS h0, row_number() OVER (PARTITION BY company, q_ord ORDER BY member) = n AS last FROM f),
+        o AS (SELECT *, room - sum(h0) OVER (PARTITION BY company, q_ord) AS off FROM h), g AS (SELECT *, greatest(CASE WHEN last AND abs(off) > 0.01 THEN h0 + off ELSE h0 END, 1) AS h FROM o),
+        s AS (SELECT *, coalesce(sum(h + space) OVER (PARTITION BY company, q_ord ORDER BY member ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM g) SELECT company, q_ord, member, round(start, 6) AS top, round(CASE WHEN last THEN 400.0 ELSE start + h END, 6) AS bottom FROM s""",
+    "layout_boxes": f"""WITH {_SEG}, {_ST}, b AS (SELECT seg.company, seg.q_ord, member, greatest(value / revenue * 200, 1) AS tall, value / revenue * 400 AS center FROM seg JOIN st USING (company, q_ord)), t AS (SELECT *, greatest(least(center - tall / 2, 400 - tall), 0) AS wish FROM b),
+        p AS (SELECT *, coalesce(sum(tall + 12) OVER (PARTITION BY company, q_ord ORDER BY wish, member ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS packed, row_number() OVER (PARTITION BY company, q_ord ORDER BY wish DESC, member DESC) = 1 AS last FROM t),
+        s AS (SELECT *, max(wish - packed) OVER (PARTITION BY company, q_ord ORDER BY wish, member ROWS UNBOUNDED PRECEDING) AS shift FROM p), x AS (SELECT *, max(CASE WHEN last THEN packed + shift + tall END) OVER (PARTITION BY company, q_ord) > 400 AS beyond FROM s),
+        m AS (SELECT *, packed + CASE WHEN beyond THEN min(CASE WHEN last THEN 400 - tall - packed ELSE shift END) OVER (PARTITION BY company, q_ord ORDER BY wish, member ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) ELSE shift END AS at0 FROM x),
+        n AS (SELECT *, at0 + greatest(-min(at0) OVER (PARTITION BY company, q_ord), 0) AS at1 FROM m) SELECT company, q_ord, member, round(at1, 6) AS top, round(at1 + tall, 6) AS bottom FROM n""",
 }
