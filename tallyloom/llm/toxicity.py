@@ -1,8 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word gives two kinds of input: an embedding of the word, and embeddings of its
-first and last characters, so inflected or compounded forms share them.  Both
-directions of the network run over windows of 32 words, an attention layer pools
+A word gives two kinds of input: an embedding of the word, and its spelling, the mean
+of embeddings of all runs of three bytes of the word with its edges marked, so that
+inflected, compounded and altered forms share most of it.  Both directions of the network run over windows of 32 words, an attention layer pools
 the states of a window, and the pooled state gives its logit.  Windows overlap by
 half in training and by three quarters in scoring, so a passage of up to 25 words lies
 whole in one, and a text is as toxic as its worst window.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.textcols import ALNUM, Texts, Words, chunks, mix64, texts_of
+from tallyloom.llm.textcols import ALNUM, Texts, Words, chunks, mix64, ranges, texts_of
 
 #: Words of a window; words from one to the next in training, and in scoring.
 WINDOW, STRIDE, SCORED_STRIDE = 32, 16, 8
@@ -31,7 +31,7 @@ WINDOW, STRIDE, SCORED_STRIDE = 32, 16, 8
 WIDTH, STATE = 8, 8
 #: Training documents of each label at most; the sample is drawn by a hash of doc_id.
 SAMPLE_DOCS = 1500
-#: Known words and known beginnings or ends, at most.
+#: Known words and known runs of three bytes, at most; others are one unknown word, one unknown run.
 VOCABULARY, CHARACTERS = 16_384, 8_192
 #: Slots of the tables that find them.
 SLOTS = 1 << 19
@@ -51,16 +51,48 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _edges(texts: Texts, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The first and the last four bytes of each word, packed."""
-    data = np.append(texts.data, np.zeros(8, np.uint8)).astype(np.uint64)
-    n = words.end - words.start
-    head, tail = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
-    for i in range(4):
-        inside = n > i
-        head = (head << np.uint64(8)) | np.where(inside, data[words.start + i], 0)
-        tail = (tail << np.uint64(8)) | np.where(inside, data[np.maximum(words.end - 1 - i, 0)], 0)
-    return mix64(head + np.uint64(1)), mix64(tail + np.uint64(1 << 40))
+def _spelled(texts: Texts, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs of three bytes of the words `at`, edges marked, and where each word's begin."""
+    size = words.end[at] - words.start[at]
+    begin = np.cumsum(size + 2) - (size + 2)
+    marked = np.full(int((size + 2).sum()), 2, np.uint32)
+    marked[begin + size + 1] = 3
+    marked[ranges(begin + 1, size)] = texts.data[ranges(words.start[at], size)]
+    runs = ranges(begin, size)
+    keys = marked[runs] | marked[runs + 1] << np.uint32(8) | marked[runs + 2] << np.uint32(16)
+    return mix64(keys.astype(np.uint64) + np.uint64(1 << 40), own=True), np.concatenate([[0], np.cumsum(size)])
+
+
+@dataclass
+class Spelling:
+    """Known runs of a chunk's different words: word j (from 1; 0 is none) has of[first[j]:first[j + 1]]."""
+
+    first: np.ndarray
+    of: np.ndarray
+
+    def runs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of the words, one after the other, and how many each has."""
+        n = self.first[which + 1] - self.first[which]
+        return self.of[ranges(self.first[which], n)], n
+
+    def means(self, table: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The mean of the table's rows over each word's runs; zeros for none."""
+        out = np.zeros((len(which), table.shape[1]), table.dtype)
+        for lo in range(0, len(which), 1 << 13):
+            of, n = self.runs(which[lo : lo + (1 << 13)])
+            some = np.flatnonzero(n)
+            if len(some):
+                out[lo + some] = np.add.reduceat(table[of], (np.cumsum(n) - n)[some], axis=0) / n[some, None].astype(table.dtype)
+        return out
+
+    @staticmethod
+    def joined(parts: list[Spelling]) -> Spelling:
+        """All parts' words, one part after the other; the next part's numbers go on from the last one's."""
+        lengths = np.concatenate([[0], *(np.diff(p.first[1:]) for p in parts)]).astype(np.int64)
+        return Spelling(np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([p.of for p in parts]))
+
+    def __len__(self) -> int:
+        return len(self.first) - 2
 
 
 class Lookup:
@@ -81,15 +113,18 @@ class Lookup:
         return Lookup, (self.keys,)
 
 
-def windows_of(texts: Texts, lookups: list[Lookup], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the texts: their rows, the numbers of their words (3, windows, WINDOW), and which are words.
+def windows_of(texts: Texts, lookups: list[Lookup], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, Spelling]:
+    """All windows of the texts: their rows, the numbers of their words (2, windows, WINDOW: in the vocabulary, and among the chunk's
+    different words), which are words, and the different words' spelling.
 
     Windows start at every stride-th word, the last one ends with the text; a shorter
     text is one window with padding.
     """
     low = texts.lowered()
     words = Words(low, ALNUM)
-    keys = [words.hashes(), *_edges(low, words)]
+    hashes = words.hashes()
+    _, example, nth_word = np.unique(hashes, return_index=True, return_inverse=True)
+    keys, first = _spelled(low, words, example)
     n = words.counts()
     per = np.maximum(1, -(-(n - WINDOW) // stride) + 1)
     row = np.repeat(np.arange(len(texts)), per)
@@ -97,12 +132,11 @@ def windows_of(texts: Texts, lookups: list[Lookup], stride: int = STRIDE) -> tup
     start = np.minimum(nth * stride, np.maximum(n - WINDOW, 0)[row])
     real = start[:, None] + np.arange(WINDOW) < n[row][:, None]
     at = np.where(real, (words.first[row] + start)[:, None].astype(np.int32) + np.arange(WINDOW, dtype=np.int32), 0)
-    numbers = np.zeros((3, *at.shape), np.int32)
-    for out, key, find in zip(numbers, keys, lookups, strict=True):
-        found = find(key)
+    numbers = np.zeros((2, *at.shape), np.int32)
+    for out, found in zip(numbers, (lookups[0](hashes), nth_word.astype(np.int32) + 1), strict=True):
         if len(found):
             out[:] = np.where(real, found[at], 0)
-    return row, numbers, real
+    return row, numbers, real, Spelling(np.concatenate([[0], first]).astype(np.int64), lookups[1](keys))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -121,7 +155,7 @@ def _block_mask() -> np.ndarray:
 
 @dataclass
 class Network:
-    """Parameters: tables (3 of them), input and recurrent weights, attention, output."""
+    """Parameters: tables of words and of runs of bytes, input and recurrent weights, attention, output."""
 
     p: dict[str, np.ndarray]
 
@@ -129,15 +163,19 @@ class Network:
     def fresh(cls, sizes: list[int], rng: np.random.Generator) -> Network:
         f = lambda *shape, scale=0.3: rng.normal(0, scale, shape).astype(np.float32)
         p = {f"table{i}": f(n, WIDTH, scale=0.02) for i, n in enumerate(sizes)}
-        p |= {"input": f(3 * WIDTH, 3 * _BOTH), "bias": np.zeros(3 * _BOTH, np.float32), "recurrent": f(_BOTH, 3 * _BOTH) * _block_mask()}
+        p |= {"input": f(2 * WIDTH, 3 * _BOTH), "bias": np.zeros(3 * _BOTH, np.float32), "recurrent": f(_BOTH, 3 * _BOTH) * _block_mask()}
         p |= {"attend": f(_BOTH, STATE), "attend_bias": np.zeros(STATE, np.float32), "query": f(STATE), "out": f(_BOTH), "out_bias": np.zeros(1, np.float32)}
         return cls(p)
 
-    def inputs(self, numbers: np.ndarray) -> np.ndarray:
+    def embedded(self, numbers: np.ndarray, spelling: Spelling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs of all words (WINDOW, windows, 2 tables), the different words among them, and which of these each is."""
+        different, which = np.unique(numbers[1].T, return_inverse=True)
+        spelled = spelling.means(self.p["table1"], different)
+        return np.concatenate([self.p["table0"][numbers[0].T], spelled[which.reshape(numbers[1].T.shape)]], axis=2), different, which.reshape(-1)
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
         """(WINDOW, windows, 3 gates): the backward places read the window from its end."""
-        p = self.p
-        x = np.concatenate([p[f"table{i}"][numbers[i].T] for i in range(3)], axis=2)
-        return self._turned(x.reshape(-1, 3 * WIDTH) @ p["input"] + p["bias"], x.shape[:2])
+        return self._turned(x.reshape(-1, 2 * WIDTH) @ self.p["input"] + self.p["bias"], x.shape[:2])
 
     @staticmethod
     def _turned(g: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -173,10 +211,11 @@ class Network:
             keep.update(trail=trail, states=states, u=u, w=w, pooled=pooled)
         return pooled @ p["out"] + p["out_bias"][0]
 
-    def gradients(self, numbers: np.ndarray, real: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, numbers: np.ndarray, real: np.ndarray, target: np.ndarray, spelling: Spelling) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy of windows and its gradients."""
         p, k = self.p, {}
-        x = self.inputs(numbers)
+        given, different, which = self.embedded(numbers, spelling)
+        x = self.inputs(given)
         logit = self.forward(x, real, k)
         prob = 1 / (1 + np.exp(-logit))
         loss = float(np.mean(np.logaddexp(0, logit) - target * logit))
@@ -207,20 +246,20 @@ class Network:
             d_h = d_h * z + d_a @ p["recurrent"].T
         g["recurrent"] *= _block_mask()
         d_x = self._turned(d_x, (steps, n)).reshape(-1, 3 * _BOTH)
-        rows = np.concatenate([p[f"table{i}"][numbers[i].T] for i in range(3)], axis=2).reshape(-1, 3 * WIDTH)
-        g["input"], g["bias"] = rows.T @ d_x, d_x.sum(axis=0)
+        g["input"], g["bias"] = given.reshape(-1, 2 * WIDTH).T @ d_x, d_x.sum(axis=0)
         d_rows = d_x @ p["input"].T
-        for i in range(3):
-            g[f"table{i}"] = np.zeros_like(p[f"table{i}"])
-            np.add.at(g[f"table{i}"], numbers[i].T.reshape(-1), d_rows[:, i * WIDTH : (i + 1) * WIDTH])
+        g["table0"], g["table1"] = np.zeros_like(p["table0"]), np.zeros_like(p["table1"])
+        np.add.at(g["table0"], numbers[0].T.reshape(-1), d_rows[:, :WIDTH])
+        d_spelled = np.zeros((len(different), WIDTH), np.float32)
+        np.add.at(d_spelled, which, d_rows[:, WIDTH:])
+        of, n = spelling.runs(different)
+        np.add.at(g["table1"], of, np.repeat(d_spelled / np.maximum(n, 1)[:, None].astype(np.float32), n, axis=0))
         return loss, g
 
     def folded(self) -> list[np.ndarray]:
-        """The tables times their input weights, so that a word's input is a sum of three rows."""
+        """The tables times their input weights, so that a word's input is a sum of two rows."""
         p = self.p
-        out = [p[f"table{i}"] @ p["input"][i * WIDTH : (i + 1) * WIDTH] for i in range(3)]
-        out[0] = out[0] + p["bias"]
-        return out
+        return [p["table0"] @ p["input"][:WIDTH] + p["bias"], p["table1"] @ p["input"][WIDTH:]]
 
 
 @dataclass
@@ -230,14 +269,14 @@ class Model:
     lookups: list[Lookup]
     network: Network
 
-    def window_scores(self, numbers: np.ndarray, real: np.ndarray) -> np.ndarray:
-        tables = self.network.folded()
+    def window_scores(self, numbers: np.ndarray, real: np.ndarray, spelling: Spelling) -> np.ndarray:
+        words, runs = self.network.folded()
+        spelled = spelling.means(runs, np.arange(len(spelling) + 1))
         out = np.empty(numbers.shape[1], np.float32)
         for lo in range(0, len(out), BLOCK):
             own = numbers[:, lo : lo + BLOCK]
-            g = tables[0][own[0].T]
-            g += tables[1][own[1].T]
-            g += tables[2][own[2].T]
+            g = words[own[0].T]
+            g += spelled[own[1].T]
             out[lo : lo + BLOCK] = self.network.forward(Network._turned(g, g.shape[:2]), real[lo : lo + BLOCK])
         return out
 
@@ -245,9 +284,9 @@ class Model:
         """The probability of label 1 for each text: that of its highest window."""
         if not len(texts):
             return np.zeros(0)
-        row, numbers, real = windows_of(texts, self.lookups, stride)
+        row, numbers, real, spelling = windows_of(texts, self.lookups, stride)
         logit = np.full(len(texts), -np.inf)
-        np.maximum.at(logit, row, self.window_scores(numbers, real).astype(float))
+        np.maximum.at(logit, row, self.window_scores(numbers, real, spelling).astype(float))
         return 1 / (1 + np.exp(-logit))
 
 
@@ -275,14 +314,20 @@ def fit(texts: Texts, toxic: np.ndarray, seed: int = 7) -> Model | None:
         return None
     rng = np.random.default_rng(seed)
     pieces = list(texts.pieces())
-    features = []  # a chunk at a time, as the driver's memory is small
+    features: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]  # a chunk at a time, as the driver's memory is small
     for begin, own in pieces:
         low = own.lowered()
         words = Words(low, ALNUM)
-        features.append((words.row + begin, words.hashes(), *_edges(low, words)))
-    rows, *keys = (np.concatenate(x) for x in zip(*features, strict=True))
-    found = [_telling(k, rows, toxic, most) for k, most in zip(keys, (VOCABULARY, CHARACTERS, CHARACTERS), strict=True)]
-    del features, rows, keys
+        hashes = words.hashes()
+        one = np.lexsort((hashes, words.row))  # a text's words once each
+        new = np.ones(len(one), bool)
+        new[1:] = (words.row[one][1:] != words.row[one][:-1]) | (hashes[one][1:] != hashes[one][:-1])
+        one = one[new]
+        keys, first = _spelled(low, words, one)
+        features[0].append((words.row[one] + begin, hashes[one]))
+        features[1].append((np.repeat(words.row[one] + begin, np.diff(first)), keys))
+    found = [_telling(np.concatenate([k for _, k in part]), np.concatenate([r for r, _ in part]), toxic, most) for part, most in zip(features, (VOCABULARY, CHARACTERS), strict=True)]
+    del features
     lookups = [Lookup(keys) for keys, _ in found]
     network = Network.fresh([len(keys) + 2 for keys, _ in found], rng)
     hints = []
@@ -292,11 +337,16 @@ def fit(texts: Texts, toxic: np.ndarray, seed: int = 7) -> Model | None:
         hints.append(hint)
     model = Model(lookups, network)
     parts = [(begin, windows_of(own, lookups)) for begin, own in pieces]
-    row = np.concatenate([r + begin for begin, (r, _, _) in parts])
-    numbers, real = np.concatenate([n for _, (_, n, _) in parts], axis=1), np.concatenate([x for _, (_, _, x) in parts])
+    row = np.concatenate([r + begin for begin, (r, _, _, _) in parts])
+    spelling = Spelling.joined([x for _, (_, _, _, x) in parts])
+    before = np.cumsum([0, *(len(x) for _, (_, _, _, x) in parts)])
+    for (_, (_, n, _, _)), more in zip(parts, before, strict=False):
+        n[1][n[1] > 0] += more
+    numbers, real = np.concatenate([n for _, (_, n, _, _) in parts], axis=1), np.concatenate([x for _, (_, _, x, _) in parts])
     del parts
     first, second = ({k: np.zeros_like(v) for k, v in network.p.items()} for _ in range(2))
-    step, score = 0, sum(h[n] for h, n in zip(hints, numbers, strict=True)).max(axis=1)
+    spelled = spelling.means(hints[1][:, None], np.arange(len(spelling) + 1))[:, 0]
+    step, score = 0, (hints[0][numbers[0]] + spelled[numbers[1]]).max(axis=1)
     epoch, epochs = 0, EPOCHS
     while epoch < epochs:
         rate = RATE * (1 - epoch / epochs)
@@ -311,15 +361,16 @@ def fit(texts: Texts, toxic: np.ndarray, seed: int = 7) -> Model | None:
         epoch, epochs = epoch + 1, max(epochs, -(-STEPS * each // len(chosen)))
         for lo in range(0, len(chosen), each):
             own = chosen[lo : lo + each]
-            shown = np.where(rng.random(numbers[:, own].shape) < HIDDEN, np.minimum(numbers[:, own], 1), numbers[:, own])
-            _, g = network.gradients(shown, real[own], toxic[row[own]].astype(np.float32))
+            shown, hidden = numbers[:, own], rng.random((2, len(own), WINDOW)) < HIDDEN
+            shown = np.stack([np.where(hidden[0], np.minimum(shown[0], 1), shown[0]), np.where(hidden[1], 0, shown[1])])
+            _, g = network.gradients(shown, real[own], toxic[row[own]].astype(np.float32), spelling)
             step += 1
             for k, v in g.items():
                 first[k] += 0.1 * (v - first[k])
                 second[k] += 0.001 * (v * v - second[k])
                 change = rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
                 network.p[k] -= (change * (SLOWER if k.startswith("table") else 1)).astype(np.float32)
-        score = model.window_scores(numbers, real)
+        score = model.window_scores(numbers, real, spelling)
     return model
 
 
