@@ -62,5 +62,5 @@ def suspicious(df: DataFrame, keys: list[str]) -> DataFrame:
 def coverage(df: DataFrame) -> DataFrame:
     """Quarters each company has, its first and last, how many are missing between, and how far it lags behind the newest of all."""
     own = df.groupBy("company").agg(F.count(F.lit(1)).alias("n_quarters"), F.min("q_ord").alias("first_q"), F.max("q_ord").alias("last_q"))
-    newest = df.agg(F.max("q_ord").alias("_newest"))
-    return own.join(F.broadcast(newest)).select("company", "n_quarters", "first_q", "last_q", (F.col("last_q") - F.col("first_q") + 1 - F.col("n_quarters")).alias("n_missing"), (F.col("_newest") - F.col("last_q")).alias("lag"))
+    newest = df.agg(F.max("q_ord")).scalar()
+    return own.select("company", "n_quarters", "first_q", "last_q", (F.col("last_q") - F.col("first_q") + 1 - F.col("n_quarters")).alias("n_missing"), (newest - F.col("last_q")).alias("lag"))

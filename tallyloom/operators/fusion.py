@@ -1,4 +1,4 @@
-"""Choosing among sources and filings, and currency as of a date."""
+"""Choosing among sources and filings, and currency as of a date."""
 
 from __future__ import annotations
 
@@ -16,9 +16,9 @@ def fuse(candidates: DataFrame) -> DataFrame:
     return best.select("company", "q_ord", "field", "best.value", "best.source", F.col("best.score").cast("double").alias("score"))
 
 
-def latest_filing(filings: DataFrame) -> DataFrame:
-    """For each (user_id, event_type), the newest row's id and the largest value of all."""
-    return filings.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("value").alias("value"))
+def latest_filing(filings: DataFrame, keys: list[str], number: str, time: str) -> DataFrame:
+    """For each key, the number of the newest row (of one time the largest) and the largest value of all."""
+    return filings.groupBy(*keys).agg(F.max_by(number, F.struct(time, number)).alias(number), F.max("value").alias("value"))
 
 
 def as_of(facts: DataFrame, rates: DataFrame, days: int = 7) -> DataFrame:
@@ -34,4 +34,4 @@ def as_of(facts: DataFrame, rates: DataFrame, days: int = 7) -> DataFrame:
 def median_fallback(df: DataFrame) -> DataFrame:
     """A missing rate is the median of its currency's known ones (6 digits)."""
     median = df.groupBy("currency").agg(F.round(F.median("rate"), 6).alias("_median"))
-    return df.join(F.broadcast(median), "currency", "left").withColumn("rate", F.coalesce("rate", "_median")).drop("_median")
+    return df.join(median, "currency", "left").withColumn("rate", F.coalesce("rate", "_median")).drop("_median")

@@ -43,10 +43,8 @@ def calendar(df: DataFrame, overwrite: bool) -> DataFrame:
     margins in points with those. Overwriting (G4) wants both revenues above 0, and a given figure goes where one isn't.
     """
     values = [c for c in ("revenue", "net", *MARGINS) if c in df.columns]
-    out = df
-    for back in (1, 4):
-        prior = df.select("company", (F.col("q_ord") + back).alias("q_ord"), *(F.col(c).alias(f"_{c}_{back}") for c in values))
-        out = out.join(prior, ["company", "q_ord"], "left")
+    then_of = lambda c, back: F.max(c).over(Window.partitionBy("company").orderBy("q_ord").rangeBetween(-back, -back))
+    out = df.withColumns({f"_{c}_{back}": then_of(c, back) for c in values for back in (1, 4)})  # one sort serves all
     for name, value, back in (("qoq", "revenue", 1), ("yoy", "revenue", 4), *([] if overwrite else [("net_yoy", "net", 4)])):
         if value in values:
             now, then = F.col(value), F.col(f"_{value}_{back}")

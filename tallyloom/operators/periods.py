@@ -131,7 +131,7 @@ def concept_rank(f: Column) -> list[Column]:
     return [timely, near, f["namespace_priority"], f["concept_priority"], f["filed"], f["accession"]]
 
 
-def _field_rank(f: Column) -> list[Column]:
+def field_rank(f: Column) -> list[Column]:
     timely, near = _timely(f)
     return [timely, f["concept_priority"], f["namespace_priority"], near, f["filed"]]
 
@@ -197,7 +197,7 @@ def quarterise(facts: DataFrame, keys: list[str], by_field: bool = False, first:
     by priorities before time. A derived fact has a priority less by one, and at least one. Equal ranks go to direct facts, then to
     the earlier end.
     """
-    rank = _field_rank if by_field else concept_rank
+    rank = field_rank if by_field else concept_rank
     f = F.col("_f")
     rows = _derived(facts.select(*keys, "start", "end", F.col("value").cast("double").alias("value"), F.col("concept_priority").cast("int").alias("concept_priority"), "namespace_priority", "filed", "accession"), keys, rank, 1)
     order = F.struct(*rank(f), ~f["derived"], -F.unix_date(f["end"]))

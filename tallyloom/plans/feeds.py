@@ -46,14 +46,21 @@ def anchored_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream, each once, by day and type; state and result lie in the cluster's shared folder."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', 'spark-checkpoints')}/streams/{uuid.uuid4().hex}"
-    stream = events.daily_totals(events.read_events(spark, f"{sf_dir}/events.parquet"))
-    events.run_to_table(stream, f"{base}/out", f"{base}/state", "complete")
+    """Events as a stream that brings each of them twice: copies are dropped, and the table is summed by day and type."""
+    base = f"{events.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    stream = lambda: events.read_events(spark, f"{sf_dir}/events.parquet")
+    events.run_to_table(events.distinct_events(stream().unionByName(stream())), f"{base}/out", f"{base}/state", "append")
+    return events.daily_totals(spark.read.parquet(f"{base}/out"))
+
+
+def streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same totals kept by the stream itself; each batch's whole result replaces the table."""
+    base = f"{events.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    events.run_to_table(events.daily_totals(events.read_events(spark, f"{sf_dir}/events.parquet")), f"{base}/out", f"{base}/state", "complete")
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
-QUERIES = {f.__name__: f for f in (company_facts, html_tables, latest_quarter, anchored_window, streamed_totals)}
+QUERIES = {f.__name__: f for f in (company_facts, html_tables, latest_quarter, anchored_window, streamed_totals, streamed_days)}
 
 _SPARSE_SQL = """sp AS (SELECT l_partkey AS company, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS BIGINT) AS q_ord, CAST(round(sum(CAST(l_extendedprice AS DECIMAL(15, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))), 3) AS DOUBLE) AS revenue FROM lineitem GROUP BY 1, 2)"""
 
@@ -63,4 +70,5 @@ ORACLE_SQL = {
     "latest_quarter": f"WITH {_SPARSE_SQL} SELECT * FROM sp QUALIFY q_ord = max(q_ord) OVER (PARTITION BY company)",
     "anchored_window": f"WITH {_SPARSE_SQL}, a AS (SELECT *, max(q_ord <= 7990) OVER (PARTITION BY company) AS has FROM sp) SELECT company, q_ord, revenue FROM a WHERE q_ord <= 7990 OR NOT has QUALIFY row_number() OVER (PARTITION BY company ORDER BY q_ord DESC) <= 4",
     "streamed_totals": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE), 3) AS total FROM events GROUP BY 1, 2",
+    "streamed_days": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE), 3) AS total FROM events GROUP BY 1, 2",
 }

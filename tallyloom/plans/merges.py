@@ -84,8 +84,7 @@ def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unexpired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
-    newest = events.agg(F.max("ts").alias("_now"))
-    return merging.unexpired(events.select("event_id", "ts").join(F.broadcast(newest)), F.col("_now"), 7 * 86400).select("event_id")
+    return merging.unexpired(events.select("event_id", "ts"), events.agg(F.max("ts")).scalar(), 7 * 86400).select("event_id")
 
 
 def member_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

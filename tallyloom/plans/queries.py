@@ -100,7 +100,7 @@ def fuse_field_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedupe_latest_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.latest_filing(read(spark, sf_dir, "events"))
+    return fusion.latest_filing(read(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", "ts")
 
 
 def _rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -175,4 +175,12 @@ ORACLE_SQL = {
         s AS (SELECT *, max(wish - packed) OVER (PARTITION BY company, q_ord ORDER BY wish, member ROWS UNBOUNDED PRECEDING) AS shift FROM p), x AS (SELECT *, max(CASE WHEN last THEN packed + shift + tall END) OVER (PARTITION BY company, q_ord) > 400 AS beyond FROM s),
         m AS (SELECT *, packed + CASE WHEN beyond THEN min(CASE WHEN last THEN 400 - tall - packed ELSE shift END) OVER (PARTITION BY company, q_ord ORDER BY wish, member ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) ELSE shift END AS at0 FROM x),
         n AS (SELECT *, at0 + greatest(-min(at0) OVER (PARTITION BY company, q_ord), 0) AS at1 FROM m) SELECT company, q_ord, member, round(at1, 6) AS top, round(at1 + tall, 6) AS bottom FROM n""",
+    "history_gap_fill": f"""WITH {_SPARSE}, s AS (SELECT *, value / sum(value) OVER (PARTITION BY company, q_ord) AS share FROM sps),
+        q AS (SELECT company, q_ord, coalesce(string_agg(member, '|' ORDER BY member) FILTER (member <> 'otherrevenue'), '') AS names, sum(value) AS total, max(revenue) AS revenue, count(*) AS n FROM s GROUP BY 1, 2),
+        l AS (SELECT *, lag(names) OVER w AS a, lead(names) OVER w AS b, lag(q_ord) OVER w AS aq, lead(q_ord) OVER w AS bq, lag(n) OVER w AS an FROM q WINDOW w AS (PARTITION BY company ORDER BY q_ord)),
+        g AS (SELECT *, greatest(revenue - total, 0) AS gap FROM l WHERE a = b AND a <> names AND an - n BETWEEN 1 AND 2),
+        x AS (SELECT g.company, g.q_ord, p.member, g.gap, (p.share + f.share) / 2 AS w FROM g JOIN s p ON p.company = g.company AND p.q_ord = g.aq JOIN s f ON f.company = g.company AND f.q_ord = g.bq AND f.member = p.member
+            WHERE gap > 0.12 AND NOT EXISTS (SELECT 1 FROM sps o WHERE o.company = g.company AND o.q_ord = g.q_ord AND o.member = p.member) AND NOT EXISTS (SELECT 1 FROM sps o WHERE o.company = g.company AND o.q_ord = g.q_ord AND NOT EXISTS (SELECT 1 FROM sps z WHERE z.company = g.company AND z.q_ord = g.aq AND z.member = o.member))),
+        y AS (SELECT *, round(gap * w / sum(w) OVER (PARTITION BY company, q_ord), 3) AS v FROM x), z AS (SELECT company, q_ord, round(max(gap) - sum(v), 3) AS rest FROM y WHERE v > 0.02 GROUP BY 1, 2)
+        SELECT company, q_ord, member, value, false AS filled FROM sps UNION ALL SELECT company, q_ord, member, v, true FROM y WHERE v > 0.02 UNION ALL SELECT company, q_ord, 'otherrevenue', rest, false FROM z WHERE rest > 0.03""",
 }

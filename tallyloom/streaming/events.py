@@ -1,4 +1,4 @@
-"""Filings as a stream: restatements, totals by day, upserts of the newest (M1, M5, E11 over time)."""
+"""Filings as a stream: copies dropped, totals by day, batches that can run again (M1, M5 over time)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only in local mode is there another one. What a stream leaves there
+    goes when the session's process ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or "/tmp/spark-checkpoints"
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The events as a stream of files; times without a zone are taken in the session's, as watermarks need."""
     pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may name one file; a plain path must be a folder
@@ -32,4 +41,7 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str) -> Non
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
 
+    for folder in (out, checkpoint):
+        path = stream.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(stream.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(path)
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
