@@ -128,7 +128,7 @@ def attach(entries: DataFrame, structures: DataFrame, how: str = "synthesise") -
     made = F.when(F.col("display_revenue") > 0, F.round("display_revenue", 3)).otherwise(total)
     own = F.col("_own").isNotNull()
     out = both.filter(own | (made > 0))
-    return out.select("company", "q_ord", F.when(own, F.col("revenue")).otherwise(made).alias("revenue"), rows.alias("rows"), F.when(own, "entry").otherwise("structure").alias("source"))
+    return out.select("company", "q_ord", F.when(own, F.col("revenue")).otherwise(made).alias("revenue"), F.coalesce(rows, "rows", "_rows").alias("rows"), F.when(own, "entry").otherwise("structure").alias("source"))
 
 
 def by_alias(queries: DataFrame, aliases: DataFrame) -> DataFrame:
