@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import bridging, feeds, mending, merges, queries, scalars, selecting, series
+from tallyloom.plans import bridging, feeds, filed, mending, merges, queries, scalars, selecting, series
 
-PARTS = (queries, scalars, merges, mending, selecting, bridging, series, feeds)
+PARTS = (queries, scalars, merges, mending, selecting, bridging, series, feeds, filed)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -205,3 +205,29 @@ def dated(facts: DataFrame) -> DataFrame:
     rows = facts.withColumn("start", iso_date(F.col("start"))).withColumn("end", iso_date(F.col("end"))).filter(F.col("start").isNotNull() & F.col("end").isNotNull())
     q = closing_quarter(F.col("end"))
     return rows.withColumn("q_ord", q).withColumn("quarter", quarter_label(q)).withColumn("days", F.datediff("end", "start") + 1)
+
+
+def document_text(body: Column, content_type: Column, url: Column) -> tuple[Column, Column]:
+    """What kind a document is (html, text or pdf, by its type, else its name's ending, else its first bytes) and its text: without
+    tags, scripts and styles for html, lines kept; null for a pdf, whose text needs an engine that isn't here. A null body is empty."""
+    raw, name = F.coalesce(body, F.lit("")), F.lower(F.coalesce(url, F.lit("")))
+    told = F.lower(F.coalesce(content_type, F.lit("")))
+    by_name = F.when(name.rlike(r"\.pdf([?#]|$)"), "pdf").when(name.rlike(r"\.x?html?([?#]|$)"), "html").when(name.rlike(r"\.(txt|csv)([?#]|$)"), "text")
+    kind = F.when(told.contains("pdf"), "pdf").when(told.contains("html"), "html").when(told.startswith("text/"), "text").otherwise(F.coalesce(by_name, F.when(raw.startswith("%PDF"), "pdf").when(raw.rlike(r"(?i)^\s*<"), "html").otherwise("text")))
+    plain = F.regexp_replace(F.regexp_replace(raw, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?i)<br\s*/?>|</(p|div|tr|li|h\d)\s*>", "\n")
+    stripped = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"<[^>]*>", " "), r"[ \t]+", " "), r" ?\n ?", "\n"))
+    return kind, F.when(kind == "html", stripped).when(kind == "text", raw)
+
+
+def by_reader(companies: DataFrame, key: str, readers: dict[str, Callable[[DataFrame], DataFrame]], default: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows read by the reader that is registered for their key's value, those of no value by the default one, or not at all.
+
+    Readers give equal columns. Each sees its own rows only, so the filter reaches its scan.
+    """
+    parts = [read(companies.filter(F.col(key) == value)) for value, read in readers.items()]
+    if default is not None:
+        parts.append(default(companies.filter(~F.coalesce(F.col(key).isin(*readers), F.lit(False)))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
