@@ -281,13 +281,13 @@ class Model:
         return out
 
     def scores(self, texts: Texts, stride: int = SCORED_STRIDE) -> np.ndarray:
-        """The probability of label 1 for each text: that of its highest window."""
+        """The probability of label 1 for each text: that of its highest window, to 6 digits, as single precision depends on a window's batch."""
         if not len(texts):
             return np.zeros(0)
         row, numbers, real, spelling = windows_of(texts, self.lookups, stride)
         logit = np.full(len(texts), -np.inf)
         np.maximum.at(logit, row, self.window_scores(numbers, real, spelling).astype(float))
-        return 1 / (1 + np.exp(-logit))
+        return np.round(1 / (1 + np.exp(-logit)), 6)
 
 
 def _telling(keys: np.ndarray, row: np.ndarray, toxic: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
