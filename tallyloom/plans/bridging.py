@@ -72,7 +72,7 @@ def rule_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def harmonised_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.harmonise(_sparse(spark, sf_dir)).select(*QUARTER, "member", F.when(F.col("synthetic"), F.round("value", 1)).otherwise(F.col("value")).alias("value"), "synthetic")
+    return bridge.harmonise(_sparse(spark, sf_dir))
 
 
 def fill_recent_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ ORACLE_SQL = {
         r AS (SELECT *, pt - op_income AS rest FROM p), k AS (SELECT *, non_op IS NOT NULL AND (rest IS NULL OR abs(non_op - rest) <= 0.25 OR abs(non_op - rest) <= 0.08 * abs(rest)) AS keep FROM r)
         SELECT company, q_ord, pt AS pretax_resolved, NOT keep AND rest IS NOT NULL AS residual, round(CASE WHEN keep THEN non_op ELSE rest END, 3) + 0.0 AS non_op_resolved FROM k""",
     "merge_fallback": f"""WITH {_ST}, f AS (SELECT company, q_ord, revenue, cost, round(revenue - cost, 3) AS gross, tax AS opex, round(round(revenue - cost, 3) - tax, 3) AS op_income FROM st), x AS (SELECT *, round(op_income + 2.5::DOUBLE, 3) AS pretax, round(op_income + 1.5::DOUBLE, 3) AS net, cost > 0.62::DOUBLE * revenue AS own, cost < 0.645::DOUBLE * revenue AS web FROM f),
-        y AS (SELECT *, own AND web AND q_ord % 4 = 0 AS whole, own AND web AND q_ord % 4 = 1 AND opex > greatest(1.2, opex * 0.24) AS stage, CASE q_ord % 4 WHEN 0 THEN round(revenue + 1, 3) WHEN 1 THEN round(opex * 2, 3) ELSE opex END AS own_opex FROM x WHERE own OR web)
+        y AS (SELECT *, own AND web AND q_ord % 4 = 0 AS whole, own AND web AND (q_ord % 4 = 0 OR (q_ord % 4 = 1 AND opex > greatest(1.2, opex * 0.24))) AS stage, CASE q_ord % 4 WHEN 0 THEN round(revenue + 1, 3) WHEN 1 THEN round(opex * 2, 3) ELSE opex END AS own_opex FROM x WHERE own OR web)
         SELECT company, q_ord, revenue, CASE WHEN web OR q_ord % 4 <> 0 THEN cost END AS cost, CASE WHEN web OR q_ord % 4 <> 0 THEN gross END AS gross, CASE WHEN own AND q_ord % 3 = 0 AND NOT whole AND NOT stage THEN 9.5::DOUBLE WHEN web THEN 1.5::DOUBLE END AS sgna, NULL::DOUBLE AS rnd, NULL::DOUBLE AS other_opex,
             CASE WHEN own AND NOT whole AND NOT stage THEN own_opex ELSE opex END AS opex, op_income, 2.5::DOUBLE AS non_op, CASE WHEN web OR q_ord % 5 <> 0 THEN pretax END AS pretax, 1.0::DOUBLE AS tax, net,
             CASE WHEN stage THEN CASE WHEN q_ord % 2 = 0 THEN 'sec' ELSE 'official' END || '+operating-stage-fallback' WHEN whole THEN 'sec+financial-fallback' WHEN own AND q_ord % 2 = 0 THEN 'sec' WHEN web THEN 'web' END AS source FROM y""",
@@ -175,7 +175,7 @@ ORACLE_SQL = {
         l AS (SELECT *, lag(names) OVER w AS a, lead(names) OVER w AS b, lag(n) OVER w AS an, lag(q_ord) OVER w AS aq, lead(q_ord) OVER w AS bq FROM q WINDOW w AS (PARTITION BY company ORDER BY q_ord)),
         m AS (SELECT *, coalesce(an >= 2 AND a = b AND (n < 2 OR (names <> a AND (top >= 0.82 OR total / revenue NOT BETWEEN 0.7 AND 1.28))), false) AS bad FROM l)
         SELECT s.company, s.q_ord, member, value, false AS synthetic FROM s JOIN m USING (company, q_ord) WHERE NOT bad
-        UNION ALL SELECT m.company, m.q_ord, x.member, round(round(m.revenue * (x.share + y.share) / 2, 3), 1), true FROM m JOIN s x ON x.company = m.company AND x.q_ord = m.aq JOIN s y ON y.company = m.company AND y.q_ord = m.bq AND y.member = x.member WHERE bad""",
+        UNION ALL SELECT m.company, m.q_ord, x.member, round(m.revenue * (x.share + y.share) / 2, 3), true FROM m JOIN s x ON x.company = m.company AND x.q_ord = m.aq JOIN s y ON y.company = m.company AND y.q_ord = m.bq AND y.member = x.member WHERE bad""",
     "fill_recent_costs": f"""WITH {_ST}, {_ORD}, o AS (SELECT company, q_ord, revenue, CASE WHEN cost > 0.63::DOUBLE * revenue THEN cost END AS cost FROM st), n AS (SELECT *, row_number() OVER (PARTITION BY company, cost IS NULL ORDER BY q_ord DESC) AS n FROM o)
         SELECT n.company, n.q_ord, n.revenue, CASE WHEN n.cost IS NULL AND n <= 12 THEN ord.revenue ELSE n.cost END AS cost, n.cost IS NULL AND n <= 12 AND ord.revenue IS NOT NULL AS filled FROM n LEFT JOIN ord USING (company, q_ord)""",
     "segment_exceptions": f"""WITH p AS (SELECT *, [{_KNOWN}[p_partkey % 12 + 1], {_KNOWN}[p_partkey // 12 % 12 + 1], CASE WHEN p_size > 25 THEN p_type ELSE ' ' END] AS names FROM part), k AS (SELECT *, list_filter(list_transform(names, lambda x: lower(trim(x))), lambda x: x <> '') AS l FROM p), c AS (SELECT *, len(l) AS n FROM k)

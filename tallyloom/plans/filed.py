@@ -53,7 +53,7 @@ def statement_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def narrative_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
     k = F.col("c_custkey").cast("string")
-    told = F.concat(F.when(F.col("c_acctbal") > 0, "Revenues were RMB ").otherwise("They came to US$"), k, F.lit(".5 "), F.when(F.col("c_mktsegment") == "BUILDING", "million").otherwise("billion"), F.when(F.col("c_acctbal") > 5000, F.concat(F.lit(", up by "), k, F.lit("%"))).otherwise(F.concat(F.lit(", a decrease of "), k, F.lit(".5%"))))
+    told = F.concat(F.when(F.col("c_acctbal") > 0, "Revenues were RMB ").otherwise("They came to US$"), k, F.lit(".25 "), F.when(F.col("c_mktsegment") == "BUILDING", "million").otherwise("billion"), F.when(F.col("c_acctbal") > 5000, F.concat(F.lit(", up by "), k, F.lit("%"))).otherwise(F.concat(F.lit(", a decrease of "), k, F.lit(".5%"))))
     return c.select("c_custkey", filings.narrative(F.when(F.col("c_mktsegment") != "MACHINERY", told)).alias("m")).select("c_custkey", "m.billions", "m.growth")
 
 
@@ -120,7 +120,7 @@ ORACLE_SQL = {
         o AS (SELECT n_nationkey AS company, unnest([(1, 'x' || replace(lower(n_name), ' ', '')), (2, replace(lower(n_name), ' ', '')), (3, CAST(n_regionkey AS VARCHAR))]) AS n FROM nation) SELECT company, arg_min(value, n[1]) AS value FROM o JOIN r ON r.key = n[2] GROUP BY 1""",
     "statement_labels": """SELECT c_custkey, 'revenue' AS field, 1 AS line_i, CASE WHEN c_custkey < 10000 THEN CAST(CAST(c_custkey * 1000 + 0.5 AS DECIMAL(18, 1)) AS VARCHAR) ELSE replace(printf('%.8E', c_custkey * 1000 + 0.5::DOUBLE), 'E+0', 'E') END || '|-' || (c_custkey % 7 + 2) || '.0' AS "values" FROM customer
         UNION ALL SELECT c_custkey, 'cost', 4, '12.0' FROM customer WHERE c_acctbal > 0""",
-    "narrative_metrics": """WITH t AS (SELECT *, c_mktsegment <> 'MACHINERY' AS told FROM customer) SELECT c_custkey, CASE WHEN told THEN CASE WHEN c_mktsegment = 'BUILDING' THEN round((c_custkey + 0.5::DOUBLE) / 1000, 3) ELSE c_custkey + 0.5::DOUBLE END END AS billions, CASE WHEN told THEN CASE WHEN c_acctbal > 5000 THEN CAST(c_custkey AS DOUBLE) ELSE -(c_custkey + 0.5::DOUBLE) END END AS growth FROM t""",
+    "narrative_metrics": """WITH t AS (SELECT *, c_mktsegment <> 'MACHINERY' AS told FROM customer) SELECT c_custkey, CASE WHEN told THEN CASE WHEN c_mktsegment = 'BUILDING' THEN round((c_custkey + 0.25::DOUBLE) / 1000, 3) ELSE c_custkey + 0.25::DOUBLE END END AS billions, CASE WHEN told THEN CASE WHEN c_acctbal > 5000 THEN CAST(c_custkey AS DOUBLE) ELSE -(c_custkey + 0.5::DOUBLE) END END AS growth FROM t""",
     "grid_lines": """SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS line, l_returnflag || ' | ' || l_linenumber || ' ' || l_linestatus || ' | ' || CAST(l_quantity AS INTEGER) AS text FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, min(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber <= 6 GROUP BY 1, 2)""",
     "versioned_cache": f"WITH {_ST} SELECT * FROM st WHERE company >= 10",
     "json_fallback": "SELECT CASE WHEN n_regionkey < 3 THEN n_nationkey END AS n_nationkey, CASE WHEN n_regionkey < 3 THEN n_name END AS n_name, CASE WHEN n_regionkey >= 3 THEN n_name END AS unread FROM nation",

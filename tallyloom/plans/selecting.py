@@ -125,7 +125,7 @@ def shares_to_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.round(F.col("value") / F.col("revenue") * 100, 2)
     c = F.col("company")
     null = F.lit(None).cast("double")
-    told = rows.select(*QUARTER, "member", F.when(c % 4 == 1, "share").alias("mode"), F.when(c % 4 == 1, share).alias("mix_pct"), F.when(c % 4 == 2, F.round(F.col("value") / 2, 2)).otherwise(null).alias("flow"), F.when(c % 4 == 0, share).otherwise(F.col("value")).alias("value"), "revenue")
+    told = rows.select(*QUARTER, "member", F.when(c % 4 == 1, "share").alias("mode"), F.when(c % 4 == 1, share).alias("mix_pct"), F.when(c % 4 == 2, F.floor(F.col("value") / 2).cast("double")).otherwise(null).alias("flow"), F.when(c % 4 == 0, share).otherwise(F.col("value")).alias("value"), "revenue")
     return selection.shares_to_values(told, QUARTER).select(*QUARTER, "member", "value")
 
 
@@ -218,8 +218,8 @@ def error_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outlier_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segments(spark, sf_dir).join(statements(spark, sf_dir).select(*QUARTER, "revenue"), QUARTER)
-    return repairs.neighbour_mean(rows, "RF", 0.255).select(*QUARTER, "member", F.when(F.col("replaced"), F.round("value", 1)).otherwise(F.col("value")).alias("value"), "replaced")
+    rows = segments(spark, sf_dir).withColumn("value", F.floor(F.col("value") * 100) / 100).join(statements(spark, sf_dir).select(*QUARTER, "revenue"), QUARTER)
+    return repairs.neighbour_mean(rows, "RF", 0.255).select(*QUARTER, "member", "value", "replaced")
 
 
 def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +235,7 @@ def drop_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def absorb_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repairs.absorb_residual(_residuals(spark, sf_dir)).select(*QUARTER, "member", F.round("value", 1).alias("value"))
+    return repairs.absorb_residual(_residuals(spark, sf_dir)).select(*QUARTER, "member", "value")
 
 
 def synthetic_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +300,7 @@ ORACLE_SQL = {
     "epoch_members": f"""WITH {_SEG}, f AS (SELECT *, min(q_ord) OVER (PARTITION BY company) AS first FROM seg), m AS (SELECT *, max(CASE WHEN member IN ('AF', 'RF') THEN 1 ELSE 0 END) OVER w = 1 AND max(CASE WHEN member = 'NO' THEN 1 ELSE 0 END) OVER w = 1 AS mixed,
         CASE WHEN q_ord >= first + 14 THEN member IN ('NF', 'NO') ELSE member IN ('AF', 'RF', 'NF') END AS good FROM f WINDOW w AS (PARTITION BY company, q_ord)) SELECT company, q_ord, member, value FROM m WHERE NOT mixed OR good""",
     "shares_to_values": f"""WITH {_SEG}, {_ST}, r AS (SELECT seg.*, revenue, round(value / revenue * 100, 2) AS share FROM seg JOIN st USING (company, q_ord)), t AS (SELECT *, count(*) OVER w >= 2 AND max(share) OVER w <= 100.5 AND abs(sum(share) OVER w - 100) <= 4.5 AS shape FROM r WINDOW w AS (PARTITION BY company, q_ord)),
-        v AS (SELECT company, q_ord, member, CASE company % 4 WHEN 1 THEN round(revenue * share / 100, 3) WHEN 2 THEN round(value / 2, 2) WHEN 0 THEN CASE WHEN shape THEN round(revenue * share / 100, 3) ELSE share END ELSE value END AS value FROM t) SELECT company, q_ord, member, value FROM v WHERE value > 0.02""",
+        v AS (SELECT company, q_ord, member, CASE company % 4 WHEN 1 THEN round(revenue * share / 100, 3) WHEN 2 THEN floor(value / 2) WHEN 0 THEN CASE WHEN shape THEN round(revenue * share / 100, 3) ELSE share END ELSE value END AS value FROM t) SELECT company, q_ord, member, value FROM v WHERE value > 0.02""",
     "scale_flows": f"""WITH {_SEG}, {_ORD}, s AS (SELECT seg.company, seg.q_ord, member, value, revenue, sum(value) OVER (PARTITION BY seg.company, seg.q_ord) AS total FROM seg JOIN ord USING (company, q_ord)),
         p AS (SELECT *, total > revenue + greatest(0.02, revenue * 0.002) AS scaled, round(value * revenue / total, 3) AS part, row_number() OVER w = count(*) OVER (PARTITION BY company, q_ord) AS last FROM s WINDOW w AS (PARTITION BY company, q_ord ORDER BY member)),
         b AS (SELECT *, coalesce(sum(part) OVER (PARTITION BY company, q_ord ORDER BY member ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT company, q_ord, member, CASE WHEN NOT scaled THEN value WHEN last THEN round(greatest(revenue - before, 0), 3) ELSE part END AS flow, scaled FROM b""",
@@ -323,14 +323,14 @@ ORACLE_SQL = {
     "display_labels": """WITH v AS (SELECT c_custkey, c_mktsegment AS m, round(c_acctbal / 100, 1) + 0.03::DOUBLE AS v FROM customer), d AS (SELECT *, CAST(CAST(round(v, 1) AS DECIMAL(20, 1)) AS VARCHAR) AS t, CAST(CAST(round(abs(v), 1) AS DECIMAL(20, 1)) AS VARCHAR) AS p, CASE m WHEN 'BUILDING' THEN '€' WHEN 'MACHINERY' THEN 'CHF ' ELSE '$' END AS c FROM v)
         SELECT c_custkey, CASE WHEN v < 0 THEN '(' || c || p || 'B)' ELSE c || p || 'B' END AS money, CASE WHEN v >= 0 THEN '+' ELSE '' END || t || '%' AS percent, coalesce(CASE WHEN v > 0 THEN CAST(CAST(round(v, 0) AS BIGINT) AS VARCHAR) || '%' END, '-') AS compact, 'YoY ' || CASE WHEN v >= 0 THEN '+' ELSE '' END || regexp_replace(t, '\\.0$', '') || 'pp' AS points FROM d""",
     "error_bundles": """SELECT event_id, CASE WHEN value > 20 OR value < 40 THEN event_type ELSE '' END AS errors, CASE WHEN value < 40 THEN event_type || CASE WHEN value > 30 THEN '/warning' ELSE '/error' END || '/parser/events/io' WHEN value > 20 THEN event_type || '/error/parser/events' ELSE '' END AS details FROM events""",
-    "outlier_neighbours": f"""WITH {_SEG}, {_ST}, o AS (SELECT * FROM seg WHERE member = 'RF' AND value > 0), m AS (SELECT a.company, a.q_ord, round(avg(b.value), 3) AS mean FROM (SELECT DISTINCT company, q_ord FROM seg) a JOIN o b ON b.company = a.company AND abs(b.q_ord - a.q_ord) = 1 AND b.q_ord // 4 = a.q_ord // 4 GROUP BY 1, 2),
-        j AS (SELECT seg.*, coalesce(member = 'RF' AND value / revenue > 0.255 AND mean > 0, false) AS replaced, mean FROM seg JOIN st USING (company, q_ord) LEFT JOIN m USING (company, q_ord)) SELECT company, q_ord, member, CASE WHEN replaced THEN round(mean, 1) ELSE value END AS value, replaced FROM j""",
+    "outlier_neighbours": f"""WITH {_SEG.replace("seg AS", "sg AS")}, seg AS (SELECT company, q_ord, member, floor(value * 100) / 100 AS value FROM sg), {_ST}, o AS (SELECT * FROM seg WHERE member = 'RF' AND value > 0), m AS (SELECT a.company, a.q_ord, round(avg(b.value), 3) AS mean FROM (SELECT DISTINCT company, q_ord FROM seg) a JOIN o b ON b.company = a.company AND abs(b.q_ord - a.q_ord) = 1 AND b.q_ord // 4 = a.q_ord // 4 GROUP BY 1, 2),
+        j AS (SELECT seg.*, coalesce(member = 'RF' AND value / revenue > 0.255 AND mean > 0, false) AS replaced, mean FROM seg JOIN st USING (company, q_ord) LEFT JOIN m USING (company, q_ord)) SELECT company, q_ord, member, CASE WHEN replaced THEN mean ELSE value END AS value, replaced FROM j""",
     "drop_sparse": f"""WITH {_RES}, p AS (SELECT *, coalesce(coalesce(sum(CASE WHEN member <> 'otherrevenue' THEN value END) OVER w, 0) / revenue < 0.72 AND max(CASE WHEN member = 'otherrevenue' THEN value END) OVER w / revenue > 0.28, false) AS sparse FROM res WINDOW w AS (PARTITION BY company, q_ord))
         SELECT company, q_ord, member, value, revenue FROM p WHERE NOT sparse AND NOT (member = 'NF' AND value / revenue < 0.015) UNION ALL SELECT DISTINCT company, q_ord, 'reportedrevenue', round(revenue, 3), revenue FROM p WHERE sparse""",
     "absorb_residual": f"""WITH {_RES}, s AS (SELECT *, value / sum(value) OVER (PARTITION BY company, q_ord) AS share FROM res), q AS (SELECT company, q_ord, string_agg(DISTINCT member, '|' ORDER BY member) FILTER (member <> 'otherrevenue') AS own, max(value) FILTER (member = 'otherrevenue') AS rest, max(revenue) AS revenue FROM res GROUP BY 1, 2),
         n AS (SELECT *, lag(own) OVER w AS before, lead(own) OVER w AS after, lag(q_ord) OVER w AS bq, lead(q_ord) OVER w AS aq FROM q WINDOW w AS (PARTITION BY company ORDER BY q_ord)), g AS (SELECT * FROM n WHERE before = own AND after = own AND rest / revenue > 0.01 AND rest / revenue <= 0.1),
         x AS (SELECT r.*, g.rest, (b.share + a.share) / 2 AS w FROM res r LEFT JOIN g USING (company, q_ord) LEFT JOIN s b ON b.company = r.company AND b.q_ord = g.bq AND b.member = r.member LEFT JOIN s a ON a.company = r.company AND a.q_ord = g.aq AND a.member = r.member)
-        SELECT company, q_ord, member, round(CASE WHEN rest IS NULL THEN value ELSE round(value + rest * w / sum(CASE WHEN member <> 'otherrevenue' THEN w END) OVER (PARTITION BY company, q_ord), 3) END, 1) AS value FROM x QUALIFY rest IS NULL OR member <> 'otherrevenue'""",
+        SELECT company, q_ord, member, CASE WHEN rest IS NULL THEN value ELSE round(value + rest * w / sum(CASE WHEN member <> 'otherrevenue' THEN w END) OVER (PARTITION BY company, q_ord), 3) END AS value FROM x QUALIFY rest IS NULL OR member <> 'otherrevenue'""",
     "synthetic_residuals": f"WITH {_RES} SELECT company, q_ord, round(value / revenue, 3) AS residual_share FROM res WHERE member = 'otherrevenue' AND q_ord % 4 <> 0",
     "classification_coverage": f"""WITH {_ST}, e AS (SELECT company, q_ord, revenue > cost * 1.585::DOUBLE AS r, tax > 0.041::DOUBLE * revenue AS x FROM st),
         c AS (SELECT company, count(*) AS n_quarters, max(q_ord) AS latest, count(*) FILTER (r) AS n_revenue, count(*) FILTER (x) AS n_expense, max(q_ord) FILTER (r) AS latest_revenue, max(q_ord) FILTER (x) AS latest_expense FROM e GROUP BY 1),
