@@ -52,15 +52,18 @@ def held_out() -> Column:
 
 
 def _spelled(texts: Texts, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the runs of three bytes of the words `at`, edges marked, and where each word's begin."""
+    """The runs of three bytes of the words `at`, edges marked, as numbers, and where each word's begin."""
     size = words.end[at] - words.start[at]
     begin = np.cumsum(size + 2) - (size + 2)
     marked = np.full(int((size + 2).sum()), 2, np.uint32)
     marked[begin + size + 1] = 3
     marked[ranges(begin + 1, size)] = texts.data[ranges(words.start[at], size)]
     runs = ranges(begin, size)
-    keys = marked[runs] | marked[runs + 1] << np.uint32(8) | marked[runs + 2] << np.uint32(16)
-    return mix64(keys.astype(np.uint64) + np.uint64(1 << 40), own=True), np.concatenate([[0], np.cumsum(size)])
+    return marked[runs] | marked[runs + 1] << np.uint32(8) | marked[runs + 2] << np.uint32(16), np.concatenate([[0], np.cumsum(size)])
+
+
+def _run_keys(runs: np.ndarray) -> np.ndarray:
+    return mix64(runs.astype(np.uint64) + np.uint64(1 << 40), own=True)
 
 
 @dataclass
@@ -136,7 +139,7 @@ def windows_of(texts: Texts, lookups: list[Lookup], stride: int = STRIDE) -> tup
     for out, found in zip(numbers, (lookups[0](hashes), nth_word.astype(np.int32) + 1), strict=True):
         if len(found):
             out[:] = np.where(real, found[at], 0)
-    return row, numbers, real, Spelling(np.concatenate([[0], first]).astype(np.int64), lookups[1](keys))
+    return row, numbers, real, Spelling(np.concatenate([[0], first]).astype(np.int64), lookups[1](_run_keys(keys)).astype(np.int16))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -291,11 +294,9 @@ class Model:
 
 
 def _telling(keys: np.ndarray, row: np.ndarray, toxic: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys that tell most about the label, the best first, and how much: signed roots of likelihood ratios."""
+    """The keys (once for each text) that tell most about the label, the best first, and how much: signed roots of likelihood ratios."""
     known, of = np.unique(keys, return_inverse=True)
-    pairs = np.unique(of * len(toxic) + row)  # a word counts once for each text
-    of = pairs // len(toxic)
-    yes = np.bincount(of, toxic[pairs % len(toxic)], minlength=len(known))
+    yes = np.bincount(of, toxic[row], minlength=len(known))
     no = np.bincount(of, minlength=len(known)) - yes
     a, b = toxic.sum(), (1 - toxic).sum()
     share = a / (a + b)  # of toxic texts; the root of the likelihood ratio against it tells chance from signal
@@ -323,10 +324,13 @@ def fit(texts: Texts, toxic: np.ndarray, seed: int = 7) -> Model | None:
         new = np.ones(len(one), bool)
         new[1:] = (words.row[one][1:] != words.row[one][:-1]) | (hashes[one][1:] != hashes[one][:-1])
         one = one[new]
-        keys, first = _spelled(low, words, one)
-        features[0].append((words.row[one] + begin, hashes[one]))
-        features[1].append((np.repeat(words.row[one] + begin, np.diff(first)), keys))
+        runs, first = _spelled(low, words, one)
+        spelled = np.unique(np.repeat(words.row[one] + begin, np.diff(first)) << 24 | runs)  # a text's runs once each
+        features[0].append(((words.row[one] + begin).astype(np.int32), hashes[one]))
+        features[1].append(((spelled >> 24).astype(np.int32), (spelled & 0xFFFFFF).astype(np.uint32)))
+        del words, hashes, one, new, runs, first, spelled
     found = [_telling(np.concatenate([k for _, k in part]), np.concatenate([r for r, _ in part]), toxic, most) for part, most in zip(features, (VOCABULARY, CHARACTERS), strict=True)]
+    found[1] = _run_keys(found[1][0]), found[1][1]
     del features
     lookups = [Lookup(keys) for keys, _ in found]
     network = Network.fresh([len(keys) + 2 for keys, _ in found], rng)
