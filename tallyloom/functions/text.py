@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: A line that holds a number at its end or before a space is whole; the symbols of currencies.
 WHOLE_LINE = r"\(?-?\d[\d,]*(?:\.\d+)?\)?%?(?:\s|$)"
-SYMBOLS = {"USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "CNY": "¥", "HKD": "HK$", "KRW": "₩", "TWD": "NT$"}
+SYMBOLS = {"USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "CNY": "¥", "HKD": "HK$", "KRW": "₩", "TWD": "NT$", "CAD": "C$"}
 
 
 def lines(text: Column) -> Column:
