@@ -101,8 +101,8 @@ def cut_repeated_bytes(docs: DataFrame) -> DataFrame:
     A byte goes if it lies in a string of 100 bytes that also starts earlier: in a
     document with a smaller doc_id, or earlier in its own.  Strings are judged on the
     input.  A null text is empty; texts under 100 bytes stay as they are; a null
-    doc_id counts as the smallest; rows that share a doc_id are ordered by their
-    texts; no rows give no rows; columns but doc_id and text are ignored.
+    doc_id counts as the smallest; rows that share a doc_id are ordered by a
+    hash of their texts; no rows give no rows; columns but doc_id and text are ignored.
     """
     return without_covered(docs, BYTES, covered_by_suffix_array).select(doc_id(), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept")
 
