@@ -1,4 +1,4 @@
-"""Text of statements: wrapped lines, sections, display formats, error messages."""
+"""Text of statements: wrapped lines, sections, display formats, error messages."""
 
 from __future__ import annotations
 
@@ -91,3 +91,15 @@ def error_bundle(errors: Column, details: Column, layer: str, source: str) -> tu
     null = F.lit(None).cast("string")
     made = F.transform(told, lambda e: F.struct(e.alias("message"), F.lit("error").alias("severity"), F.lit(layer).alias("layer"), F.lit(source).alias("source"), null.alias("phase"), null.alias("kind")))
     return F.when(F.size(told) > 0, told).otherwise(F.transform(known, lambda d: d["message"])), F.when(F.size(known) > 0, known).otherwise(made)
+
+
+def joined_cells(text: Column) -> Column:
+    """K7: lines of cells, where one that begins with an empty cell and holds two numbers or more goes on the line of cells before it."""
+    cells = lambda line: F.filter(F.transform(F.split(line, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+
+    def step(done: Column, line: Column) -> Column:
+        goes_on = line.startswith("|") & (F.size(F.filter(cells(line), lambda c: c.rlike(r"\d"))) >= 2) & (F.size(done) > 0) & F.coalesce(F.try_element_at(done, F.lit(-1)).contains("|"), F.lit(False))
+        longer = F.concat(F.try_element_at(done, F.lit(-1)), F.lit(" | "), F.array_join(cells(line), " | "))
+        return F.when(goes_on, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(line)))
+
+    return F.aggregate(lines(text), F.array().cast("array<string>"), step)

@@ -1,8 +1,8 @@
-"""Details under segments, groups of members, observations near each other, and backfills."""
+"""Details under segments, groups of members, observations near each other, and backfills."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import labels
@@ -84,3 +84,70 @@ def backfill(dataset: DataFrame, history: DataFrame) -> DataFrame:
     """M4: the dataset's quarters with the segments of a history (company, q_ord, rows) that has any for them; quarters that the dataset
     lacks are not added."""
     return attach(dataset, history.withColumn("display_revenue", F.lit(None).cast("double")), "inner").drop("source")
+
+
+def comparable(rows: DataFrame, phases: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
+    """a quarter's members (company, member, value, filed) above 0.02 as segments that compare across phases of a company's naming.
+
+    A quarter is in the first phase (company, phase, phase_order, any_of, all_of: arrays of members) of which it holds any marker of the
+    one kind and all of the other. The phase's members (company, phase, member, segment) sum up by segment (3 digits), with the newest
+    filing date; quarters without a phase, and members that a phase doesn't name, go. Phases are joined by company.
+    """
+    real = rows.withColumn("value", F.round("value", 3)).filter(F.col("value") > 0.02)
+    sets = real.groupBy(*keys).agg(F.collect_set("member").alias("_all"))
+    fits = sets.join(phases, "company").filter(F.arrays_overlap("any_of", "_all") & (F.size(F.array_except("all_of", "_all")) == 0))
+    phase = fits.groupBy(*keys).agg(F.min_by("phase", "phase_order").alias("phase"))
+    named = real.join(phase, keys).join(mapping, ["company", "phase", "member"])
+    return named.groupBy(*keys, "phase", "segment").agg(F.round(F.sum("value"), 3).alias("value"), F.max("filed").alias("filed"))
+
+
+def styled(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """The style of each row (company, style, members: array): its own, else that of the company's first rule (company, rule_order,
+    needs: array, rule_style) of which it holds all members; else null."""
+    found = rows.join(rules, "company", "left").withColumn("_fits", F.size(F.array_except("needs", "members")) == 0)
+    best = F.min_by("rule_style", F.when(F.col("_fits"), F.col("rule_order")))
+    keys = [c for c in rows.columns if c not in ("style", "members")]
+    inferred = found.groupBy(*keys).agg(F.first("style").alias("_own"), F.when(F.max("_fits"), best).alias("_inferred"))
+    own = F.when(F.trim(F.coalesce("_own", F.lit(""))) != "", F.col("_own"))
+    return inferred.select(*keys, F.coalesce(own, "_inferred").alias("style"))
+
+
+def best_page(pages: DataFrame, weights: dict[str, int], key: str) -> DataFrame:
+    """Of each document's pages (page, text, from_text) the one that most speaks for holding the figures: the weights of the patterns in
+    its text (any case, white space as one blank) add up; of equal ones text goes before what was read off an image, then the earlier
+    page. Documents whose pages score nothing give none."""
+    plain = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")))
+    score = F.lit(0)
+    for pattern, weight in weights.items():
+        score = score + F.when(plain.rlike(pattern), weight).otherwise(0)
+    scored = pages.withColumn("score", score).filter(F.col("score") > 0)
+    best = scored.groupBy(key).agg(F.min_by(F.struct("page", "score"), F.struct(-F.col("score"), ~F.col("from_text"), "page")).alias("_b"))
+    return best.select(key, "_b.page", F.col("_b.score").cast("long").alias("score"))
+
+
+def translated(rows: DataFrame, dictionary: DataFrame, phrases: dict[str, str]) -> DataFrame:
+    """A label in the other language: the dictionary's (label, translation) for it, compared in lower case without blanks around; else
+    with the phrases in it replaced, in the order given, if any is there; else the label itself."""
+    plain = lambda c: F.lower(F.trim(c))
+    known = dictionary.groupBy(plain(F.col("label")).alias("_key")).agg(F.min("translation").alias("_known"))
+    replaced = F.col("label")
+    for phrase, other in phrases.items():
+        replaced = F.regexp_replace(replaced, f"(?i){phrase}", other)
+    return rows.withColumn("_key", plain(F.col("label"))).join(known, "_key", "left").withColumn("translation", F.coalesce("_known", replaced)).drop("_key", "_known")
+
+
+class Partitions:
+    """M3: a dataset written by company, of which each company is read when it is asked for, and once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self._read = spark, path, {}
+
+    @staticmethod
+    def write(df: DataFrame, path: str) -> None:
+        df.repartition("company").write.mode("overwrite").partitionBy("company").parquet(path)
+
+    def company(self, company: int) -> DataFrame:
+        """The rows of one company; the filter prunes the scan to its folder."""
+        if company not in self._read:
+            self._read[company] = self.spark.read.parquet(self.path).filter(F.col("company") == company)
+        return self._read[company]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text
 from tallyloom.operators import detail
 from tallyloom.plans.queries import _SEG, _ST
 from tallyloom.sources.tables import read, segments, statements
+from tallyloom.streaming import events
 
 QUARTER = ["company", "q_ord"]
 
@@ -51,7 +55,53 @@ def backfilled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detail.backfill(dataset, history).select(*QUARTER, "revenue", F.array_join(F.transform("rows", lambda r: r["member"]), "|").alias("members"))
 
 
-QUERIES = {f.__name__: f for f in (label_penalties, expanded_details, regrouped_members, nearest_percent, backfilled_segments)}
+def comparable_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that are named by flag and status while RF is there with AF, and by status alone where NO is."""
+    rows = segments(spark, sf_dir).withColumn("filed", F.concat(F.col("q_ord").cast("string"), F.lit("-"), F.col("member")))
+    lists = lambda *names: F.array(*(F.lit(n) for n in names))
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("company"))
+    phase = lambda name, i, some, every: nation.select("company", F.lit(name).alias("phase"), F.lit(i).alias("phase_order"), some.alias("any_of"), every.alias("all_of"))
+    phases = phase("new", 0, lists("NO"), lists("NF")).unionByName(phase("open", 1, lists("NO", "AO"), lists("NO"))).unionByName(phase("old", 2, lists("AF", "RF"), lists("RF")))
+    pairs = [("new", "NO", "open"), ("new", "NF", "closed"), ("new", "RF", "closed"), ("open", "NO", "open"), ("old", "AF", "closed"), ("old", "RF", "closed")]
+    mapping = nation.select("company", F.explode(F.array(*(F.struct(F.lit(p).alias("phase"), F.lit(m).alias("member"), F.lit(s).alias("segment")) for p, m, s in pairs))).alias("r")).select("company", "r.*")
+    return detail.comparable(rows, phases, mapping, QUARTER)
+
+
+def resolved_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments(spark, sf_dir).groupBy(*QUARTER).agg(F.collect_set("member").alias("members")).withColumn("style", F.when(F.col("q_ord") % 5 == 0, "own").when(F.col("q_ord") % 5 == 1, " "))
+    nation = read(spark, sf_dir, "nation").filter("n_nationkey < 15").select(F.col("n_nationkey").cast("long").alias("company"))
+    lists = lambda *names: F.array(*(F.lit(n) for n in names))
+    rules = nation.select("company", F.lit(0).alias("rule_order"), lists("NO", "RF").alias("needs"), F.lit("both").alias("rule_style")).unionByName(nation.select("company", F.lit(1).alias("rule_order"), lists("RF").alias("needs"), F.lit("flags").alias("rule_style")))
+    return detail.styled(rows, rules)
+
+
+def best_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    pages = p.select(F.col("p_brand"), F.col("p_partkey").alias("page"), F.concat("p_type", F.lit("\n "), "p_name").alias("text"), (F.col("p_size") > 25).alias("from_text"))
+    return detail.best_page(pages, {"promo": 5, r"\bring\b": 2, "red": 1, r"(large|small) \w+ gear": 2}, "p_brand")
+
+
+def translated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.initcap("c_mktsegment"), F.when(F.col("c_acctbal") > 0, " and Other").otherwise(" ")).alias("label"))
+    dictionary = spark.createDataFrame([(" BUILDING", "建筑"), ("machinery and other", "机械及其他"), ("Building", "楼宇")], "label string, translation string")
+    return detail.translated(names, dictionary, {"and other": "及其他", "household ": "家庭"})
+
+
+def joined_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    tail = F.when(F.col("p_size") > 25, "\n | 3 | 4,5").otherwise("\n| x | 4")
+    return p.select("p_partkey", F.array_join(text.joined_cells(F.concat(F.lit("|1|2\n"), F.col("p_brand"), F.lit(" | 1"), tail, F.lit("\n\nend"))), "#").alias("lines"))
+
+
+def company_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = f"{events.shared_folder(spark)}/partitions/{uuid.uuid4().hex}"
+    detail.Partitions.write(statements(spark, sf_dir), base)
+    store = detail.Partitions(spark, base)
+    both = store.company(12).unionByName(store.company(3)).unionByName(store.company(12))
+    return both.select(F.col("company").cast("long").alias("company"), "q_ord", "revenue")
+
+
+QUERIES = {f.__name__: f for f in (label_penalties, expanded_details, regrouped_members, nearest_percent, backfilled_segments, comparable_segments, resolved_styles, best_pages, translated_labels, joined_cells, company_partition)}
 
 ORACLE_SQL = {
     "label_penalties": "SELECT c_custkey, CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 530 WHEN 'MACHINERY' THEN 32 WHEN 'HOUSEHOLD' THEN 18 WHEN 'FURNITURE' THEN 18 ELSE 0 END AS BIGINT) AS penalty FROM customer",
@@ -65,4 +115,15 @@ ORACLE_SQL = {
     "nearest_percent": """WITH p AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2), s AS (SELECT l_orderkey AS page, CAST(q AS INTEGER) || '%' AS text, 0.5 + (q - 25) / 500 AS x, 0.5 - l_linenumber / 64.0::DOUBLE AS y FROM p WHERE l_linenumber % 3 <> 0),
         b AS (SELECT page, arg_min(text, (round((0.5 - y) + 0.6::DOUBLE * abs(0.5 - x), 9), text)) AS text FROM s WHERE abs(0.5 - x) <= 0.045 AND 0.5 - y > 0 AND 0.5 - y <= 0.06 GROUP BY 1) SELECT o_orderkey AS page, 'a' AS anchor, text FROM orders LEFT JOIN b ON page = o_orderkey""",
     "backfilled_segments": f"""WITH {_ST}, {_SEG}, h AS (SELECT company, q_ord, string_agg(member, '|' ORDER BY member) AS members FROM seg WHERE value > 20000 GROUP BY 1, 2) SELECT st.company, st.q_ord, revenue, coalesce(members, '') AS members FROM st LEFT JOIN h USING (company, q_ord) WHERE tax > 0.0395::DOUBLE * revenue""",
+    "comparable_segments": f"""WITH {_SEG}, p AS (SELECT company, q_ord, CASE WHEN bool_or(member = 'NO') AND bool_or(member = 'NF') THEN 'new' WHEN bool_or(member = 'NO') THEN 'open' WHEN bool_or(member = 'RF') THEN 'old' END AS phase FROM seg GROUP BY 1, 2),
+        m AS (SELECT seg.*, phase, CASE WHEN phase IN ('new', 'open') AND member = 'NO' THEN 'open' WHEN phase = 'new' AND member IN ('NF', 'RF') OR phase = 'old' AND member IN ('AF', 'RF') THEN 'closed' END AS segment FROM seg JOIN p USING (company, q_ord))
+        SELECT company, q_ord, phase, segment, round(sum(value), 3) AS value, max(q_ord || '-' || member) AS filed FROM m WHERE segment IS NOT NULL GROUP BY 1, 2, 3, 4""",
+    "resolved_styles": f"""WITH {_SEG}, m AS (SELECT company, q_ord, bool_or(member = 'NO') AS a, bool_or(member = 'RF') AS b FROM seg GROUP BY 1, 2)
+        SELECT company, q_ord, CASE WHEN q_ord % 5 = 0 THEN 'own' WHEN company < 15 AND a AND b THEN 'both' WHEN company < 15 AND b THEN 'flags' END AS style FROM m""",
+    "best_pages": r"""WITH s AS (SELECT p_brand, p_partkey AS page, p_size > 25 AS t, lower(p_type || ' ' || p_name) AS x FROM part), c AS (SELECT *, CASE WHEN x LIKE '%promo%' THEN 5 ELSE 0 END + CASE WHEN regexp_matches(x, '\bring\b') THEN 2 ELSE 0 END + CASE WHEN x LIKE '%red%' THEN 1 ELSE 0 END + CASE WHEN regexp_matches(x, '(large|small) \w+ gear') THEN 2 ELSE 0 END AS score FROM s)
+        SELECT p_brand, page, CAST(score AS BIGINT) AS score FROM c WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, t DESC, page) = 1""",
+    "translated_labels": """WITH n AS (SELECT c_custkey, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || CASE WHEN c_acctbal > 0 THEN ' and Other' ELSE ' ' END AS label FROM customer)
+        SELECT c_custkey, label, CASE lower(trim(label)) WHEN 'building' THEN '建筑' WHEN 'machinery and other' THEN '机械及其他' ELSE replace(replace(label, 'and Other', '及其他'), 'Household ', '家庭') END AS translation FROM n""",
+    "joined_cells": "SELECT p_partkey, '|1|2#' || p_brand || ' | 1' || CASE WHEN p_size > 25 THEN ' | 3 | 4,5' ELSE '#| x | 4' END || '#end' AS lines FROM part",
+    "company_partition": f"WITH {_ST} SELECT company, q_ord, revenue FROM st WHERE company IN (3, 12) UNION ALL SELECT company, q_ord, revenue FROM st WHERE company = 12",
 }
