@@ -75,7 +75,37 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_toxicity, op4_license_scan, op5_exact_topk, op6_bpe_round_trip, op7_ngram_jaccard, op8_best_fit_packing, op9_lm_scores, op10_exact_dedup)}
+def op11_transaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.undo_log import transaction_log
+
+    return transaction_log(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.quality import quality_scores
+
+    return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.variants import spelling_variants
+
+    return spelling_variants(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_toxicity, op4_license_scan, op5_exact_topk, op6_bpe_round_trip, op7_ngram_jaccard, op8_best_fit_packing, op9_lm_scores, op10_exact_dedup, op11_transaction_log, op12_quality, op13_spelling_variants)}
+
+#: What four zero bits do to the CRC-32 remainder (reflected polynomial), by the low four bits.
+_CRC_STEPS = [0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C, 0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C]
+
+
+def _crc32(string: str) -> str:
+    """SQL for the unsigned CRC-32 of a string's UTF-8 bytes, half a byte at a time, the low half first."""
+    half = lambda c, x: f"xor(({c}) >> 4, ({_CRC_STEPS})[(xor({c}, {x}) & 15) + 1])"
+    digit = lambda i: f"CAST(strpos('0123456789ABCDEF', x[{i}]) - 1 AS BIGINT)"
+    numbers = f"list_transform(regexp_extract_all(hex(encode({string})), '..'), lambda x: 16 * {digit(1)} + {digit(2)})"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {numbers}), lambda c, x: {half(half('c', 'x'), 'x >> 4')}))"
+
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_topk": """
@@ -113,4 +143,44 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_transaction_log": f"""
+        WITH h AS (SELECT doc_id, source, text, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+        r AS (SELECT doc_id, source, text, h // 100 % 30000 AS key, CASE WHEN h % 17 <= 1 THEN 'commit' WHEN h % 17 = 2 THEN 'abort' WHEN h % 17 <= 4 THEN 'savepoint' WHEN h % 17 <= 6 THEN 'rollback' ELSE 'change' END AS op FROM h),
+        n AS (
+            SELECT *, min(CASE WHEN op <> 'change' THEN doc_id END) OVER w AS next_id, min(CASE WHEN op IN ('commit', 'abort') THEN doc_id END) OVER w AS end_id
+            FROM r WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+        c AS (
+            SELECT n.doc_id, n.key, CASE WHEN x.op = 'rollback' THEN 'rollback' ELSE coalesce(e.op, 'abort') END AS fate, CASE WHEN x.op = 'rollback' THEN x.doc_id ELSE e.doc_id END AS by_id,
+                   CASE WHEN n.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) THEN n.text END AS text
+            FROM n LEFT JOIN r x ON x.doc_id = n.next_id LEFT JOIN r e ON e.doc_id = n.end_id WHERE n.op = 'change'),
+        k AS (SELECT doc_id AS by_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 + 1 AS epoch FROM r WHERE op = 'commit'),
+        v AS (
+            SELECT key, epoch, arg_max(row(doc_id, text), row(by_id, doc_id)) AS last FROM c JOIN k USING (by_id) WHERE fate = 'commit' GROUP BY key, epoch),
+        s AS (SELECT key, epoch, CASE WHEN last[2] IS NOT NULL THEN {_crc32("CAST(key AS VARCHAR) || ':' || last[2]")} END AS crc FROM v),
+        m AS (SELECT epoch, crc, lag(crc) OVER (PARTITION BY key ORDER BY epoch) AS old FROM s),
+        d AS (SELECT epoch, count(crc) - count(old) AS n, coalesce(sum(crc), 0) - coalesce(sum(old), 0) AS value FROM m GROUP BY epoch),
+        a AS (SELECT epoch, coalesce(n, 0) AS n, coalesce(value, 0) AS value FROM (SELECT DISTINCT epoch FROM k) LEFT JOIN d USING (epoch))
+        SELECT 'state' AS kind, epoch AS id, CAST(sum(n) OVER w AS BIGINT) AS n, CAST(sum(value) OVER w AS BIGINT) AS value FROM a WINDOW w AS (ORDER BY epoch)
+        UNION ALL SELECT fate, doc_id, by_id, key FROM c WHERE fate <> 'commit'""",
+    "op13_spelling_variants": rf"""
+        WITH o AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+        r AS (SELECT doc_id, run, count(*) AS n FROM o GROUP BY doc_id, run),
+        h AS (SELECT run, n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run")} AS h FROM r),
+        t AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+        w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM t WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        p AS (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM w),
+        g AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM p),
+        l AS (
+            SELECT a.word, b.word AS near FROM g a JOIN g b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, b.word FROM g a JOIN w b ON a.rest = b.word
+            UNION SELECT b.word, a.word FROM g a JOIN w b ON a.rest = b.word),
+        b AS (SELECT l.word, count(*) AS n_near, arg_min(row(b.word, b.n), row(-b.n, encode(b.word))) AS best FROM l JOIN w b ON b.word = l.near GROUP BY l.word),
+        f AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best[2] >= 5 * w.n THEN best[1] END AS form, CASE WHEN best[2] >= 5 * w.n THEN best[2] END AS form_n
+            FROM w LEFT JOIN b USING (word)),
+        e AS (
+            WITH RECURSIVE up(word, root) AS (SELECT word, word FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+            SELECT up.word, up.root FROM up JOIN f ON f.word = up.root WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)""",
 }
