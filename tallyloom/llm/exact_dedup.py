@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.rows import NO_ID, buckets, checkpointed, doc_id, identified, spread
+from tallyloom.llm.rows import NO_ID, buckets, checkpointed, doc_id, identified, spread, whole_rows
 
 #: Distinct digests in a shard: some megabytes of slots.
 SHARD_KEYS = 32_768
@@ -121,10 +121,10 @@ def _probe_shard(new: pa.Table, index: pa.Table) -> pa.Table:
     })
 
 
-def digested(docs: DataFrame) -> DataFrame:
-    """_doc, _sub and the SHA-256 digest of the normalised text of each row."""
+def digested(rows: DataFrame) -> DataFrame:
+    """_doc, _sub and the SHA-256 digest of the normalised text of each row (_doc, _sub, text)."""
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-    return checkpointed(identified(docs, "text").select("_doc", "_sub", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")))
+    return checkpointed(rows.select("_doc", "_sub", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")))
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -146,13 +146,13 @@ def look_up(new: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
     return _sharded(new, n_shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe_shard, GROUPS)
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """Every row of docs with the group of its text: _doc, _sub, digest, keep_id, keep_sub, group_size.
+def grouped(numbered: DataFrame) -> DataFrame:
+    """Every row (_doc, _sub, text) with the group of its text: _doc, _sub, digest, keep_id, keep_sub, group_size.
 
     Documents in the lower half of the range of doc_id are the history, the others
     are checked against it.
     """
-    rows = digested(docs)
+    rows = digested(numbered)
     low, high, n = rows.filter(F.col("_doc") != NO_ID).agg(F.min("_doc"), F.max("_doc"), F.count(F.lit(1))).first()
     old = (F.col("_doc") != NO_ID) & (F.col("_doc") <= ((low or 0) + (high or 0)) // 2)
     n_shards = buckets(n, SHARD_KEYS)
@@ -169,11 +169,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     no rows; columns but doc_id and text are ignored.
     """
     kept = (F.col("_doc") == F.col("keep_id")) & (F.col("_sub") == F.col("keep_sub"))
-    return grouped(docs).select(doc_id(), F.when(F.col("keep_id") != NO_ID, F.col("keep_id")).alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return grouped(identified(docs, "text")).select(doc_id(), F.when(F.col("keep_id") != NO_ID, F.col("keep_id")).alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that stay."""
-    whole = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    stay = grouped(docs).filter((F.col("_doc") == F.col("keep_id")) & (F.col("_sub") == F.col("keep_sub"))).select("_doc", "_sub")
-    return identified(whole, "text", "_row").join(stay, ["_doc", "_sub"]).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+    rows = whole_rows(docs)
+    stay = grouped(rows).filter((F.col("_doc") == F.col("keep_id")) & (F.col("_sub") == F.col("keep_sub"))).select("_doc", "_sub")
+    return rows.join(stay, ["_doc", "_sub"]).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

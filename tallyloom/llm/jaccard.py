@@ -21,6 +21,8 @@ first, so a list of documents that share such a shingle is short.
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
 from tallyloom.llm.repeats import BUCKET_DOCS, DEALT, GROUP_DOCS, _locate, batch, bucket_column, dealt, unpacked
-from tallyloom.llm.rows import NO_ID, SPREAD, buckets, checkpointed, dealt_among, doc_id, identified, parts, settled, spread, volume
+from tallyloom.llm.rows import NO_ID, SPREAD, buckets, checkpointed, dealt_among, doc_id, identified, parts, settled, spread, volume, whole_rows
 from tallyloom.llm.textcols import Texts, Words, mix64, numbered, paired, texts_of
 
 #: Words in a shingle; the least similarity in hundredths.
@@ -66,10 +68,10 @@ def _shingles(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row, found
 
 
-def shingle_sets(texts: Texts, *seeds: int) -> tuple[np.ndarray, ...]:
-    """The distinct shingles of all rows: hashes, ascending in each row, where each row's begin, and hashes by other seeds."""
+def shingle_sets(texts: Texts, seed: int, *seeds: int) -> tuple[np.ndarray, ...]:
+    """The distinct shingles of all rows: hashes by a seed, ascending in each row, where each row's begin, and hashes by other seeds."""
     words = Words(texts.lowered())
-    row, found = _shingles(words, words.hashes())
+    row, found = _shingles(words, words.hashes(seed))
     return _distinct(row, found, len(texts), *(_shingles(words, words.hashes(s))[1] for s in seeds))
 
 
@@ -95,11 +97,11 @@ def _short(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> np.uint64(64 - bits)
 
 
-def _ask(n_groups: int, bits: int):
+def _ask(n_groups: int, bits: int, seed: int):
     """Distinct shingles of a bucket and in how many of its documents they are, by range of hashes."""
 
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        found, _ = shingle_sets(texts_of(docs["text"]))
+        found, _ = shingle_sets(texts_of(docs["text"]), seed)
         short, counts = np.unique(_short(found, bits), return_counts=True)
         part = ((short >> np.uint64(bits - 32)) * np.uint64(n_groups) >> np.uint64(32)).astype(np.int64)
         return batch(_stepped(part, short, counts, key[0].as_py()))
@@ -131,14 +133,14 @@ def _answer():
     return run
 
 
-def _prefixes(bits: int):
-    return lambda docs, answers: _prefix_rows(docs, answers, bits)
+def _prefixes(bits: int, seed: int):
+    return lambda docs, answers: _prefix_rows(docs, answers, bits, seed)
 
 
-def _prefix_rows(docs: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
+def _prefix_rows(docs: pa.Table, answers: pa.Table, bits: int, seed: int) -> pa.Table:
     """A row of SETS for each document: size, digests of the set and of its prefix, shingles of the prefix that others have too."""
     texts = texts_of(docs["text"])
-    found, first, other = shingle_sets(texts, 1)
+    found, first, other = shingle_sets(texts, seed, seed + 1)
     sizes = np.diff(first)
     row = np.repeat(np.arange(len(texts)), sizes)
     known = [unpacked([x], ASKED)[0] for x in answers["data"].to_pylist()]
@@ -216,23 +218,23 @@ def _can_link(a: str, b: str):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * SIMILARITY) & (F.least(f"{a}common", f"{b}common") * (100 + SIMILARITY) >= (n + m) * SIMILARITY)
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """_doc, _sub, n_shingles and label (_doc and _sub of the first row of its component) of every row of docs.
+def near_copies(rows: DataFrame) -> DataFrame:
+    """_doc, _sub, n_shingles and label (_doc and _sub of the first row of its component) of every row (_doc, _sub, text).
 
     Texts are lower-cased (A-Z) and split at ASCII white space.  A text of fewer than
     five words is one shingle; a null or empty one has none and is linked with nothing.
     Rows that share a doc_id are rows of their own; a null doc_id comes first; equal
     sets are linked; no rows give no rows; columns but doc_id and text are ignored.
     """
-    size = volume(docs)
-    n_buckets = max(parts(docs), dealt_among(size, BUCKET_DOCS))
-    n_groups = max(4 * parts(docs), dealt_among(size, GROUP_DOCS))
+    size = volume(rows)
+    n_buckets = max(parts(rows), dealt_among(size, BUCKET_DOCS))
+    n_groups = max(4 * parts(rows), dealt_among(size, GROUP_DOCS))
     bits = min(60, COUNT_BITS + max(0, (size >> 20).bit_length()))
-    rows = identified(docs, "text")
+    seed = secrets.randbits(62)  # of this run, so that no one can make words with equal hashes
     by_bucket = rows.withColumn("bucket", bucket_column(n_buckets))
-    asked = by_bucket.groupBy("bucket").applyInArrow(_ask(n_groups, bits), DEALT)
+    asked = by_bucket.groupBy("bucket").applyInArrow(_ask(n_groups, bits, seed), DEALT)
     answers = asked.groupBy("part").applyInArrow(_answer(), DEALT)
-    sets = checkpointed(by_bucket.groupBy("bucket").cogroup(answers.groupBy("part")).applyInArrow(_prefixes(bits), SETS))
+    sets = checkpointed(by_bucket.groupBy("bucket").cogroup(answers.groupBy("part")).applyInArrow(_prefixes(bits, seed), SETS))
 
     some = sets.filter("n > 0").withColumn("id", F.struct("_doc", "_sub"))
     nodes = checkpointed(some.groupBy("n", "d1", "d2", "p1", "p2").agg(F.min("id").alias("id"), F.max("common").alias("common"), F.max("core").alias("core"), F.first("tokens").alias("tokens")))
@@ -316,11 +318,11 @@ def _between(member: DataFrame, posted: DataFrame, known: DataFrame) -> DataFram
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id in reach of links) of every row, as near_copies has them."""
     first = F.col("label._doc")
-    return near_copies(docs).select(doc_id(), "n_shingles", F.when(first != NO_ID, first).alias("component_id"))
+    return near_copies(identified(docs, "text")).select(doc_id(), "n_shingles", F.when(first != NO_ID, first).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that come first in their components."""
-    whole = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    first = near_copies(docs).filter((F.col("label._doc") == F.col("_doc")) & (F.col("label._sub") == F.col("_sub"))).select("_doc", "_sub")
-    return identified(whole, "text", "_row").join(first, ["_doc", "_sub"]).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+    rows = whole_rows(docs)
+    first = near_copies(rows.select("_doc", "_sub", "text")).filter((F.col("label._doc") == F.col("_doc")) & (F.col("label._sub") == F.col("_sub"))).select("_doc", "_sub")
+    return rows.join(first, ["_doc", "_sub"]).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.textcols import ALNUM, Texts, Words, chunks, texts_of
+from tallyloom.llm.textcols import ALNUM, FIRST, Texts, Words, blocks, chunks, texts_of
 
 #: Phrases that name a licence, and their labels.
 PHRASES = {
@@ -103,6 +103,12 @@ class Automaton:
         return out
 
 
+def _block(words: Words, at: np.ndarray, k: int) -> np.ndarray:
+    """The k-th eight bytes of words as numbers; zeros follow a word's end."""
+    left = np.clip(words.end[at] - words.start[at] - 8 * k, 0, 8)
+    return blocks(words.texts.data)[np.minimum(words.start[at] + 8 * k, len(words.texts.data))] & FIRST[left]
+
+
 class Scanner:
     """Templates, phrases and their automaton; all sequences are runs of one vocabulary."""
 
@@ -115,9 +121,13 @@ class Scanner:
         self.sizes = [len(s) for s in sequences]
         self.automaton = a = Automaton(sequences)
         raw = texts_of(pa.array([" ".join(vocabulary)]))
-        known = Words(raw, ALNUM).hashes()
+        raw_words = Words(raw, ALNUM)
+        known = raw_words.hashes()
         self.order = np.argsort(known)
         self.known = known[self.order]
+        #: The vocabulary's words in blocks of eight bytes.
+        self.lengths = raw_words.end - raw_words.start
+        self.blocks = [_block(raw_words, np.arange(len(raw_words)), k) for k in range(-(-int(self.lengths.max()) // 8))]
         #: States of whole phrases, then for each state the phrases that any of its runs ends with.
         states = [a.statistics(s)[-1][0] for s in sequences[self.n_templates :]]
         self.phrases: list[list[tuple[int, int]]] = [[] for _ in a.link]
@@ -128,10 +138,16 @@ class Scanner:
                 up = a.link[up]
 
     def numbers(self, words: Words) -> np.ndarray:
-        """The vocabulary number of each word, -1 for all others."""
+        """The vocabulary number of each word, -1 for all others; words whose hashes agree are compared by their bytes."""
         hashes = words.hashes()
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.order[at], -1)
+        number = np.where(self.known[at] == hashes, self.order[at], -1)
+        hit = np.flatnonzero(number >= 0)
+        same = words.end[hit] - words.start[hit] == self.lengths[number[hit]]
+        for k, block in enumerate(self.blocks):
+            same &= _block(words, hit, k) == block[number[hit]]
+        number[hit[~same]] = -1
+        return number
 
     def scan(self, numbers: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, tuple[int, ...]]]]:
         """Of a stretch of template words: phrases (first word, which), and maximal matches (first word, words, template, all its first words)."""

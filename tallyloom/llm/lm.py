@@ -12,6 +12,7 @@ A document doesn't vouch for itself: its own occurrences are taken off all count
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,10 @@ PLACED = ("<u4", "<u4")
 RESULT = "_doc long, _sub long, n_words long, n_backoff long, log_score double"
 
 
-def grams(texts: Texts, order: int) -> tuple[Words, list[tuple[np.ndarray, np.ndarray]]]:
+def grams(texts: Texts, order: int, seed: int) -> tuple[Words, list[tuple[np.ndarray, np.ndarray]]]:
     """The words, and for each length from 1 to order the last words of all n-grams and their hashes."""
     words = Words(texts.lowered())
-    hashes = words.hashes()
+    hashes = words.hashes(seed)
     out = []
     for n in range(1, order + 1):
         at, found = words.windows(hashes, n)
@@ -57,9 +58,9 @@ def _own_counts(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ask(order: int, n_groups: int):
+def _ask(order: int, n_groups: int, seed: int):
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        found = np.concatenate([h for _, h in grams(texts_of(docs["text"]), order)[1]])
+        found = np.concatenate([h for _, h in grams(texts_of(docs["text"]), order, seed)[1]])
         known, counts = np.unique(found, return_counts=True)
         return batch(_stepped(_part(known, n_groups), known, counts, key[0].as_py()))
 
@@ -86,10 +87,10 @@ def _answer(table: pa.Table) -> pa.Table:
     return batch(out)
 
 
-def _score(order: int, n_groups: int, n_corpus: int):
+def _score(order: int, n_groups: int, n_corpus: int, seed: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = texts_of(docs["text"])
-        words, found = grams(texts, order)
+        words, found = grams(texts, order, seed)
         known, of, total = np.unique(np.concatenate([h for _, h in found]), return_inverse=True, return_counts=True)
         firsts = np.searchsorted(_part(known, n_groups), np.arange(n_groups))
         for part, blob in zip(answers["kind"].to_pylist(), answers["data"].to_pylist(), strict=True):
@@ -139,9 +140,10 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     size = volume(docs)
     n_buckets, n_groups = max(parts(docs), dealt_among(size, BUCKET_DOCS)), max(4 * parts(docs), dealt_among(size, GROUP_DOCS))
     total = docs.select("text").mapInArrow(_count_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seed = secrets.randbits(62)  # of this run, so that no one can make words with equal hashes
     by_bucket = identified(docs, "text").withColumn("bucket", bucket_column(n_buckets))
-    asked = by_bucket.groupBy("bucket").applyInArrow(_ask(order, n_groups), DEALT)
+    asked = by_bucket.groupBy("bucket").applyInArrow(_ask(order, n_groups, seed), DEALT)
     answers = asked.groupBy("part").applyInArrow(_answer, DEALT)
-    scored = by_bucket.groupBy("bucket").cogroup(answers.groupBy("part")).applyInArrow(_score(order, n_groups, total), RESULT)
+    scored = by_bucket.groupBy("bucket").cogroup(answers.groupBy("part")).applyInArrow(_score(order, n_groups, total, seed), RESULT)
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return scored.select(doc_id(), "n_words", "n_backoff", "log_score", mean.alias("mean_log_score"))

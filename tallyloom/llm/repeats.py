@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.rows import checkpointed, dealt_among, identified, parts, volume
+from tallyloom.llm.rows import checkpointed, dealt_among, parts, volume
 from tallyloom.llm.textcols import Texts, Words, blocks, chunks, combined, ranges, sliding_argmin, texts_of
 
 #: Documents that are cut together, and per group of keys, at least (see rows.dealt_among).
@@ -321,12 +321,11 @@ def _cut(units: Units, as_text: bool):
     return run
 
 
-def without_covered(docs: DataFrame, units: Units, search: Search, as_text: bool = False) -> DataFrame:
-    """_doc, _sub, n_units, n_removed, n_spans and kept (bytes; as_text: without characters cut in two) of every row of docs."""
-    size = volume(docs)
-    n_buckets = max(parts(docs), dealt_among(size, BUCKET_DOCS))
-    n_groups = max(4 * parts(docs), dealt_among(size, GROUP_DOCS))
-    rows = identified(docs, "text")
+def without_covered(rows: DataFrame, units: Units, search: Search, as_text: bool = False) -> DataFrame:
+    """_doc, _sub, n_units, n_removed, n_spans and kept (bytes; as_text: without characters cut in two) of every row (_doc, _sub, text)."""
+    size = volume(rows)
+    n_buckets = max(parts(rows), dealt_among(size, BUCKET_DOCS))
+    n_groups = max(4 * parts(rows), dealt_among(size, GROUP_DOCS))
 
     runs = rows.mapInArrow(_map_runs(units, n_groups, n_buckets), DEALT)
     met = checkpointed(runs.groupBy("part").applyInArrow(_meet_runs(units, n_buckets), DEALT))

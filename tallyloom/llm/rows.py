@@ -68,6 +68,11 @@ def identified(docs: DataFrame, *columns: str) -> DataFrame:
     return out.select("_doc", "_sub", *columns)
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """_doc, _sub, text and _row (all columns of docs) of every row, numbered once, so that decisions about rows can be joined back to them."""
+    return identified(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")), "text", "_row")
+
+
 def ids_column() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.repeats import Units, without_covered
-from tallyloom.llm.rows import doc_id, identified
+from tallyloom.llm.rows import doc_id, identified, whole_rows
 
 #: Bytes of the shortest string that counts.
 WINDOW = 100
@@ -104,14 +104,14 @@ def cut_repeated_bytes(docs: DataFrame) -> DataFrame:
     doc_id counts as the smallest; rows that share a doc_id are ordered by a
     hash of their texts; no rows give no rows; columns but doc_id and text are ignored.
     """
-    return without_covered(docs, BYTES, covered_by_suffix_array).select(doc_id(), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept")
+    return without_covered(identified(docs, "text"), BYTES, covered_by_suffix_array).select(doc_id(), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs, all rows and columns, with such strings cut from text; characters cut in two go as well, and n_chars follows."""
     columns = docs.columns
-    whole = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"))
-    kept = without_covered(docs, BYTES, covered_by_suffix_array, as_text=True).select("_doc", "_sub", F.col("kept").cast("string").alias("_kept"))
-    joined = identified(whole, "text", "_row").join(kept, ["_doc", "_sub"])
+    rows = whole_rows(docs)
+    kept = without_covered(rows.select("_doc", "_sub", "text"), BYTES, covered_by_suffix_array, as_text=True).select("_doc", "_sub", F.col("kept").cast("string").alias("_kept"))
+    joined = rows.join(kept, ["_doc", "_sub"])
     values = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
     return joined.select(*(values.get(c, F.col("_row").getField(c)).alias(c) for c in columns))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.repeats import Units, without_covered
-from tallyloom.llm.rows import doc_id
+from tallyloom.llm.rows import doc_id, identified
 from tallyloom.llm.textcols import numbered
 
 #: Words of the shortest passage that counts.
@@ -105,5 +105,5 @@ def cut_repeated_words(docs: DataFrame) -> DataFrame:
     null doc_id counts as the smallest; of rows that share a doc_id none removes from
     another; no rows give no rows; columns but doc_id and text are ignored.
     """
-    cut = without_covered(docs, WORDS, covered_by_suffix_tree)
+    cut = without_covered(identified(docs, "text"), WORDS, covered_by_suffix_tree)
     return cut.select(doc_id(), F.col("n_units").alias("n_words"), "n_removed", "n_spans", F.col("kept").cast("string").alias("kept"))

@@ -5,7 +5,9 @@ batch of texts is one byte buffer with document offsets; words are runs of bytes
 of a class.  A word's 64-bit hash is a chain of bijective mixes over its blocks of
 eight bytes (BLAKE2 for words of over 256 bytes), that of a window is made by
 doubling: two halves are mixed into one.  No step is linear in the bytes, so no
-pattern of words makes equal hashes, as it does for polynomials modulo 2**64.
+pattern of words makes equal hashes, as it does for polynomials modulo 2**64; as the
+steps can be undone, single words with equal hashes can be made if the seed is known.
+Counts and sets go by a seed of their run.
 `Words.exact` numbers words by their bytes where a result must not rest on hashes.
 """
 
@@ -40,7 +42,7 @@ _CHAIN, _LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95), U64(0x
 #: Words of more bytes are hashed one by one.
 _LONG = 256
 #: Keeps the first i bytes of a block.
-_FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
+FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
 
 
 #: Elements that are mixed together, so that they stay in a core's cache.
@@ -82,7 +84,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     done = 0
     while len(at):
         value = all_blocks[start[at] + done]
-        value &= _FIRST[np.minimum(size[at] - done, 8)]
+        value &= FIRST[np.minimum(size[at] - done, 8)]
         value ^= out[at] * _CHAIN
         out[at] = mix64(value, own=True)
         done += 8

@@ -31,6 +31,8 @@ WINDOW, STRIDE, SCORED_STRIDE = 32, 16, 8
 WIDTH, STATE = 8, 8
 #: Training documents of each label at most; the sample is drawn by a hash of doc_id.
 SAMPLE_DOCS = 1500
+#: Bytes of the longest text among them.
+SAMPLE_BYTES = 32_768
 #: Known words and known runs of three bytes, at most; others are one unknown word, one unknown run.
 VOCABULARY, CHARACTERS = 16_384, 8_192
 #: Slots of the tables that find them.
@@ -379,10 +381,11 @@ def fit(texts: Texts, toxic: np.ndarray, seed: int = 7) -> Model | None:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of at most SAMPLE_DOCS documents of each label outside the held-out fold."""
+    """text and toxic of at most SAMPLE_DOCS documents of each label outside the held-out fold, less those of over SAMPLE_BYTES: 98 MB at most."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("_toxic"))
     drawn = [known.filter(F.col("_toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS) for k in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").orderBy("doc_id", "text").select("text", "_toxic")
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES
+    return docs.filter(short).select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").orderBy("doc_id", "text").select("text", "_toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:

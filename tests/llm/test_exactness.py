@@ -83,7 +83,7 @@ def test_exact_sets():
     r = random.Random(6)
     texts = [" ".join(r.choice("abc") for _ in range(r.randrange(40))) for _ in range(60)] + ["", "a b c d", "a b c d", "a b c d a"]
     chunk = texts_of(pa.array(texts))
-    hashes, first, _ = shingle_sets(chunk, 1)
+    hashes, first, _ = shingle_sets(chunk, 0, 1)
     exact, first_exact = exact_sets(chunk)
     assert first.tolist() == first_exact.tolist()
     for x, a in enumerate(texts):
