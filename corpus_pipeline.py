@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import stages
+from tallyloom.llm.rows import checkpointed
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -19,8 +20,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn, over the whole of documents."""
+    """Every stage in turn, over the whole of documents; what a stage keeps is written once, and read by all steps of the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
