@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -189,35 +189,31 @@ def grid_lines(observations: DataFrame, row_gap: float = 0.009, column_gap: floa
     in order of rows, each within the gap of a column's moving place; a text goes to the nearest column. Pages with fewer than two
     columns give no lines; blank texts don't count.
     """
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        items = [(y, x, h, " ".join(t.split())) for t, x, y, h in zip(frame["text"].fillna(""), frame["x"].fillna(0), frame["y"].fillna(0), frame["height"].fillna(0)) if t.strip()]
-        grouped: list[list] = []
-        mean = 0.0
-        for item in sorted(items):
-            if grouped and abs(item[0] - mean) <= max(row_gap, item[2] * 0.45):
-                grouped[-1].append(item)
-                mean += (item[0] - mean) / len(grouped[-1])
-            else:
-                grouped.append([item])
-                mean = item[0]
-        columns: list[float] = []
-        for line in grouped:
-            line.sort(key=lambda i: i[1])
-            for _, x, _, _ in line:
-                near = next((k for k, c in enumerate(columns) if abs(x - c) <= column_gap), None)
-                if near is None:
-                    columns = sorted([*columns, x])
-                else:
-                    columns[near] = (columns[near] + x) / 2
-        columns.sort()
-        lines = []
-        for line in grouped if len(columns) > 1 else []:
-            cells: dict[int, list[str]] = {}
-            for _, x, _, text in line:
-                cells.setdefault(min(range(len(columns)), key=lambda k: abs(columns[k] - x)), []).append(text)
-            lines.append((min(i[0] for i in line), " | ".join(" ".join(cells[k]) for k in sorted(cells))))
-        lines.sort(key=lambda i: -i[0])
-        return pd.DataFrame({"page": frame["page"].iloc[0], "line": range(len(lines)), "text": [t for _, t in lines]}).astype({"page": "int64", "line": "int64", "text": "str"})
-
-    return observations.groupBy("page").applyInPandas(one, "page long, line long, text string")
+    clean = F.trim(F.regexp_replace("text", r"\s+", " "))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    item = F.struct(number("y").alias("y"), number("x").alias("x"), number("height").alias("height"), clean.alias("text"))
+    pages = observations.filter(clean != "").groupBy("page").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    # rows: the state is the row's number, its mean and size, and the numbers of the items so far
+    state = lambda row, mean, n, rows: F.struct(row.alias("row"), mean.alias("mean"), n.alias("n"), rows.alias("rows"))
+
+    def place(a: Column, x: Column) -> Column:
+        near = (a["n"] > 0) & (F.abs(x["y"] - a["mean"]) <= F.greatest(F.lit(row_gap), x["height"] * 0.45))
+        row, n = a["row"] + (~near).cast("int"), F.when(near, a["n"] + 1).otherwise(1)
+        return state(row, F.when(near, a["mean"] + (x["y"] - a["mean"]) / n).otherwise(x["y"]), n, F.concat(a["rows"], F.array(row)))
+
+    start = state(F.lit(0), F.lit(0.0), F.lit(0), F.array().cast("array<int>"))
+    placed = pages.withColumn("rows", F.aggregate("items", start, place, lambda a: a["rows"]))
+    cells = F.array_sort(F.transform("items", lambda x, i: F.struct(F.get("rows", i).alias("row"), x["x"].alias("x"), i.alias("i"), x["y"].alias("y"), x["text"].alias("text"))))
+
+    def gather(places: Column, c: Column) -> Column:
+        at = F.array_min(F.filter(F.transform(places, lambda p, k: F.when(F.abs(c["x"] - p) <= column_gap, k)), lambda k: k.isNotNull()))
+        moved = F.transform(places, lambda p, k: F.when(k == at, (p + c["x"]) / 2).otherwise(p))
+        return F.when(at.isNull(), F.array_sort(F.concat(places, F.array(c["x"])))).otherwise(moved)
+
+    columns = placed.withColumn("cells", cells).withColumn("places", F.array_sort(F.aggregate("cells", F.array().cast("array<double>"), gather)))
+    each = columns.filter(F.size("places") > 1).select("page", "places", F.explode("cells").alias("c"))
+    nearest = F.array_min(F.transform("places", lambda p, k: F.struct(F.abs(p - F.col("c.x")).alias("off"), k.alias("k"))))["k"]
+    joined = lambda parts, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, F.col(parts).alias("t")))), lambda x: x["t"]), " " if parts == "text" else " | ")
+    texts = each.select("page", nearest.alias("column"), "c.*").groupBy("page", "row", "column").agg(joined("text", ["x", "i"]).alias("cell"), F.min("y").alias("y"))
+    lines = texts.groupBy("page", "row").agg(joined("cell", ["column"]).alias("text"), F.min("y").alias("y"))
+    return lines.select("page", (F.row_number().over(Window.partitionBy("page").orderBy(F.desc("y"), "row")) - 1).cast("long").alias("line"), "text")

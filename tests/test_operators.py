@@ -1,5 +1,6 @@
 """Operators on literal cases, and every query with SQL against DuckDB."""
 
+import numbers
 import os
 
 import duckdb
@@ -109,10 +110,18 @@ def test_sql(spark, name):
     got, want = plans.QUERIES[name](spark, SF).toPandas(), con.sql(plans.ORACLE_SQL[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    as_text = lambda df: sorted(zip(*(df[c].astype(str).replace(["NaT", "nan", "<NA>"], "None") for c in columns), strict=True))
+    as_text = lambda df: sorted(zip(*([_shown(x) for x in df[c].astype(object)] for c in columns), strict=True))
     assert as_text(got) == as_text(want)
 
 
+def _shown(x) -> str:
+    """Numbers by value, whatever type the column has."""
+    text = str(x)
+    if text in ("NaT", "nan", "<NA>", "None"):
+        return "None"
+    return repr(float(x)) if isinstance(x, numbers.Number) and not isinstance(x, bool) and text not in ("True", "False") else text
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
