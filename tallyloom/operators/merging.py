@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scalars import quarter_ordinal
+
 
 def representative(entries: DataFrame, fields: list[str]) -> DataFrame:
     """The fullest entry of each (company, q_ord), of equal ones the earlier source's.
@@ -95,11 +97,13 @@ def merge_filings(fresh: DataFrame, cached: DataFrame, key: str) -> DataFrame:
 
 
 def loose_quarter(entries: DataFrame, financials: DataFrame) -> DataFrame:
-    """The quarter of an entry (entry, company, period_end, revenue): the first of the company's that ends on the same day and whose
-    revenue is within 0.002, or unknown on either side; null if none."""
+    """The quarter of an entry (entry, company, period_end, revenue; quarter, a label, if it has one): that of its own label, else the
+    first of the company's that ends on the same day and whose revenue is within 0.002, or unknown on either side; null if none."""
+    label = F.col("quarter") if "quarter" in entries.columns else F.lit(None).cast("string")
+    named = entries.select("entry", "company", "period_end", "revenue", quarter_ordinal(label).alias("_own"))
     known = financials.select("company", "period_end", "q_ord", F.col("revenue").alias("_revenue"))
     near = F.col("revenue").isNull() | F.col("_revenue").isNull() | (F.abs(F.col("revenue") - F.col("_revenue")) < 0.002)
-    return entries.join(known, ["company", "period_end"], "left").groupBy("entry").agg(F.min(F.when(near, F.col("q_ord"))).alias("q_ord"))
+    return named.join(known, ["company", "period_end"], "left").groupBy("entry").agg(F.coalesce(F.max("_own"), F.min(F.when(near, F.col("q_ord")))).alias("q_ord"))
 
 
 def null_bridge(df: DataFrame, stages: list[str], bridge: list[str], flag: str, cleared: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import bridging, detailing, feeds, filed, flowing, histories, lining, mending, merges, queries, scalars, selecting, series
+from tallyloom.plans import bridging, composing, detailing, feeds, filed, flowing, histories, lining, mending, merges, queries, scalars, selecting, series
 
-PARTS = (queries, scalars, merges, mending, selecting, bridging, detailing, series, feeds, filed, histories, flowing, lining)
+PARTS = (queries, scalars, merges, mending, selecting, bridging, detailing, series, feeds, filed, histories, flowing, lining, composing)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}

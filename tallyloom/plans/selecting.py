@@ -147,7 +147,7 @@ def ordered_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loose_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.make_date(F.floor(F.col("q_ord") / 4).cast("int"), (F.col("q_ord") % 4 * 3 + 3).cast("int"), F.lit(28))
     own = statements(spark, sf_dir).select(*QUARTER, day.alias("period_end"), F.when(F.col("tax") > 0.0395 * F.col("revenue"), F.col("revenue")).alias("revenue"), F.col("revenue").alias("_r"))
-    entries = own.select((F.col("company") * 100000 + F.col("q_ord")).alias("entry"), "company", "period_end", F.when(F.col("q_ord") % 3 == 0, F.col("_r") + 0.001).when(F.col("q_ord") % 3 == 1, F.col("_r") + 5).alias("revenue"))
+    entries = own.select((F.col("company") * 100000 + F.col("q_ord")).alias("entry"), "company", "period_end", F.when(F.col("q_ord") % 3 == 0, F.col("_r") + 0.001).when(F.col("q_ord") % 3 == 1, F.col("_r") + 5).alias("revenue"), F.when(F.col("q_ord") % 4 == 0, F.concat(F.floor(F.col("q_ord") / 4).cast("string"), F.lit("Q1"))).when(F.col("q_ord") % 4 == 1, "Q2").alias("quarter"))
     return merging.loose_quarter(entries, own.drop("_r"))
 
 
@@ -306,7 +306,7 @@ ORACLE_SQL = {
         b AS (SELECT *, coalesce(sum(part) OVER (PARTITION BY company, q_ord ORDER BY member ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT company, q_ord, member, CASE WHEN NOT scaled THEN value WHEN last THEN round(greatest(revenue - before, 0), 3) ELSE part END AS flow, scaled FROM b""",
     "accepted_breakdowns": f"WITH {_SEG}, {_ORD}, a AS (SELECT company, q_ord, sum(value) AS s FROM seg GROUP BY 1, 2) SELECT a.company, a.q_ord, CASE WHEN revenue > 0 THEN round(s / revenue, 9) BETWEEN 0.5 AND 2 ELSE true END AS accepted FROM a LEFT JOIN ord USING (company, q_ord)",
     "ordered_members": f"WITH {_SEG} SELECT *, row_number() OVER (PARTITION BY company, q_ord ORDER BY CASE member WHEN 'RF' THEN 1 WHEN 'NO' THEN 2 END NULLS LAST, value DESC, member) AS place FROM seg",
-    "loose_quarter": f"WITH {_ST} SELECT company * 100000 + q_ord AS entry, CASE WHEN q_ord % 3 <> 1 OR NOT tax > 0.0395::DOUBLE * revenue THEN q_ord END AS q_ord FROM st",
+    "loose_quarter": f"WITH {_ST} SELECT company * 100000 + q_ord AS entry, CASE WHEN q_ord % 4 = 0 OR q_ord % 3 <> 1 OR NOT tax > 0.0395::DOUBLE * revenue THEN q_ord END AS q_ord FROM st",
     "merge_filings": "SELECT CAST(event_id AS VARCHAR) AS accession, CASE WHEN value > 10 AND value < 30 OR value < 40 THEN event_type END AS event_type, CASE WHEN value > 10 THEN value ELSE 1.5 END AS value FROM events WHERE value > 10 OR value < 40",
     "preserve_lists": f"""WITH {_SEG}, {_ST}, m AS (SELECT company, q_ord, string_agg(member, '|' ORDER BY member) AS members FROM seg GROUP BY 1, 2), f AS (SELECT st.*, m.members, tax > 0.039::DOUBLE * revenue AND m.members IS NOT NULL AS fresh FROM st LEFT JOIN m USING (company, q_ord))
         SELECT company, q_ord, CASE WHEN fresh THEN revenue ELSE 1.0 END AS revenue, CASE WHEN fresh AND company % 3 = 1 THEN members ELSE 'old' END AS members FROM f""",

@@ -110,6 +110,13 @@ def layout_fit_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.fit_band(segments(spark, sf_dir).withColumnRenamed("value", "height"), 0.0, 400.0, 8.0, 24.0)
 
 
+def conserved_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands between a member's costs and its share of taxes, both as heights."""
+    rows = segments(spark, sf_dir).join(statements(spark, sf_dir).select(*QUARTER, "revenue", "tax"), QUARTER)
+    heights = rows.select(*QUARTER, "member", (F.col("value") / F.col("revenue") * 300).alias("source_height"), (F.col("tax") / F.col("revenue") * 2000).alias("target_height"), (F.col("q_ord") % 100).cast("double").alias("target_center"))
+    return history.conserved_bands(heights, 40.0)
+
+
 def layout_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.col("value") / F.col("revenue")
     rows = segments(spark, sf_dir).join(statements(spark, sf_dir).select(*QUARTER, "revenue"), QUARTER)
@@ -118,7 +125,7 @@ def layout_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (finalize_spans, member_quarterize_abort, covered_range, quarterised_facts, growth_margin_deltas, fx_adjusted_growth, weighted_growth, taxonomy_sum_or_max, combined_labels, generic_members, addable_taxonomy, taxonomy_phases, history_gap_fill, subset_selection, layout_fit_band, layout_boxes)
+    for f in (finalize_spans, member_quarterize_abort, covered_range, quarterised_facts, growth_margin_deltas, fx_adjusted_growth, weighted_growth, taxonomy_sum_or_max, combined_labels, generic_members, addable_taxonomy, taxonomy_phases, history_gap_fill, subset_selection, layout_fit_band, conserved_bands, layout_boxes)
 }
 
 
@@ -135,6 +142,7 @@ def _positions() -> str:
 _YOY = f"{_ST}, g AS (SELECT s.company, s.q_ord, CASE WHEN p.revenue > 0 AND s.revenue > 0 THEN round((s.revenue / p.revenue - 1) * 100, 3) END AS yoy FROM st s LEFT JOIN st p ON p.company = s.company AND p.q_ord = s.q_ord - 4)"
 
 ORACLE_SQL = {
+    "conserved_bands": f"""WITH {_ST}, {_SEG}, h AS (SELECT company, q_ord, member, greatest(least(value / revenue * 300, tax / revenue * 2000), 40) AS h, CAST(q_ord % 100 AS DOUBLE) AS spot FROM seg JOIN st USING (company, q_ord)) SELECT company, q_ord, member, spot - h / 2 AS top, spot + h / 2 AS bottom FROM h""",
     "finalize_spans": f"""WITH {_SP}, y AS (SELECT company, q_ord, round(sum(revenue) OVER (PARTITION BY company, q_ord // 4 ORDER BY q_ord), 3) AS ytd FROM sp),
         a AS (SELECT company, q_ord, q_ord % 4 + 1 AS span, ytd AS value, 1 AS mode FROM y WHERE (company + q_ord) % 5 <> 0 UNION ALL SELECT company, q_ord, 1, revenue, 2 FROM sp WHERE (company * 3 + q_ord) % 7 = 0),
         e AS (SELECT company, q_ord, span, arg_max(value, mode) AS value FROM a GROUP BY 1, 2, 3), {_positions()} SELECT * FROM f3""",

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import flows, history
+from tallyloom.operators import composition, flows, history
 from tallyloom.operators import revenue_history as rh
 from tallyloom.sources import statement_lines as sl
 
@@ -300,3 +300,25 @@ def test_grid_lines_keep_columns_and_order(spark):
     seen = [(1, "Revenue", 0.1, 0.9, 0.01), (1, "net", 0.13, 0.9, 0.01), (1, "100", 0.5, 0.901, 0.01), (1, "120", 0.8, 0.899, 0.01), (1, "Tax", 0.12, 0.4, 0.05), (1, "20", 0.52, 0.42, 0.05), (1, " ", 0.5, 0.4, 0.01), (2, "alone", 0.1, 0.5, 0.01), (3, None, None, None, None)]
     df = spark.createDataFrame(seen, "page long, text string, x double, y double, height double").repartition(3)
     assert [tuple(r) for r in history.grid_lines(df).orderBy("page", "line").collect()] == [(1, 0, "Revenue net | 100 | 120"), (1, 1, "Tax | 20")]
+
+
+# ---------------------------------------------------------------- the whole dataset
+
+
+def test_dataset_runs_its_steps_again_after_the_fallback(spark):
+    """What the fallback brings is derived like the rest; overrides come last; a broken bridge goes as a whole."""
+    c = "company long, q_ord long, field string, value double, source string, source_order int, priority int, has_url boolean, has_date boolean, has_flags boolean"
+    cell = lambda q, f, v, s="a", p=5: (1, q, f, float(v), s, 0, p, True, True, False)
+    candidates = [cell(1, "revenue", 100), cell(1, "revenue", 90, "b", 4), cell(5, "revenue", 120), cell(5, "cost", 60), cell(5, "net", 30), cell(5, "tax", 6), cell(6, "revenue", 10), cell(6, "cost", 40)]
+    wide = ["revenue", "cost", "gross", "sgna", "rnd", "other_opex", "opex", "op_income", "non_op", "pretax", "tax", "net"]
+    second = {"revenue": 100.0, "cost": 70.0, "op_income": 10.0}
+    parts = {
+        "candidates": spark.createDataFrame(candidates, c), "segments": spark.createDataFrame([(1, 5, "x", 80.0), (1, 5, "y", 40.0)], "company long, q_ord long, member string, value double"),
+        "fallback": spark.createDataFrame([(1, 1, *(second.get(f) for f in wide), "web")], "company long, q_ord long, " + ", ".join(f"{f} double" for f in wide) + ", source string"),
+        "overrides": spark.createDataFrame([(1, 5, "net", 31.0)], "company long, q_ord long, field string, value double"), "rates": spark.createDataFrame([(1, 5, 2.0)], "company long, q_ord long, rate double"),
+    }
+    got = {r.q_ord: r for r in composition.dataset(parts).collect()}
+    assert (got[1].revenue, got[1].cost, got[1].gross, got[1].opex, got[1].issues) == (100.0, 70.0, 30.0, 20.0, "missing-required:net")
+    assert (got[5].gross, got[5].pretax, got[5].net, got[5].display_revenue, got[5].revenue_yoy, got[5].segments_mode, got[5].segment_share) == (60.0, 36.0, 31.0, 240.0, 20.0, "explicit", 1.0)
+    assert (got[6].cleared, got[6].cost, got[6].gross, got[6].issues, got[6].segments_mode) == (True, None, None, "missing-required:op_income,net", "none")
+    assert "display_revenue" not in composition.dataset(parts, upto="fallback").columns
