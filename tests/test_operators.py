@@ -115,8 +115,8 @@ def test_sql(spark, name):
 
 
 def _shown(x) -> str:
-    """Numbers by value, whatever type the column has."""
-    text = str(x)
+    """Numbers by value and days without a time, whatever type the column has."""
+    text = str(x).removesuffix(" 00:00:00")
     if text in ("NaT", "nan", "<NA>", "None"):
         return "None"
     return repr(float(x)) if isinstance(x, numbers.Number) and not isinstance(x, bool) and text not in ("True", "False") else text
