@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
 from tallyloom.llm.repeats import BUCKET_DOCS, DEALT, GROUP_DOCS, _locate, batch, bucket_column, dealt, unpacked
-from tallyloom.llm.rows import NO_ID, SPREAD, buckets, checkpointed, dealt_among, doc_id, identified, parts, settled, spread, volume, whole_rows
+from tallyloom.llm.rows import NO_ID, SPREAD, buckets, checkpointed, dealt_among, doc_id, freed, identified, parts, settled, spread, volume, whole_rows
 from tallyloom.llm.textcols import Texts, Words, mix64, numbered, paired, texts_of
 
 #: Words in a shingle; the least similarity in hundredths.
@@ -235,10 +235,12 @@ def near_copies(rows: DataFrame) -> DataFrame:
     asked = by_bucket.groupBy("bucket").applyInArrow(_ask(n_groups, bits, seed), DEALT)
     answers = asked.groupBy("part").applyInArrow(_answer(), DEALT)
     sets = checkpointed(by_bucket.groupBy("bucket").cogroup(answers.groupBy("part")).applyInArrow(_prefixes(bits, seed), SETS))
+    freed(sets)
 
     some = sets.filter("n > 0").withColumn("id", F.struct("_doc", "_sub"))
     nodes = checkpointed(some.groupBy("n", "d1", "d2", "p1", "p2").agg(F.min("id").alias("id"), F.max("common").alias("common"), F.max("core").alias("core"), F.first("tokens").alias("tokens")))
     member = checkpointed(with_least(nodes, ["n", "p1", "p2"], F.col("id"), "grp").select("id", "grp", "n", "common", "core", "tokens"))
+    freed(member)
     # a list: the groups of like size that share a shingle of their prefixes
     like = F.floor(F.log("n") / F.log(F.lit(100 / SIMILARITY))).cast("int").alias("like")
     posted = settled(member.filter(F.col("id") == F.col("grp")).select("grp", "n", "common", like, F.posexplode("tokens").alias("place", "token")))
@@ -250,9 +252,11 @@ def near_copies(rows: DataFrame) -> DataFrame:
     cored = with_least(member.filter("common > 0"), ["core"], F.struct("n", "id"), "least")
     cored = cored.filter((F.col("common") * (100 + SIMILARITY) >= (F.col("n") + F.col("least.n")) * SIMILARITY) & (F.col("id") != F.col("least.id"))).select(F.col("least.id").alias("a"), F.col("id").alias("b"))
     links = verified(rows, stars.unionByName(inside).unionByName(cored).distinct(), n_buckets)
+    freed(links)
 
     known = components(member.select("id"), links)
     rest = _between(member, posted, known)
+    freed(rest)
     if not rest.isEmpty():
         links = links.unionByName(verified(rows, rest, n_buckets))
         known = components(member.select("id"), links)
@@ -295,6 +299,7 @@ def _between(member: DataFrame, posted: DataFrame, known: DataFrame) -> DataFram
     # most lists have one component, and make no pairs
     several = listed.groupBy("token").agg(F.min("label").alias("_one"), F.max("label").alias("_other")).filter("_one <> _other").select("token")
     listed = settled(spread(listed, several, ["token"], ["id"]))
+    freed(listed)
     smaller = listed.filter(F.col("top") >= F.col("n")).withColumn("band", _band(F.col("n")))
     least = F.ceil(F.col("n") * SIMILARITY / 100)
     larger = listed.filter(F.col("top") >= least).withColumn("band", F.explode(F.sequence(_band(least), _band(F.least("n", "top")))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 
@@ -36,6 +37,17 @@ def settled(df: DataFrame) -> DataFrame:
     return DataFrame(session._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), session)
 
 
+def freed(df: DataFrame) -> None:
+    """Lets Spark remove the shuffle and checkpoint files of steps that are done.
+
+    It does so as the driver's collectors find their frames out of reach.  A driver
+    with little to do collects every half hour alone, by which time an operator of
+    many short steps holds the files of all of them.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def parts(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
