@@ -31,5 +31,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         ends = left.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
         left = settled(ends.filter(F.col("a") != F.col("b")).distinct())
         labels = labels.join(parents.select(F.col("a").alias("label"), "p"), "label", "left").select("id", F.coalesce("p", "label").alias("label"))
+        labels = settled(labels)
         freed(left)
     return labels

@@ -243,7 +243,7 @@ def near_copies(rows: DataFrame) -> DataFrame:
     freed(member)
     # a list: the groups of like size that share a shingle of their prefixes
     like = F.floor(F.log("n") / F.log(F.lit(100 / SIMILARITY))).cast("int").alias("like")
-    posted = settled(member.filter(F.col("id") == F.col("grp")).select("grp", "n", "common", like, F.posexplode("tokens").alias("place", "token")))
+    posted = member.filter(F.col("id") == F.col("grp")).select("grp", "n", "common", like, F.posexplode("tokens").alias("place", "token"))
     to_head = with_least(posted, ["token", "like"], F.struct("grp", "n", "common"), "head").filter(F.col("grp") != F.col("head.grp")).select("grp", "head").distinct()
     stars = spread(member.select("grp", "id", F.col("n").alias("bn"), F.col("common").alias("bcommon")), to_head, ["grp"], ["id"])
     stars = stars.withColumns({"an": F.col("head.n"), "acommon": F.col("head.common")}).filter(_can_link("a", "b")).select(F.col("head.grp").alias("a"), F.col("id").alias("b"))
@@ -294,11 +294,12 @@ def _between(member: DataFrame, posted: DataFrame, known: DataFrame) -> DataFram
     the component with the most nodes isn't compared with itself.
     """
     whole = member.select("id", "grp", "core", F.col("n"), "common").join(known, "id")
-    listed = spread(whole, posted.select("token", "grp", "place"), ["grp"], ["id"]).withColumn("left", F.col("common") - F.col("place")).withColumn("top", F.floor(F.col("left") * (100 + SIMILARITY) / SIMILARITY) - F.col("n"))
-    listed = listed.filter(F.col("left") * 100 >= F.col("n") * SIMILARITY).select("token", "id", "n", "left", "top", "core", "label")
-    # most lists have one component, and make no pairs
-    several = listed.groupBy("token").agg(F.min("label").alias("_one"), F.max("label").alias("_other")).filter("_one <> _other").select("token")
-    listed = settled(spread(listed, several, ["token"], ["id"]))
+    # most lists have one component, and make no pairs; which do is seen from their groups
+    labels = whole.groupBy("grp").agg(F.min("label").alias("_one"), F.max("label").alias("_other"))
+    several = posted.select("token", "grp").join(labels, "grp").groupBy("token").agg(F.min("_one").alias("_one"), F.max("_other").alias("_other")).filter("_one <> _other").select("token")
+    mixed = spread(posted.select("token", "grp", "place"), several, ["token"], ["grp"])
+    listed = spread(whole, mixed, ["grp"], ["id"]).withColumn("left", F.col("common") - F.col("place")).withColumn("top", F.floor(F.col("left") * (100 + SIMILARITY) / SIMILARITY) - F.col("n"))
+    listed = settled(listed.filter(F.col("left") * 100 >= F.col("n") * SIMILARITY).select("token", "id", "n", "left", "top", "core", "label"))
     freed(listed)
     smaller = listed.filter(F.col("top") >= F.col("n")).withColumn("band", _band(F.col("n")))
     least = F.ceil(F.col("n") * SIMILARITY / 100)
