@@ -85,21 +85,39 @@ def fill_gaps(members: DataFrame) -> DataFrame:
     return near.select("company", "q_ord", F.explode(F.when(F.col("added").isNotNull(), whole).otherwise(own)).alias("r")).select("company", "q_ord", "r.*")
 
 
-def best_subset(rows: DataFrame, most: int = 12) -> DataFrame:
+def best_subset(rows: DataFrame, most: int = 12, aggregate: Column | None = None, targets: Column | None = None, styled: Column | None = None) -> DataFrame:
     """of a quarter's largest `most` rows (member, value, revenue, penalty, tokens) the two to seven that explain the revenue best.
 
-    Their sum is 0.45 to 1.35 of the revenue. A set scores 44 for three to six rows, less 110 a unit off the revenue, 18 a row past
+    aggregate marks rows that sum others up or combine them: in quarters of three rows or more they go first, if others are left.
+    targets (of the quarter) are the members that its details hang under: if any is there, all have to be in the set. Quarters that
+    add up as they are keep all rows: three to six at 0.88 to 1.18 of the revenue, seven at most with all targets at 0.72 to 1.18,
+    and quarters styled as published at 0.78 to 1.18.
+
+    Else a set's sum is 0.45 to 1.35 of the revenue. It scores 44 for three to six rows, less 110 a unit off the revenue, 18 a row past
     five, 40 a row short of three (of four or more), 260 and 360 a unit of share below 0.78 and above 1.08, the rows' penalties, and
     28 for each word two of them share. Of scores within 0.01 the smaller set counts, then the first in order of value and name.
-    Quarters without such a set keep their seven largest rows. The cut to `most` rows is the operator's own and bounds the sets.
+    Quarters without such a set keep their seven largest rows. The cut to `most` rows bounds the sets.
     """
-    cells = F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "member", "penalty", "tokens")))
-    groups = rows.filter((F.col("value") > 0.02) & (F.col("revenue") > 0)).groupBy("company", "q_ord", "revenue").agg(F.slice(cells, 1, most).alias("rows"))
+    given = lambda c, other: other if c is None else F.coalesce(c, other)
+    none = F.array().cast("array<string>")
+    rows = rows.select("*", given(aggregate, F.lit(False)).alias("_sums"), given(targets, none).alias("_targets"), given(styled, F.lit(False)).alias("_styled"))
+    cells = F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "member", "penalty", "tokens", "_sums")))
+    groups = rows.filter((F.col("value") > 0.02) & (F.col("revenue") > 0)).groupBy("company", "q_ord", "revenue").agg(F.slice(cells, 1, most).alias("rows"), F.array_distinct(F.max("_targets")).alias("_targets"), F.max("_styled").alias("_styled"))
+    single = F.filter("rows", lambda r: ~r["_sums"])
+    groups = groups.withColumn("rows", F.when((F.size("rows") >= 3) & (F.size(single) > 0), single).otherwise(F.col("rows")))
+    n, met = F.size("rows"), F.size(F.array_intersect("_targets", F.transform("rows", lambda r: r["member"])))
+    ratio = F.aggregate("rows", F.lit(0.0), lambda total, r: total - r["v"]) / F.col("revenue")
+    held = (met > 0) & (met == F.size("_targets")) & (n <= 7) & ratio.between(0.72, 1.18)
+    whole = held | (F.col("_styled") & ratio.between(0.78, 1.18)) | (n.between(3, 6) & ratio.between(0.88, 1.18))
+    groups = groups.select("company", "q_ord", "revenue", "rows", whole.alias("whole"), F.when(met > 0, F.col("_targets")).otherwise(none).alias("needed"))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for company, q_ord, revenue, items in batch.itertuples(index=False):
+            for company, q_ord, revenue, items, whole, needed in batch.itertuples(index=False):
+                if whole:
+                    out += [(company, q_ord, r["member"], -r["v"]) for r in items]
+                    continue
                 n = len(items)
                 values = np.array([-r["v"] for r in items])
                 tokens = [set(r["tokens"]) for r in items]
@@ -112,6 +130,8 @@ def best_subset(rows: DataFrame, most: int = 12) -> DataFrame:
                 score -= np.where(count > 5, (count - 5) * 18, np.where((count < 3) & (n > 3), (3 - count) * 40, 0))
                 score -= np.where(ratio < 0.78, (0.78 - ratio) * 260, np.where(ratio > 1.08, (ratio - 1.08) * 360, 0)) + 28 * np.einsum("ki,ij,kj->k", on, shared, on)
                 good = (count <= 7) & ((count > 1) | (n == 1)) & (ratio >= 0.45) & (ratio <= 1.35)
+                for name in needed:  # without a row of that name no set is good
+                    good &= on @ np.array([r["member"] == name for r in items]) > 0
                 best = None
                 for i in np.flatnonzero(good):
                     if best is None or score[i] > score[best] or (abs(score[i] - score[best]) < 0.01 and count[i] < count[best]):

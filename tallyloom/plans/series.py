@@ -106,6 +106,18 @@ def subset_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.best_subset(rows.join(whole, "company").withColumn("penalty", F.lit(0.0)).withColumn("tokens", F.split("member", " ")))
 
 
+def subset_shortcuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier's quantity by metal and whether it came back, against a share of it; two metals count as sums, some suppliers have targets or a style."""
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey"), "l_quantity", "l_returnflag")
+    member = F.concat_ws(" ", F.element_at(F.split("p_type", " "), -1), F.when(F.col("l_returnflag") == "N", "KEPT").otherwise("BACK"))
+    rows = lines.join(read(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_partkey").groupBy(F.col("l_suppkey").alias("company"), F.lit(0).cast("long").alias("q_ord"), member.alias("member")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    share = F.element_at(F.array(*(F.lit(x) for x in (0.3125, 0.5, 0.5625, 0.75))), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    whole = lines.groupBy("l_suppkey").agg(F.sum("l_quantity").cast("double").alias("all")).select(F.col("l_suppkey").alias("company"), (F.col("all") * share).alias("revenue"))
+    targets = F.when(F.col("company") % 3 == 0, F.array(F.lit("BRASS KEPT"), F.lit("STEEL BACK"))).when(F.col("company") % 9 == 1, F.array(F.lit("BRASS KEPT"), F.lit("GOLD")))
+    rows = rows.join(whole, "company").withColumn("penalty", F.lit(0.0)).withColumn("tokens", F.split("member", " "))
+    return history.best_subset(rows, aggregate=F.col("member").rlike("^(TIN|NICKEL) "), targets=targets, styled=F.col("company") % 5 == 0)
+
+
 def layout_fit_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.fit_band(segments(spark, sf_dir).withColumnRenamed("value", "height"), 0.0, 400.0, 8.0, 24.0)
 
@@ -125,7 +137,7 @@ def layout_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (finalize_spans, member_quarterize_abort, covered_range, quarterised_facts, growth_margin_deltas, fx_adjusted_growth, weighted_growth, taxonomy_sum_or_max, combined_labels, generic_members, addable_taxonomy, taxonomy_phases, history_gap_fill, subset_selection, layout_fit_band, conserved_bands, layout_boxes)
+    for f in (finalize_spans, member_quarterize_abort, covered_range, quarterised_facts, growth_margin_deltas, fx_adjusted_growth, weighted_growth, taxonomy_sum_or_max, combined_labels, generic_members, addable_taxonomy, taxonomy_phases, history_gap_fill, subset_selection, subset_shortcuts, layout_fit_band, conserved_bands, layout_boxes)
 }
 
 
@@ -141,7 +153,32 @@ def _positions() -> str:
 
 _YOY = f"{_ST}, g AS (SELECT s.company, s.q_ord, CASE WHEN p.revenue > 0 AND s.revenue > 0 THEN round((s.revenue / p.revenue - 1) * 100, 3) END AS yoy FROM st s LEFT JOIN st p ON p.company = s.company AND p.q_ord = s.q_ord - 4)"
 
+
+
+def _subset(member: str, share: str, sums: str, targets: str, styled: str) -> str:
+    """F14 with every set of rows as a mask."""
+    return f"""WITH w AS (SELECT l_suppkey AS company, CAST(sum(l_quantity) AS DOUBLE) * {share} AS revenue FROM lineitem GROUP BY l_suppkey),
+        r AS (SELECT l_suppkey AS company, {member} AS member, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+        top AS (SELECT *, {sums} AS sums FROM r JOIN w USING (company) WHERE value > 0.02 AND revenue > 0 QUALIFY row_number() OVER (PARTITION BY company ORDER BY value DESC, member) <= 12),
+        few AS (SELECT * FROM top QUALIFY NOT sums OR count(*) OVER (PARTITION BY company) < 3 OR count(*) FILTER (NOT sums) OVER (PARTITION BY company) = 0),
+        c AS (SELECT company, member, value, row_number() OVER (PARTITION BY company ORDER BY value DESC, member) - 1 AS i, string_split(member, ' ') AS tokens FROM few),
+        q AS (SELECT company, any_value(revenue) AS revenue, count(*) AS n, sum(value) / any_value(revenue) AS ratio, {targets} AS targets, list(member) AS members, {styled} AS styled FROM few GROUP BY company),
+        k AS (SELECT *, len(list_intersect(targets, members)) AS met FROM q),
+        h AS (SELECT *, (met > 0 AND met = len(targets) AND n <= 7 AND ratio BETWEEN 0.72 AND 1.18) OR (styled AND ratio BETWEEN 0.78 AND 1.18) OR (n BETWEEN 3 AND 6 AND ratio BETWEEN 0.88 AND 1.18) AS whole FROM k),
+        m AS (SELECT company, CAST(range AS BIGINT) AS mask FROM h, range(1, 4096) WHERE NOT whole AND range < (1 << CAST(n AS INTEGER))),
+        s AS (SELECT company, mask, count(*) AS size, sum(value) AS total, list(member) AS names FROM m JOIN c USING (company) WHERE (mask >> CAST(i AS BIGINT)) & 1 = 1 GROUP BY company, mask),
+        p AS (SELECT a.company, (1 << CAST(a.i AS BIGINT)) | (1 << CAST(b.i AS BIGINT)) AS pair, len(list_intersect(list_distinct(a.tokens), list_distinct(b.tokens))) AS shared FROM c a JOIN c b ON a.company = b.company AND a.i < b.i),
+        o AS (SELECT m.company, mask, sum(shared) AS shared FROM m JOIN p ON p.company = m.company AND mask & pair = pair AND shared > 0 GROUP BY m.company, mask),
+        x AS (SELECT s.company, mask, size, CASE WHEN size BETWEEN 3 AND 6 THEN 44 ELSE 0 END - abs(total - revenue) * 110 - CASE WHEN size > 5 THEN (size - 5) * 18 WHEN size < 3 AND n > 3 THEN (3 - size) * 40 ELSE 0 END
+            - CASE WHEN total / revenue < 0.78 THEN (0.78 - total / revenue) * 260 WHEN total / revenue > 1.08 THEN (total / revenue - 1.08) * 360 ELSE 0 END - 28 * coalesce(shared, 0) AS score
+            FROM s JOIN h USING (company) LEFT JOIN o USING (company, mask) WHERE size <= 7 AND (size > 1 OR n = 1) AND total / revenue BETWEEN 0.45 AND 1.35 AND (met = 0 OR len(list_intersect(targets, names)) = len(targets))),
+        best AS (SELECT company, mask FROM x QUALIFY row_number() OVER (PARTITION BY company ORDER BY round(score, 6) DESC, size, mask) = 1)
+        SELECT company, CAST(0 AS BIGINT) AS q_ord, member, value FROM c JOIN h USING (company) LEFT JOIN best USING (company) WHERE whole OR CASE WHEN mask IS NULL THEN i < 7 ELSE (mask >> CAST(i AS BIGINT)) & 1 = 1 END"""
+
+
 ORACLE_SQL = {
+    "subset_selection": _subset("p_type || ' ' || l_returnflag", "0.5", "false", "CAST([] AS VARCHAR[])", "false"),
+    "subset_shortcuts": _subset("list_extract(string_split(p_type, ' '), -1) || CASE WHEN l_returnflag = 'N' THEN ' KEPT' ELSE ' BACK' END", "list_extract([0.3125, 0.5, 0.5625, 0.75], l_suppkey % 4 + 1)", "regexp_matches(member, '^(TIN|NICKEL) ')", "CASE WHEN company % 3 = 0 THEN ['BRASS KEPT', 'STEEL BACK'] WHEN company % 9 = 1 THEN ['BRASS KEPT', 'GOLD'] ELSE CAST([] AS VARCHAR[]) END", "company % 5 = 0"),
     "conserved_bands": f"""WITH {_ST}, {_SEG}, h AS (SELECT company, q_ord, member, greatest(least(value / revenue * 300, tax / revenue * 2000), 40) AS h, CAST(q_ord % 100 AS DOUBLE) AS spot FROM seg JOIN st USING (company, q_ord)) SELECT company, q_ord, member, spot - h / 2 AS top, spot + h / 2 AS bottom FROM h""",
     "finalize_spans": f"""WITH {_SP}, y AS (SELECT company, q_ord, round(sum(revenue) OVER (PARTITION BY company, q_ord // 4 ORDER BY q_ord), 3) AS ytd FROM sp),
         a AS (SELECT company, q_ord, q_ord % 4 + 1 AS span, ytd AS value, 1 AS mode FROM y WHERE (company + q_ord) % 5 <> 0 UNION ALL SELECT company, q_ord, 1, revenue, 2 FROM sp WHERE (company * 3 + q_ord) % 7 = 0),

@@ -229,6 +229,27 @@ def test_best_subset(spark):
     assert sorted(r.member for r in history.best_subset(df).collect()) == ["a", "b", "c"]
 
 
+def test_best_subset_shortcuts(spark):
+    def kept(cells, revenue, sums=(), targets=(), styled=False):
+        data = [(1, 1, m, v, revenue, 0.0, [m]) for m, v in cells.items()]
+        df = spark.createDataFrame(data, "company long, q_ord long, member string, value double, revenue double, penalty double, tokens array<string>")
+        found = history.best_subset(df, aggregate=F.col("member").isin(*sums), targets=F.array(*(F.lit(t) for t in targets)).cast("array<string>"), styled=F.lit(styled))
+        return sorted(r.member for r in found.collect())
+
+    cells = {"a": 4.0, "b": 3.0, "c": 3.0, "all": 10.0}
+    assert kept(cells, 10.0, sums=["all"]) == ["a", "b", "c"]  # adds up without the sum
+    assert kept({"a": 4.0, "all": 10.0}, 10.0, sums=["all"]) == ["a", "all"]  # of two rows none goes: no good set, both are kept
+    assert kept(dict.fromkeys("abc", 4.0), 12.0, sums=list("abc")) == ["a", "b", "c"]  # nothing else is left
+    some = {"a": 6.0, "b": 3.0, "c": 3.0, "d": 1.0}
+    assert kept(some, 9.0) == ["a", "b"]  # -40, as with c for b; with d -77
+    assert kept(some, 9.0, targets=["d"]) == ["a", "b", "d"]
+    seven = {m: 1.0 for m in "abcdefg"}
+    assert kept(seven, 9.0, targets=["a"]) == list("abcdefg")  # 0.78 of the revenue, its target there
+    assert kept({m: 1.0 for m in "abcdefgh"}, 7.0, styled=True) == list("abcdefgh")  # eight rows, as published
+    assert len(kept({m: 1.0 for m in "abcdefgh"}, 7.0)) < 8
+    assert len(kept({m: 1.0 for m in "abcdefgh"}, 4.0, targets=["a", "none"])) == 7  # no set has both: the largest seven
+
+
 def test_layout(spark):
     df = spark.createDataFrame([(1, 1, "a", 98.0, 5.0), (1, 1, "b", 1.0, 6.0), (1, 1, "c", 1.0, 6.0)], "company long, q_ord long, member string, height double, center double")
     assert [(r.top, r.bottom) for r in history.fit_band(df, 0.0, 100.0, 0.0, 10.0).orderBy("member").collect()] == [(0.0, 80.0), (80.0, 90.0), (90.0, 100.0)]
