@@ -302,6 +302,15 @@ def test_grid_lines_keep_columns_and_order(spark):
     assert [tuple(r) for r in history.grid_lines(df).orderBy("page", "line").collect()] == [(1, 0, "Revenue net | 100 | 120"), (1, 1, "Tax | 20")]
 
 
+def test_grid_lines_fold_a_page_once(spark):
+    """The fold over a page's items is in the plan once: neither within a lambda over the items nor in a filter of its own."""
+    df = spark.createDataFrame([(1, str(i % 7), 0.1 + i % 5 * 0.2, 0.9 - i // 5 * 0.05, 0.01) for i in range(60)], "page long, text string, x double, y double, height double")
+    lines = history.grid_lines(df)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(items") == 1 and plan.count("aggregate(") == 2
+    assert [r.text for r in lines.orderBy("line").limit(2).collect()] == ["0 | 1 | 2 | 3 | 4", "5 | 6 | 0 | 1 | 2"]
+
+
 # ---------------------------------------------------------------- the whole dataset
 
 
