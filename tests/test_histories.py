@@ -77,6 +77,14 @@ def test_phases_and_anchors(spark):
     assert {r.q_ord: r.phase for r in rh.with_phases(told).collect()} == {0: 0, 1: 0, 2: 1, 3: 2, 4: 2, 5: 2, 6: 2}
 
 
+def test_phases_compare_a_quarter_with_one_anchor(spark):
+    """Quarters of a company aren't joined with each other: in the order of quarters each meets the anchor of its time."""
+    quarters = _quarters(spark, A, {"x": 30, "y": 50, "z": 20}, {"p": 50, "q": 30, "r": 20}, WHOLE, {"p": 45, "q": 35, "r": 20}, A)
+    told = rh.phases(quarters)
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[1:] for r in told.orderBy("q_ord").collect()] == [(0, 0, 1), (1, 0, 1), (2, 1, 4), (4, 1, 4), (5, 2, 5)]
+
+
 # ---------------------------------------------------------------- repairs
 
 
