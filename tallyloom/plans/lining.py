@@ -81,9 +81,9 @@ def cumulative_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of a user's events: results, presentations, and others, by year."""
+    """Files of a user's events: results, presentations, and others, by year; an address ends with the event's number, which may look like a year."""
     e = read(spark, sf_dir, "events").select("user_id", "event_id", F.concat(F.lit("https://x.test/"), F.when(F.col("event_id") % 3 == 0, "earnings-q").when(F.col("event_id") % 3 == 1, "presentation-earnings-q").otherwise("release-q"), (F.col("event_id") % 4 + 1).cast("string"), F.lit("-20"), (F.col("event_id") % 15 + 10).cast("string"), F.lit("-"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, ".pdf").otherwise(".htm")).alias("url"))
-    return e.groupBy("user_id").agg(F.min(sl.url_rank(F.col("url"))).alias("r")).select("user_id", "r.kind", "r.url")
+    return e.groupBy("user_id").agg(F.min(sl.url_rank(F.col("url"), r"-\d+(?=\.(?:pdf|htm)$)")).alias("r")).select("user_id", "r.kind", "r.url")
 
 
 QUERIES = {f.__name__: f for f in (statement_grids, line_parses, section_details, rows_by_context, cumulative_columns, best_files)}

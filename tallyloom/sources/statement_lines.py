@@ -296,11 +296,15 @@ def section_rows(parses: DataFrame, headers: tuple[str, ...], totals: tuple[str,
     return inside.groupBy("doc", "key").agg(F.min_by(F.struct("line_i", "label", "values"), "line_i").alias("r")).select("doc", "r.*")
 
 
-def url_rank(url: Column) -> Column:
-    """How likely a file is the quarter's results, the least first: kind, latest year, latest quarter, pdf, address."""
+def url_rank(url: Column, number: str | None = None) -> Column:
+    """How likely a file is the quarter's results, the least first: kind, latest year, latest quarter, pdf, address.
+
+    `number` is the pattern of a site's own numbers of files, in which no year or quarter is looked for.
+    """
     low = F.lower(F.trim(url))
+    dated = low if number is None else F.regexp_replace(low, number, "")
     has = lambda p: F.when(low.rlike(p), 1).otherwise(0)
     kind = F.when(low.rlike("result|earn|quarter|financial-supplement|supplement|stat-book"), 0).when(low.rlike("release|financial"), 1).otherwise(2)
     kind = kind + 4 * has("transcript|presentation|slides|roadshow|webcast|overview|policy|codeconduct") + 2 * has(r"/[0-9a-f]{8}-[0-9a-f-]{27,}\.pdf(?:\?|$)") + 3 * has(r"proxy|annual-report|annual\+report|presentation|icr|conference|webcast")
-    latest = lambda p: F.coalesce(F.array_max(F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(1)), lambda x: x.cast("int"))), F.lit(0))
+    latest = lambda p: F.coalesce(F.array_max(F.transform(F.regexp_extract_all(dated, F.lit(p), F.lit(1)), lambda x: x.cast("int"))), F.lit(0))
     return F.struct(kind.alias("kind"), (-latest(r"\b(20\d{2})\b")).alias("year"), (-latest(r"\bq([1-4])\b")).alias("quarter"), F.when(low.endswith(".pdf") | low.contains(".pdf?"), 0).otherwise(1).alias("other"), url.alias("url"))

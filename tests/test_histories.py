@@ -85,6 +85,14 @@ def test_phases_compare_a_quarter_with_one_anchor(spark):
     assert [tuple(r)[1:] for r in told.orderBy("q_ord").collect()] == [(0, 0, 1), (1, 0, 1), (2, 1, 4), (4, 1, 4), (5, 2, 5)]
 
 
+def test_with_phases_joins_each_quarter_once(spark):
+    """A quarter meets its phase and its phase's anchor: two joins, neither of all pairs of a company's quarters."""
+    quarters = _quarters(spark, A, {"x": 48, "y": 32, "v": 12, "w": 8}, A)
+    told = rh.with_phases(quarters)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2 and "Join Inner" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert {q: sum(r.values()) for q, r in _rows(told).items()} == {0: 100.0, 1: 100.0, 2: 100.0}
+
+
 # ---------------------------------------------------------------- repairs
 
 
@@ -304,6 +312,12 @@ def test_url_rank(spark):
     assert [r.u.rpartition("/")[2] for r in df.orderBy("r").collect()] == ["q3-2024-results.pdf", "q3-2024-results.htm", "q2-2024-results.pdf", "q4-2023-earnings.pdf", "other.pdf", "presentation-q4-2024.pdf"]
 
 
+def test_url_rank_takes_no_file_number_for_a_year(spark):
+    urls = ["https://x/earnings-q4-2016-2031.htm", "https://x/earnings-q4-2022-1587.htm", "https://x/earnings-q1-2022.pdf"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select("u", sl.url_rank(F.col("u"), r"-\d+(?=\.(?:pdf|htm)$)").alias("r"))
+    assert [r.u for r in df.filter("u NOT LIKE '%q1%'").orderBy("r").collect()] == [urls[1], urls[0]]
+
+
 def test_grid_lines_keep_columns_and_order(spark):
     seen = [(1, "Revenue", 0.1, 0.9, 0.01), (1, "net", 0.13, 0.9, 0.01), (1, "100", 0.5, 0.901, 0.01), (1, "120", 0.8, 0.899, 0.01), (1, "Tax", 0.12, 0.4, 0.05), (1, "20", 0.52, 0.42, 0.05), (1, " ", 0.5, 0.4, 0.01), (2, "alone", 0.1, 0.5, 0.01), (3, None, None, None, None)]
     df = spark.createDataFrame(seen, "page long, text string, x double, y double, height double").repartition(3)
