@@ -1,5 +1,7 @@
 """Literal cases of revenue histories, flows, costs and statements in lines."""
 
+from itertools import permutations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +237,14 @@ def test_costs_from_margins(spark):
     assert got == {(1, "a"): 30.0, (1, "b"): 15.0, (2, "a"): 33.75, (2, "b"): 11.25, (3, "a"): 30.0, (3, "b"): 10.0, (4, "a"): 30.0, (5, "a"): 45.0}
 
 
+def test_profile_costs_are_the_same_in_any_order(spark):
+    scaled = [("a", 0.839, 74.0), ("b", 1.461, 34.0), ("c", 1.202, 85.0), ("d", 0.554, 79.0), ("e", 1.737, 20.0), ("f", 0.988, 85.0)]  # d is 0.116 * 4.069 / 3.016 = 0.1565
+    left = [("a", 1.844, 20.0), ("d", 1.083, None), ("b", 0.075, 3.0), ("c", 2.862, 17.0), ("e", 4.477, 83.0)]  # d is 6.205 - 4.6845 = 1.5205
+    rows = [(1, q, *r, 4.069) for q, order in enumerate(permutations(scaled)) for r in order] + [(2, q, *r, 6.205) for q, order in enumerate(permutations(left)) for r in order]
+    df = spark.createDataFrame(rows, "company long, q_ord long, member string, value double, margin double, cost double").coalesce(1)
+    assert len({(r.company, r.value) for r in flows.profile_costs(df).filter("member = 'd'").collect()}) == 2
+
+
 def test_cost_cascade(spark):
     quarters = spark.createDataFrame([(1, q, 50.0, 12.0, None) for q in (1, 2, 3)], "company long, q_ord long, cost double, tac double, other_cost double")
     cell = "company long, q_ord long, member string, value double"
