@@ -5,7 +5,7 @@ first, then by name.  Steps that look at one quarter are column expressions; ste
 windows over the company, where of quarters in a row that could be repaired every other one is (`_alternate`), as a repaired
 one agrees with the next; phases, whose anchor moves, and two steps whose values go on from quarter to quarter are folds over
 a company's quarters (`in_order`); templates are minima over an array of candidates.  All is partitioned by company; a company
-has four quarters a year, so its arrays and pairs don't grow with the number of companies.
+has four quarters a year, so its arrays don't grow with the number of companies.
 """
 
 from __future__ import annotations
