@@ -6,13 +6,19 @@ windows name equal grams at equal places, so dealing windows by their anchor's g
 brings equal ones together, and the windows that share an anchor are one run: a row
 for some twenty windows or more.
 
-1. `runs_of` gives each run its gram (key) and BLAKE2's 128-bit digest of all its bytes
-   (id).  Runs with equal ids are equal throughout; all but the earliest are covered.
-   They are dropped at the map side where a chunk holds them, the rest where they meet.
-2. Only keys with runs that differ need texts.  Their earliest runs ask for their
-   segments, and each group of keys is searched in memory, by a suffix tree or a
-   suffix array over the segments, which compare the words or bytes themselves.
-3. The segments of a key with very many different runs aren't brought to one task:
+1. `runs_of` gives each run BLAKE2's 128-bit digest of all its bytes (id), and deals it
+   by its gram.  Runs with equal ids are equal throughout; all but the earliest are
+   covered.  They are dropped at the map side where a task's rows hold them, the rest
+   where they meet.
+2. Windows are of one of a few classes, by how far they reach before their gram.  All
+   windows of a class hold the same stretch around the gram, some five sixths of a
+   window, and a run has a name for each of its classes, a hash of the gram and of
+   those at both ends of that stretch (nothing rests on it).  Equal windows are of one class and name, so only names that runs that differ
+   share need texts: a common line or phrase shorter than the stretch asks for none.
+   The earliest runs ask for the segments of these classes, and each group is searched
+   in memory, by a suffix tree or a suffix array over the segments, which compare the
+   words or bytes themselves.
+3. The segments of a name with very many different runs aren't brought to one task:
    each of its windows is a segment of its own, dealt by the whole window, and
    searched like the others.
 
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -32,49 +39,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.rows import checkpointed, dealt_among, parts, volume
-from tallyloom.llm.textcols import Texts, Words, blocks, chunks, combined, ranges, sliding_argmin, texts_of
+from tallyloom.llm.textcols import Texts, Words, blocks, chunks, combined, paired, ranges, sliding_argmin, texts_of
 
 #: Documents that are cut together, and per group of keys, at least (see rows.dealt_among).
 BUCKET_DOCS, GROUP_DOCS = 400, 1000
-#: Different runs of one key beyond which its windows are dealt one by one.
+#: Documents whose runs make a group, at least: few enough for memory, and so many that what goes between groups and buckets is no dust.
+RUN_DOCS = 4000
+#: Groups beyond which four for each partition, which even out the tasks of small inputs, aren't needed.
+GROUPS_EVEN = 256
+#: Different runs of one name beyond which its windows are dealt one by one.
 HOT_RUNS = 2048
+#: Classes of windows by how far they reach before their gram.
+CLASSES = 4
+#: Runs that a task deals at once, for each group, and at most.
+RUNS_EACH, RUNS_MOST = 256, 1 << 19
 
-RUN = ("<u8", "<u8", "<u8", "<i8", "<i8", "<i4", "<i4")  # key, id, rest of id, doc, sub, start, run
+RUN = ("<u8", "<u8", "<i8", "<i8", "<i4", "<u2", "<u2", *["<u4"] * CLASSES)  # id, rest of id, doc, sub, start, run, gram's place in the first window, names
 SPAN = ("<i8", "<i8", "<i4", "<i4")  # doc, sub, start, end
-WISH = ("<u8", "<i8", "<i8", "<i4", "<i4", "<i4")  # key, doc, sub, start, run, hot
+WISH = ("<i4", "<i8", "<i8", "<i4", "<i4", "<i4")  # part, doc, sub, start, run, hot
 SEGMENT = ("<i8", "<i8", "<i4", "<i4", "<i4")  # doc, sub, start, run, bytes
 DEALT = "part int, kind int, data binary"
 RUNS, SPANS, WISHES, SEGMENTS = range(4)
 
 
+@lru_cache(maxsize=1)
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)  # making one takes longer than packing a few rows
+
+
 def packed(columns: list[np.ndarray], kinds: tuple[str, ...], tail: bytes = b"") -> bytes:
     raw = b"".join([np.int64(len(columns[0])).tobytes(), *(np.ascontiguousarray(c, k).tobytes() for c, k in zip(columns, kinds, strict=True)), tail])
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return _compressor().compress(raw)
 
 
 def unpacked(blobs: list[bytes], kinds: tuple[str, ...]) -> tuple[list[np.ndarray], bytes]:
     """The columns of all blobs, and their tails, in turn."""
-    columns: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
-    tails, open_blob = [], zstandard.ZstdDecompressor()
+    columns: list[list[memoryview]] = [[] for _ in kinds]
+    widths, tails, open_blob = [np.dtype(k).itemsize for k in kinds], [], zstandard.ZstdDecompressor()
     for blob in blobs:
-        raw = open_blob.decompress(blob)
-        n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
-        for out, kind in zip(columns, kinds, strict=True):
-            out.append(np.frombuffer(raw, kind, n, at))
-            at += n * np.dtype(kind).itemsize
+        raw = memoryview(open_blob.decompress(blob))
+        n, at = int.from_bytes(raw[:8], "little"), 8
+        for out, width in zip(columns, widths, strict=True):
+            out.append(raw[at : at + n * width])
+            at += n * width
         tails.append(raw[at:])
-    return [np.concatenate(x) for x in columns], b"".join(tails)
+    return [np.frombuffer(bytearray().join(x), k) if any(map(len, x)) else np.zeros(0, k) for x, k in zip(columns, kinds, strict=True)], b"".join(tails)
 
 
 def dealt(part: np.ndarray, kind: int, columns: list[np.ndarray], kinds: tuple[str, ...], lengths: np.ndarray | None = None, data: np.ndarray | None = None, begins: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
     """Rows of DEALT: one for each part; data holds lengths[i] bytes from begins[i] on for entry i, if any."""
     order = np.argsort(part, kind="stable")
-    edges = np.append(np.flatnonzero(np.diff(part[order], prepend=-(1 << 62))), len(order))
-    out = []
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        own = order[lo:hi]
-        tail = b"" if data is None else data[ranges(begins[own], lengths[own])].tobytes()
-        out.append((int(part[own[0]]), kind, packed([c[own] for c in columns], kinds, tail)))
+    named = part[order]
+    edges = np.append(np.flatnonzero(np.diff(named, prepend=-(1 << 62))), len(order))
+    parts, edges = named[edges[:-1]].tolist(), edges.tolist()
+    raw = [(memoryview(np.ascontiguousarray(c[order], k)).cast("B") if len(order) else b"", np.dtype(k).itemsize) for c, k in zip(columns, kinds, strict=True)]
+    if data is not None:
+        lengths, begins = lengths[order], begins[order]
+    out, pack = [], _compressor().compress
+    for own, lo, hi in zip(parts, edges, edges[1:], strict=False):
+        tail = b"" if data is None else data[ranges(begins[lo:hi], lengths[lo:hi])].tobytes()
+        out.append((own, kind, pack(b"".join([(hi - lo).to_bytes(8, "little"), *(r[lo * width : hi * width] for r, width in raw), tail]))))
     return out
 
 
@@ -152,19 +176,26 @@ def _key_part(key: np.ndarray, n: int) -> np.ndarray:
     return ((key >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 
 
+def reaches(units: Units) -> list[tuple[int, int, int]]:
+    """The classes of windows: the least and most units before the gram, and the units that all windows of the class have behind it."""
+    room = units.window - units.gram
+    least = [room * i // CLASSES for i in range(CLASSES)] + [room + 1]
+    return [(a, b - 1, room + 1 - b) for a, b in zip(least, least[1:], strict=False)]
+
+
 def _spans(doc, sub, start, end, n_buckets: int) -> list[tuple[int, int, bytes]]:
     """Spans go to their documents' bucket, written as a negative part."""
     return dealt(-1 - _bucket(doc, sub, n_buckets), SPANS, [doc, sub, start, end], SPAN)
 
 
-def runs_of(units: Units, texts: Texts) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share an anchor: row, key, both halves of the id, first window, number of windows."""
+def runs_of(units: Units, texts: Texts) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Runs of windows that share an anchor: the gram's hash; row, both halves of the id, first window, number of windows, the gram's place in the first, a name for each class (0: no windows)."""
     begins, first, words = units.split(texts)
     lengths = np.diff(first)
     at = ranges(first[:-1], np.maximum(lengths - units.window + 1, 0))
     if not len(at):
         empty = np.zeros(0, np.int64)
-        return empty, *(empty.astype(np.uint64),) * 3, empty, empty
+        return empty.astype(np.uint64), [empty, *(empty.astype(np.uint64),) * 2, *(empty,) * (3 + CLASSES)]
     grams = ranges(first[:-1], np.maximum(lengths - units.gram + 1, 0))
     keys = np.full(int(first[-1]), np.iinfo(np.uint64).max, np.uint64)
     keys[grams] = units.grams(texts, words)[grams]
@@ -172,73 +203,120 @@ def runs_of(units: Units, texts: Texts) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(np.diff(anchor, prepend=-1))
     start, run, anchor = at[begin], np.diff(np.append(begin, len(at))), anchor[begin]
     ids = digests(units.content(texts, words), begins[start], begins[start + run - 1 + units.window])
-    row = np.searchsorted(first, start, "right") - 1
-    return row, keys[anchor], *ids, start - first[row], run
+    row, ahead, names = np.searchsorted(first, start, "right") - 1, anchor - start, []
+    for i, (least, most, behind) in enumerate(reaches(units)):
+        has = np.flatnonzero((ahead >= least) & (ahead - run < most))
+        name = np.zeros(len(start), np.uint32)
+        ends = paired(paired(keys[anchor[has] - least], keys[anchor[has] + behind]), keys[anchor[has]] + np.uint64(i))
+        name[has] = (ends >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        names.append(name)
+    return keys[anchor], [row, *ids, start - first[row], run, ahead, *names]
 
 
 def _map_runs(units: Units, n_groups: int, n_buckets: int):
+    def told(some: list[tuple[np.ndarray, ...]]) -> pa.Table:
+        part, one, two, doc, sub, start, n, *rest = (np.concatenate(x) for x in zip(*some, strict=True))
+        order, stay = _earliest((one, two), doc, sub, start, units.within)
+        gone, stay = order[~stay], np.sort(order[stay])
+        out = dealt(part[stay], RUNS, [x[stay] for x in (one, two, doc, sub, start, n, *rest)], RUN)
+        return batch(out + _spans(doc[gone], sub[gone], start[gone], start[gone] + n[gone] - 1 + units.window, n_buckets))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # enough runs for all groups are dealt at once, so that the rows sent don't grow with the number of groups
+        some, n_runs = [], 0
         for rows, texts in chunks(batches):
-            row, key, one, two, start, n = runs_of(units, texts)
+            key, (row, one, two, *rest) = runs_of(units, texts)
             doc, sub = (rows.column(c).to_numpy(zero_copy_only=False)[row] for c in (0, 1))
-            order, stay = _earliest((one, two), doc, sub, start, units.within)
-            gone, stay = order[~stay], np.sort(order[stay])
-            out = dealt(_key_part(key[stay], n_groups), RUNS, [x[stay] for x in (key, one, two, doc, sub, start, n)], RUN)
-            yield from batch(out + _spans(doc[gone], sub[gone], start[gone], start[gone] + n[gone] - 1 + units.window, n_buckets)).to_batches()
+            some.append((_key_part(key, n_groups), one, two, doc, sub, *(x.astype(k) for x, k in zip(rest, RUN[4:], strict=True))))
+            n_runs += len(row)
+            if n_runs >= min(RUNS_EACH * n_groups, RUNS_MOST):
+                yield from told(some).to_batches()
+                some, n_runs = [], 0
+        if some:
+            yield from told(some).to_batches()
 
     return run
 
 
+def _shared(name: np.ndarray, different: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose name (not 0) places of another number in `different` have as well, and how many different ones have it."""
+    in_order = np.sort(name)
+    again = in_order[1:][(in_order[1:] == in_order[:-1]) & (in_order[1:] > 0)]
+    again = again[np.diff(again, prepend=0) != 0] if len(again) else again
+    if not len(again):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of = np.minimum(np.searchsorted(again, name), len(again) - 1)
+    own = np.flatnonzero(again[of] == name)
+    own = own[np.lexsort((different[own], of[own]))]
+    of, d = of[own], different[own]
+    new = np.ones(len(own), bool)
+    new[1:] = (of[1:] != of[:-1]) | (d[1:] != d[:-1])
+    n = np.bincount(of, new, minlength=len(again)).astype(np.int64)[of]
+    return own[n > 1], n[n > 1]
+
+
 def _meet_runs(units: Units, n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        if table["part"][0].as_py() < 0:
+        part = table["part"][0].as_py()
+        if part < 0:
             return table
-        (key, one, two, doc, sub, start, n), _ = unpacked(table["data"].to_pylist(), RUN)
+        (one, two, doc, sub, start, n, ahead, *names), _ = unpacked(table["data"].to_pylist(), RUN)
         order, stay = _earliest((one, two), doc, sub, start, units.within)
         gone, stay = order[~stay], order[stay]
         out = _spans(doc[gone], sub[gone], start[gone], start[gone] + n[gone] - 1 + units.window, n_buckets)
-        # those that stay are in order of ids, which a stable sort keeps within a key
-        by_key = stay[np.argsort(key[stay], kind="stable")]
-        k, i, j = key[by_key], one[by_key], two[by_key]
-        new_key = np.diff(k, prepend=~k[:1]) != 0
-        new_id = (np.diff(i, prepend=~i[:1]) != 0) | (np.diff(j, prepend=~j[:1]) != 0)
-        of = np.cumsum(new_key) - 1
-        different = np.bincount(of, new_key | new_id, minlength=1)[of] if len(of) else of
-        ask = different > 1
-        own, hot = by_key[ask], (different[ask] > HOT_RUNS).astype(np.int32)
-        return batch(out + dealt(-1 - _bucket(doc[own], sub[own], n_buckets), WISHES, [key[own], doc[own], sub[own], start[own], n[own], hot], WISH))
+        # those that stay are in order of ids
+        i, j = one[stay], two[stay]
+        different = np.cumsum((np.diff(i, prepend=~i[:1]) != 0) | (np.diff(j, prepend=~j[:1]) != 0))
+        doc, sub, start, n, ahead = doc[stay], sub[stay], start[stay], n[stay].astype(np.int64), ahead[stay].astype(np.int64)
+        # windows of neighbouring classes that are asked go together, those of hot names by themselves; none goes twice
+        few, hot = np.zeros((2, len(stay), CLASSES + 2), bool)
+        for c, name in enumerate(names, 1):
+            asked, count = _shared(name[stay], different)
+            few[asked, c], hot[asked, c] = count <= HOT_RUNS, count > HOT_RUNS
+        own, low = np.nonzero(few[:, 1:-1] & ~few[:, :-2])
+        high = np.nonzero(few[:, 1:-1] & ~few[:, 2:])[1]
+        alone, c = np.nonzero(hot[:, 1:-1])
+        hot = np.repeat([0, 1], [len(own), len(alone)])
+        own, low, high = np.append(own, alone), np.append(low, c), np.append(high, c)
+        bounds = np.array(reaches(units))
+        begin = np.maximum(ahead[own] - bounds[high, 1], 0)
+        end = np.minimum(ahead[own] - bounds[low, 0], n[own] - 1) + 1
+        return batch(out + dealt(-1 - _bucket(doc[own], sub[own], n_buckets), WISHES, [np.full(len(own), part), doc[own], sub[own], start[own] + begin, end - begin, hot], WISH))
 
     return run
 
 
 def _locate(docs: pa.Table, doc: np.ndarray, sub: np.ndarray) -> np.ndarray:
     """The row of docs of each (doc, sub)."""
-    have = np.rec.fromarrays([docs["_doc"].to_numpy(), docs["_sub"].to_numpy()], names="d,s")
-    order = np.argsort(have, order=("d", "s"))
+    d, s = docs["_doc"].to_numpy(), docs["_sub"].to_numpy()
+    order = np.lexsort((s, d))
     if not len(order):
         return np.zeros(0, np.int64)
-    asked = np.rec.fromarrays([doc, sub], names="d,s")
-    return order[np.searchsorted(have[order], asked)]
+    d, s = d[order], s[order]
+    if (d[1:] != d[:-1]).all():
+        return order[np.searchsorted(d, doc)]
+    have, asked = (np.rec.fromarrays(x, names="d,s") for x in ([d, s], [doc, sub]))
+    return order[np.searchsorted(have, asked)]
 
 
 def _segments(units: Units, n_groups: int, n_buckets: int):
-    """The texts of the runs that were asked for; a hot key's windows one by one."""
+    """The texts of the windows that were asked for; a hot name's windows one by one."""
 
     def run(docs: pa.Table, wishes: pa.Table) -> pa.Table:
-        (key, doc, sub, start, n, hot), _ = unpacked([d for k, d in zip(wishes["kind"].to_pylist(), wishes["data"].to_pylist(), strict=True) if k == WISHES], WISH)
-        if not len(key):
+        (part, doc, sub, start, n, hot), _ = unpacked([d for k, d in zip(wishes["kind"].to_pylist(), wishes["data"].to_pylist(), strict=True) if k == WISHES], WISH)
+        if not len(part):
             return batch([])
         texts = texts_of(docs["text"])
         begins, first, words = units.split(texts)
         row = _locate(docs, doc, sub)
-        # a hot key's windows are segments of one window each
+        # a hot name's windows are segments of one window each
         each = np.where(hot != 0, n, 1)
-        own = np.repeat(np.arange(len(key)), each)
-        start = start[own] + ranges(np.zeros(len(key), np.int64), each)
+        own = np.repeat(np.arange(len(part)), each)
+        start = start[own] + ranges(np.zeros(len(part), np.int64), each)
         n, alone, out = np.where(hot[own] != 0, 1, n[own]), hot[own] != 0, []
         begin = first[row[own]] + start
         end = begin + n - 1 + units.window
-        part = _key_part(key[own], n_groups)
+        part = part[own].astype(np.int64)
         if alone.any():
             ids = np.zeros(len(own), np.uint64), np.zeros(len(own), np.uint64)
             ids[0][alone], ids[1][alone] = digests(units.content(texts, words), begins[begin[alone]], begins[end[alone]])
@@ -325,10 +403,9 @@ def without_covered(rows: DataFrame, units: Units, search: Search, as_text: bool
     """_doc, _sub, n_units, n_removed, n_spans and kept (bytes; as_text: without characters cut in two) of every row (_doc, _sub, text)."""
     size = volume(rows)
     n_buckets = max(parts(rows), dealt_among(size, BUCKET_DOCS))
-    n_groups = max(4 * parts(rows), dealt_among(size, GROUP_DOCS))
+    n_groups = max(parts(rows), min(4 * parts(rows), GROUPS_EVEN), dealt_among(size, RUN_DOCS))
 
-    runs = rows.mapInArrow(_map_runs(units, n_groups, n_buckets), DEALT)
-    met = checkpointed(runs.groupBy("part").applyInArrow(_meet_runs(units, n_buckets), DEALT))
+    met = checkpointed(rows.mapInArrow(_map_runs(units, n_groups, n_buckets), DEALT).groupBy("part").applyInArrow(_meet_runs(units, n_buckets), DEALT))
 
     by_bucket = rows.withColumn("bucket", bucket_column(n_buckets))
     segments = _together(by_bucket, met, WISHES).applyInArrow(_segments(units, n_groups, n_buckets), DEALT)

@@ -6,11 +6,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyloom.llm import jaccard
+from tallyloom.llm import jaccard, repeats
 from tallyloom.llm.jaccard import exact_sets, jaccard_components, shingle_sets
 from tallyloom.llm.lm import lm_scores
 from tallyloom.llm.rows import dealt_among, identified, spread
-from tallyloom.llm.suffix_array import cut_repeated_bytes
+from tallyloom.llm.suffix_array import BYTES, cut_repeated_bytes
 from tallyloom.llm.suffix_tree import cut_repeated_words
 from tallyloom.llm.textcols import Words, combined, mix64, named, texts_of
 
@@ -191,3 +191,19 @@ def test_topk_in_many_blocks(spark, monkeypatch):
     for q in range(0, 902, 25):
         best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:4]
         assert found[q] == [(-s, i) for s, i in best]
+
+
+def _asked(n: int) -> int:
+    """Bytes of the segments asked for of n texts that share a phrase, which is shorter than a window."""
+    rnd = random.Random(n)
+    prose = lambda k: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    texts = pa.array([prose(150) + " a phrase that stands in very many texts " + prose(150) for _ in range(n)])
+    docs = pa.table({"_doc": pa.array(range(n), pa.int64()), "_sub": pa.array([0] * n, pa.int64()), "text": texts})
+    runs = pa.Table.from_batches(list(repeats._map_runs(BYTES, 1, 1)(iter(docs.to_batches()))))
+    met = repeats._meet_runs(BYTES, 1)(runs)
+    dealt = repeats._segments(BYTES, 1, 1)(docs, met)
+    return sum(repeats.unpacked(dealt["data"].to_pylist(), repeats.SEGMENT)[0][4].tolist())
+
+
+def test_a_common_phrase_asks_for_no_texts():
+    assert _asked(100) == _asked(3000) == 0  # as many windows as there are texts shared a gram, and beyond HOT_RUNS went one by one
