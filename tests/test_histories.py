@@ -254,6 +254,14 @@ def test_cost_cascade(spark):
     assert got == [(1, "given 0", "a", 20.0), (1, "given 0", "b", 20.0), (1, "given 0", "residual", 10.0), (2, "profile", "s", 50.0), (3, "funnel", "Other", 38.0), (3, "funnel", "TAC", 12.0)]
 
 
+def test_given_costs_are_the_same_in_any_order(spark):
+    given = [("a", 1.35), ("b", 0.269), ("c", 2.636), ("d", 0.983), ("e", 2.862)]  # a is 1.35 * 2.019 / 8.1 = 0.3365
+    cells = spark.createDataFrame([(1, q, *r) for q, order in enumerate(permutations(given)) for r in order], "company long, q_ord long, member string, value double").coalesce(1)
+    quarters = spark.createDataFrame([(1, q, 2.019, None, None) for q in range(120)], "company long, q_ord long, cost double, tac double, other_cost double")
+    got = flows.cost_cascade(quarters, [cells], cells.withColumn("margin", F.lit(None).cast("double")))
+    assert len({r.value for r in got.filter("member = 'a'").collect()}) == 1
+
+
 # ---------------------------------------------------------------- lines of statements
 
 
